@@ -45,14 +45,24 @@ def matrix(rows: list[list[Column]]) -> Column:
                                for v in r]) for r in rows])
 
 
-def matmul(a: Column, b: Column, n: int = 4) -> Column:
-    """Product of two n x n matrices held as ARRAY<ARRAY<DOUBLE>>."""
-    return matrix([[sum((a[i][k] * b[k][j] for k in range(1, n)), a[i][0] * b[0][j]) for j in range(n)]
-                   for i in range(n)])
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times, so that nested matrix code stays small."""
+    return F.transform(F.array(value), body)[0]
 
 
-def inverse_affine(a: Column) -> Column:
+def matmul(a: Column, b: Column) -> Column:
+    """Product of two 4x4 matrices held as ARRAY<ARRAY<DOUBLE>>."""
+    axis = F.sequence(F.lit(0), F.lit(3))
+    dot = lambda row, right, j: F.aggregate(axis, F.lit(0.0), lambda acc, k: acc + row[k] * right[k][j])
+    return let(b, lambda right: F.transform(a, lambda row: F.transform(axis, lambda j: dot(row, right, j))))
+
+
+def inverse_affine(affine: Column) -> Column:
     """Inverse of a 4x4 affine by the adjugate of its 3x3 part."""
+    return let(affine, _inverse)
+
+
+def _inverse(a: Column) -> Column:
     m = [[a[i][j] for j in range(3)] for i in range(3)]
 
     def cofactor(i, j):
@@ -96,7 +106,6 @@ def affine_matrix(scaling=None, rotation=None, shearing=None, translation=None)
     r1 = matrix([[1, 0, 0, 0], [0, c[0], -s[0], 0], [0, s[0], c[0], 0], [0, 0, 0, 1]])
     r2 = matrix([[c[1], 0, s[1], 0], [0, 1, 0, 0], [-s[1], 0, c[1], 0], [0, 0, 0, 1]])
     r3 = matrix([[c[2], -s[2], 0, 0], [s[2], c[2], 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
-    # Right-to-left nesting with named struct fields would repeat sub-expressions; the sizes are tiny and constant.
     return matmul(t, matmul(r3, matmul(r2, matmul(r1, matmul(shear, scale)))))
 
 
@@ -107,7 +116,7 @@ def ras_axes(a: Column) -> Column:
     occurrence of the most frequent (smallest on a tie) value.
     """
     inv = inverse_affine(a)
-    return F.transform(F.array(inv), _ras_from_inverse)[0]
+    return let(inv, _ras_from_inverse)
 
 
 def _ras_from_inverse(inv: Column) -> Column:
@@ -117,7 +126,7 @@ def _ras_from_inverse(inv: Column) -> Column:
         raw.append((F.array_position(mags, F.array_max(mags)) - 1).cast("int"))
     axes = F.array(*raw)
     for i in range(3):
-        axes = F.transform(F.array(axes), lambda v, i=i: _fill_axis(v, i))[0]
+        axes = let(axes, lambda v: _fill_axis(v, i))
     return axes
 
 
