@@ -45,11 +45,12 @@ def list_subfolders(files: DataFrame, expr: Sequence[str] | None = None, cond: s
 def read_manifest_text(spark: SparkSession, path: str) -> DataFrame:
     """(ord, path) of a text file with one path per line; blank lines are dropped.
 
-    A text file of paths is read as one partition, so the ids grow with the line number.
+    Lines keep their place by the start of their file block and their position in it.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("_line", "path"))
-    kept = lines.where("path <> ''")
-    return running_total(kept, [], ["_line"], F.lit(1), "ord").select((F.col("ord") - 1).alias("ord"), "path")
+    lines = spark.read.text(path).select(F.col("value").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+                                         F.monotonically_increasing_id().alias("_line"))
+    kept = running_total(lines.where("path <> ''"), [], ["_block", "_line"], F.lit(1), "ord")
+    return kept.select((F.col("ord") - 1).alias("ord"), "path")
 
 
 def derive_output_paths(files: DataFrame, folder: str, suffixes: dict[str, str], csv: dict[str, str] | None = None) -> DataFrame:
