@@ -56,10 +56,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
         F.percentile_approx("_v", probes, accuracy).alias("_probe"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     )
-    # The ends of the range are exact, the sketch ends need not be.
-    lows = [F.when(F.lit(probes[2 * i] <= 0.0), F.col("_min")).otherwise(F.col("_probe")[2 * i])
+    # Brackets at the ends of the range use the true ends. Small groups, where the rank margin is not worth several
+    # rows, are kept whole.
+    small = F.col("n") <= accuracy
+    lows = [F.when(small | F.lit(probes[2 * i] <= 0.0), F.col("_min")).otherwise(F.col("_probe")[2 * i])
             for i in range(len(fractions))]
-    highs = [F.when(F.lit(probes[2 * i + 1] >= 1.0), F.col("_max")).otherwise(F.col("_probe")[2 * i + 1])
+    highs = [F.when(small | F.lit(probes[2 * i + 1] >= 1.0), F.col("_max")).otherwise(F.col("_probe")[2 * i + 1])
              for i in range(len(fractions))]
     sketch = sketch.select(*keys, "n", F.array(*lows).alias("_lo"), F.array(*highs).alias("_hi"))
     joined = _null_safe_join(data, sketch, keys)

@@ -146,7 +146,7 @@ def surface_distances(pairs: DataFrame, labels: Sequence[int] | None, shape, per
     stats = hist.groupBy(*keys).agg(
         *[(F.sum(F.when((F.col("side") == s) & F.col("d").isNotNull(), F.col("d") * F.col("c"))) /
            F.sum(F.when((F.col("side") == s) & F.col("d").isNotNull(), F.col("c")))).alias(f"_m{s}") for s in (0, 1)],
-        *[F.percentile("d", p / 100, "c").alias(f"_h{i}") for i, p in enumerate(percentiles)])
+        *[F.percentile("d", p / 100, F.col("c")).alias(f"_h{i}") for i, p in enumerate(percentiles)])
     ids = [-1] if labels is None else [int(v) for v in labels]
     volumes, dims = attach_shape(pairs.select("vol_id").distinct(), shape)
     largest = F.lit(max(dims)) if dims else F.greatest("nx", "ny", "nz")

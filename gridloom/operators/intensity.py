@@ -63,11 +63,11 @@ def normalise_minmax(df: DataFrame, perc: tuple[float, float] | None = (0.0, 1.0
     or over all channels of a volume with ``joint``; without ``perc`` plain minimum and maximum."""
     keys = ["vol_id"] if joint else _volume_keys(df)
     if perc is None:
-        ends = df.groupBy(*keys).agg(F.min(value).alias("_m"), F.max(value).alias("_M"))
+        ends = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     else:
-        ends = exact_percentiles(df, keys, value, list(perc), ["_m", "_M"], interpolate=False).drop("n")
-    v = F.greatest(F.least(F.col(value), F.col("_M")), F.col("_m"))
-    return (df.join(ends, keys).withColumn(value, (v - F.col("_m")) / (F.col("_M") - F.col("_m") + EPSILON))
+        ends = exact_percentiles(df, keys, value, list(perc), ["_low", "_high"], interpolate=False).drop("n")
+    v = F.greatest(F.least(F.col(value), F.col("_high")), F.col("_low"))
+    return (df.join(ends, keys).withColumn(value, (v - F.col("_low")) / (F.col("_high") - F.col("_low") + EPSILON))
             .select(*df.columns))
 
 

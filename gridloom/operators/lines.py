@@ -34,10 +34,11 @@ def shape_sql(shape) -> tuple[dict[str, str], list[str]]:
 
 
 def attach_shape(df: DataFrame, shape) -> tuple[DataFrame, tuple | None]:
-    """Give voxel rows their grid size. ``shape``: a tuple for all volumes, or a table (vol_id, nx, ny, nz)."""
+    """Give voxel rows their grid size. ``shape``: a tuple for all volumes, a table (vol_id, nx, ny, nz), or
+    None where the columns nx, ny, nz are there already."""
     if isinstance(shape, DataFrame):
         return df.join(shape.select("vol_id", "nx", "ny", "nz"), "vol_id"), None
-    return df, tuple(shape)
+    return df, None if shape is None else tuple(shape)
 
 
 def separable(df: DataFrame, keys: list[str], value: str, shape, passes: dict[str, list[Pass]],

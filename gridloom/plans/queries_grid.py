@@ -55,20 +55,20 @@ def _box_sql(size: str, mode: str) -> str:
     for a in "xyz":
         s = f"(max({a}) - min({a}))"
         t = size.replace("s", s) if size != "s" else s
-        parts.append(f"CAST(min({a}) - ceil(({t} - {s}) / 2.0) AS INT) AS a{a}, CAST(max({a}) + floor(({t} - {s}) / 2.0) AS INT) AS b{a}")
+        parts.append(f"CAST(min({a}) - ceil(({t} - {s}) / 2.0) AS INT) AS from_{a}, CAST(max({a}) + floor(({t} - {s}) / 2.0) AS INT) AS to_{a}")
     cols = {"lo": [], "hi": [], "pad_lo": [], "pad_hi": []}
     for a in "xyz":
-        u, o = f"greatest(-a{a}, 0)", f"greatest(b{a} - 12, 0)"
+        u, o = f"greatest(-from_{a}, 0)", f"greatest(to_{a} - 12, 0)"
         if mode == "shift-padding":
-            lo = f"CASE WHEN {u} = 0 AND {o} > 0 THEN CASE WHEN a{a} - {o} >= 0 THEN a{a} - {o} ELSE 0 END ELSE greatest(a{a}, 0) END"
-            hi = f"CASE WHEN {u} > 0 AND {o} = 0 THEN least(b{a} + {u}, 12) ELSE least(b{a}, 12) END"
-            pl = (f"CASE WHEN {u} > 0 AND {o} = 0 THEN CASE WHEN b{a} + {u} <= 12 THEN 0 ELSE {u} - (12 - b{a}) END ELSE {u} END")
-            ph = f"CASE WHEN {u} = 0 AND {o} > 0 THEN CASE WHEN a{a} - {o} >= 0 THEN 0 ELSE {o} - a{a} END ELSE {o} END"
+            lo = f"CASE WHEN {u} = 0 AND {o} > 0 THEN CASE WHEN from_{a} - {o} >= 0 THEN from_{a} - {o} ELSE 0 END ELSE greatest(from_{a}, 0) END"
+            hi = f"CASE WHEN {u} > 0 AND {o} = 0 THEN least(to_{a} + {u}, 12) ELSE least(to_{a}, 12) END"
+            pl = (f"CASE WHEN {u} > 0 AND {o} = 0 THEN CASE WHEN to_{a} + {u} <= 12 THEN 0 ELSE {u} - (12 - to_{a}) END ELSE {u} END")
+            ph = f"CASE WHEN {u} = 0 AND {o} > 0 THEN CASE WHEN from_{a} - {o} >= 0 THEN 0 ELSE {o} - from_{a} END ELSE {o} END"
         elif mode == "shift-strict":
-            lo, hi, pl, ph = f"greatest(a{a} - {o}, 0)", f"least(b{a} + {u}, 12)", "0", "0"
+            lo, hi, pl, ph = f"greatest(from_{a} - {o}, 0)", f"least(to_{a} + {u}, 12)", "0", "0"
         else:
             keep = mode == "padding"
-            lo, hi, pl, ph = f"greatest(a{a}, 0)", f"least(b{a}, 12)", u if keep else "0", o if keep else "0"
+            lo, hi, pl, ph = f"greatest(from_{a}, 0)", f"least(to_{a}, 12)", u if keep else "0", o if keep else "0"
         for k, v in zip(cols, (lo, hi, pl, ph)):
             cols[k].append(f"CAST({v} AS INT) AS {k}_{a}")
     names = ", ".join(", ".join(v) for v in cols.values())
@@ -270,7 +270,7 @@ def _hat(p: str, i: str) -> str:
 def _resample_weights() -> str:
     """Per factor f: weights from input sample j to output sample i on a line of 4, blur and interpolation together."""
     return ("fs AS (SELECT DISTINCT f FROM (SELECT rx / 1.0 AS f FROM image_meta UNION SELECT ry / 2.0 FROM image_meta UNION SELECT rz / 1.5 FROM "
-            "image_meta) t), bl AS (SELECT f, k AS m, o - 5 AS o, CASE WHEN f >= 1 THEN CAST(o = 5 AS DOUBLE) WHEN abs(o - 5) > "
+            "image_meta) t), bl AS (SELECT f, k AS m, o - 5 AS o, CASE WHEN f > 1 THEN CAST(o = 5 AS DOUBLE) WHEN abs(o - 5) > "
             "floor(4 * 0.25 / f + 0.5) THEN 0.0 ELSE exp(-0.5 * (o - 5) * (o - 5) / (0.25 / f * 0.25 / f)) END AS g FROM fs, range(4) t(k), range(11) u(o)), "
             "bn AS (SELECT f, m, CASE WHEN (m + o + 80) % 8 < 4 THEN (m + o + 80) % 8 ELSE 7 - (m + o + 80) % 8 END AS j, "
             "g / sum(g) OVER (PARTITION BY f, m) AS g FROM bl), "

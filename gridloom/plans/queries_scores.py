@@ -113,16 +113,16 @@ def _(spark, d):
     return po.flip_average(p, p, 8, SWAP).select(*VL, r("p", 6))
 
 
-@query("soft_volumes", with_("posteriors", "meta") + "SELECT vol_id, label, round(sum(p) * any_value(rx * ry * rz), 2) AS volume FROM posteriors "
+@query("soft_volumes", with_("posteriors", "meta") + "SELECT vol_id, label, round_even(round(sum(p) * any_value(rx * ry * rz), 9), 3) AS volume FROM posteriors "
        "JOIN meta USING (vol_id) WHERE label <> 0 GROUP BY 1, 2")
 def _(spark, d):
-    return po.soft_volumes(fx.posteriors(spark, d), fx.meta(spark, d)).select("vol_id", "label", r("volume", 2))
+    return po.soft_volumes(fx.posteriors(spark, d), fx.meta(spark, d)).select("vol_id", "label", "volume")
 
 
-@query("total_intracranial", with_("posteriors", "meta") + "SELECT vol_id, label, round(sum(p) * any_value(rx * ry * rz), 2) AS volume FROM posteriors "
+@query("total_intracranial", with_("posteriors", "meta") + "SELECT vol_id, label, round_even(round(sum(p) * any_value(rx * ry * rz), 9), 3) AS volume FROM posteriors "
        "JOIN meta USING (vol_id) WHERE label <> 0 GROUP BY GROUPING SETS ((vol_id, label), (vol_id))")
 def _(spark, d):
-    return po.total_intracranial(fx.posteriors(spark, d), fx.meta(spark, d)).select("vol_id", "label", r("volume", 2))
+    return po.total_intracranial(fx.posteriors(spark, d), fx.meta(spark, d)).select("vol_id", "label", "volume")
 
 
 @query("rescale_parcels", with_("posteriors", extra="s AS (SELECT vol_id, label, sum(p) AS v FROM posteriors WHERE label <> 0 GROUP BY 1, 2)") +
@@ -197,10 +197,10 @@ def stats_sql(source: str, keys: str, label: str = "gt") -> str:
             f"{' AND '.join(f'st.{k} = v.{k}' for k in keys.split(', '))})")
 
 
-@query("intensity_stats", with_("maps", extra=stats_sql("maps", "vol_id")) + "SELECT vol_id, class_id, round(m, 2) AS median, round(s, 2) AS mad FROM st0")
+@query("intensity_stats", with_("maps", extra=stats_sql("maps", "vol_id")) + "SELECT vol_id, class_id, round(m, 3) AS median, round(s, 3) AS mad FROM st0")
 def _(spark, d):
     s = ag.intensity_stats(fx.maps(spark, d), STAT_LABELS, STAT_CLASSES, label="gt")
-    return s.select("vol_id", "class_id", r("median", 2), r("mad", 2))
+    return s.select("vol_id", "class_id", r("median", 3), r("mad", 3))
 
 
 _SCALED = ("lim AS (SELECT vol_id, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM maps GROUP BY 1), "
@@ -439,9 +439,9 @@ def _(spark, d):
     return ev.qc_difference(predicted_qc(spark, d), ev.dice_by_label(fx.maps(spark, d), LABELS)).select("vol_id", "label", r("difference"))
 
 
-@query("qc_clip_round", with_("posteriors", extra=_QC) + "SELECT vol_id, label, round(least(greatest(score, 0), 1), 3) AS score FROM qc WHERE label <> 0")
+@query("qc_clip_round", with_("posteriors", extra=_QC) + "SELECT vol_id, label, round_even(least(greatest(score, 0), 1), 4) AS score FROM qc WHERE label <> 0")
 def _(spark, d):
-    return ev.qc_clip_round(predicted_qc(spark, d)).select("vol_id", "label", r("score", 3))
+    return ev.qc_clip_round(predicted_qc(spark, d)).select("vol_id", "label", "score")
 
 
 @query("validation_curve", with_("epochs", extra="e AS (SELECT CAST(regexp_replace(epoch_dir, '[^0-9]', '', 'g') AS INT) AS epoch, avg(abs(score)) AS s FROM epochs GROUP BY 1)") +
@@ -485,10 +485,10 @@ FINISH_SQL = (BIG_SQL + ", " + class_sql("kept") + f", nm AS (SELECT vol_id, x,
 
 
 @query("finish_posteriors", with_("posteriors", "meta", recursive=True, extra=FINISH_SQL + ", vs AS (SELECT vol_id, label, sum(p) * any_value(rx * ry * rz) AS v FROM nm "
-       "JOIN meta USING (vol_id) WHERE label <> 0 GROUP BY 1, 2)") + "SELECT vol_id, label, round(v, 2) AS volume FROM vs UNION ALL SELECT vol_id, 43, round(sum(v), 2) FROM vs GROUP BY 1")
+       "JOIN meta USING (vol_id) WHERE label <> 0 GROUP BY 1, 2)") + "SELECT vol_id, label, round_even(round(v, 9), 3) AS volume FROM vs UNION ALL SELECT vol_id, 43, round_even(round(sum(v), 9), 3) FROM vs GROUP BY 1")
 def _(spark, d):
     meta = fx.meta(spark, d, fx.POST_SHAPE).drop("perm_id", "flip_bits")
-    return cohort.finish_posteriors(fx.posteriors(spark, d), LABELS, meta, classes=CLASSES)[2].select("vol_id", "label", r("volume", 2))
+    return cohort.finish_posteriors(fx.posteriors(spark, d), LABELS, meta, classes=CLASSES)[2].select("vol_id", "label", "volume")
 
 
 @query("finish_posteriors_labels", with_("posteriors", "axes", recursive=True, extra=BIG_SQL + f", lw AS (SELECT * FROM kept WHERE label = 0 OR p > 0.2), "
@@ -504,8 +504,8 @@ def _(spark, d):
 @query("cohort_report", with_("posteriors", "meta", recursive=True, extra="done AS (SELECT s_suppkey AS vol_id FROM supplier WHERE s_acctbal > 5000), " +
        BIG_SQL + f", lw AS (SELECT * FROM kept WHERE label = 0 OR p > 0.2), nm AS (SELECT vol_id, x, y, z, label, {_NORM} AS p FROM lw), "
        "vs AS (SELECT vol_id, label, sum(p) * any_value(rx * ry * rz) AS v FROM nm JOIN meta USING (vol_id) WHERE label <> 0 AND vol_id NOT IN (SELECT vol_id FROM done) GROUP BY 1, 2), " + _QC) +
-       "SELECT 'volume' AS kind, vol_id, label, round(v, 2) AS value FROM vs UNION ALL SELECT 'volume', vol_id, 43, round(sum(v), 2) FROM vs GROUP BY vol_id UNION ALL "
-       "SELECT 'qc', vol_id, label, round(least(greatest(score, 0), 1), 3) FROM qc WHERE label <> 0 AND vol_id NOT IN (SELECT vol_id FROM done)")
+       "SELECT 'volume' AS kind, vol_id, label, round_even(round(v, 9), 3) AS value FROM vs UNION ALL SELECT 'volume', vol_id, 43, round_even(round(sum(v), 9), 3) FROM vs GROUP BY vol_id UNION ALL "
+       "SELECT 'qc', vol_id, label, round_even(least(greatest(score, 0), 1), 4) FROM qc WHERE label <> 0 AND vol_id NOT IN (SELECT vol_id FROM done)")
 def _(spark, d):
     sup = fx.table(spark, d, "supplier")
     manifest = sup.select(F.col("s_suppkey").alias("vol_id"), F.concat(F.lit("/in/"), F.col("s_suppkey").cast("string")).alias("path"),
@@ -513,8 +513,8 @@ def _(spark, d):
     done = sup.where("s_acctbal > 5000").select(F.concat(F.lit("/out/"), F.col("s_suppkey").cast("string")).alias("path"))
     meta = fx.meta(spark, d, fx.POST_SHAPE).drop("perm_id", "flip_bits")
     out = cohort.cohort_report(manifest, done, fx.posteriors(spark, d), meta, LABELS, qc_scores=predicted_qc(spark, d), fast=True)
-    volumes_ = out["volumes"].select(F.lit("volume").alias("kind"), "vol_id", "label", r("volume", 2).alias("value"))
-    return volumes_.unionByName(out["qc"].select(F.lit("qc").alias("kind"), "vol_id", "label", r("score", 3).alias("value")))
+    volumes_ = out["volumes"].select(F.lit("volume").alias("kind"), "vol_id", "label", F.col("volume").alias("value"))
+    return volumes_.unionByName(out["qc"].select(F.lit("qc").alias("kind"), "vol_id", "label", F.col("score").alias("value")))
 
 
 @query("evaluate_models", with_("maps", extra="p AS (SELECT concat('dice_', CAST(q AS VARCHAR)) AS model, * FROM maps WHERE q IN (0, 2, 4)), "

@@ -360,13 +360,13 @@ _TEXTS = "SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(n_chars AS VARCHAR) WHE
 
 
 @query("infer", "SELECT doc_id, TRY_CAST(text AS DOUBLE) AS number, CASE WHEN TRY_CAST(text AS DOUBLE) IS NULL AND text = 'True' "
-       "THEN TRUE END AS flag, CASE WHEN TRY_CAST(text AS DOUBLE) IS NULL AND text <> 'True' THEN text END AS text FROM "
+       "THEN 1 END AS flag, CASE WHEN TRY_CAST(text AS DOUBLE) IS NULL AND text <> 'True' THEN text END AS text FROM "
        f"({_TEXTS}) t")
 def _(spark, d):
     docs = fx.table(spark, d, "documents")
     text = (F.when(F.col("lang") == "en", F.col("n_chars").cast("string")).when(F.col("n_chars") > 900, "True")
             .otherwise(F.col("source")))
-    return docs.select("doc_id", paths.infer(text).alias("_i")).select("doc_id", "_i.number", "_i.flag", "_i.text")
+    return docs.select("doc_id", paths.infer(text).alias("_i")).select("doc_id", "_i.number", F.col("_i.flag").cast("int").alias("flag"), "_i.text")
 
 
 @query("closest_multiple", "SELECT doc_id, n_chars // 7 * 7 AS lower, (n_chars + 6) // 7 * 7 AS higher, "

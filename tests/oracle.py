@@ -28,8 +28,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
         elif pd.api.types.is_numeric_dtype(df[c]):
             df[c] = df[c].astype(float) + 0.0
         else:
-            values = df[c]
-            df[c] = values.where(values.notna(), None).astype(str)
+            df[c] = ["" if v is None or v is pd.NA or v != v else str(v) for v in df[c]]
     return df.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
 
