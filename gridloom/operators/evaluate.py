@@ -16,6 +16,7 @@ from gridloom.operators.geometry import crop_to_box, region_box
 from gridloom.operators.labels import correct_labels, correct_labels_nearest
 from gridloom.operators.lines import attach_shape, distance_to
 from gridloom.operators.morphology import face_neighbours
+from gridloom.session import materialize
 
 VOXEL = ["vol_id", "x", "y", "z"]
 EPSILON = 1e-7
@@ -116,11 +117,16 @@ def surface_points(pairs: DataFrame, labels: Sequence[int] | None, shape, inclus
     boxes = boxes.withColumn("extent", F.greatest(*[F.col("hi")[i] - F.col("lo")[i] for i in range(3)]))
     inside = points.join(boxes.select(*keys, "lo", "hi"), keys).where(
         "x >= lo[0] AND x < hi[0] AND y >= lo[1] AND y < hi[1] AND z >= lo[2] AND z < hi[2]")
-    near = face_neighbours(inside, [*keys, "side"])
-    edge = F.lit(False)
+    # Which neighbours lie in the box, as six bits, so that the windows carry short rows.
+    room, has = F.lit(0), F.lit(0)
     for i, a in enumerate("xyz"):
-        edge = edge | (~F.col(f"{a}m") & (F.col(a) > F.col("lo")[i])) | (~F.col(f"{a}p") & (F.col(a) < F.col("hi")[i] - 1))
-    return near.where(edge).select(*keys, "side", "x", "y", "z"), boxes.select(*keys, "extent")
+        room = room + F.when(F.col(a) > F.col("lo")[i], 1 << (2 * i)).otherwise(0)
+        room = room + F.when(F.col(a) < F.col("hi")[i] - 1, 2 << (2 * i)).otherwise(0)
+        has = has + F.col(f"{a}m").cast("int") * (1 << (2 * i)) + F.col(f"{a}p").cast("int") * (2 << (2 * i))
+    near = face_neighbours(inside.select(*keys, "side", "x", "y", "z", room.alias("_room")), [*keys, "side"])
+    edges = near.where(F.col("_room").bitwiseAND(F.bitwise_not(has)) != 0).select(*keys, "side", "x", "y", "z")
+    # Both surfaces are read as points and as targets: written once.
+    return materialize(edges), boxes.select(*keys, "extent")
 
 
 def surface_to_surface(edges: DataFrame) -> DataFrame:

@@ -50,35 +50,24 @@ def separable(df: DataFrame, keys: list[str], value: str, shape, passes: dict[st
     """
     n, dims = shape_sql(shape)
     group = [*keys, *dims, *(carry or [])]
+    dense = lambda entries, size, missing: bind("m", f"map_from_entries(collect_list({entries}))",
+                                                f"transform(sequence(0, {size} - 1), i -> coalesce(m[i], {missing}))")
     lines = (
         df.select(*group, "x", "y", "z", F.col(value).alias("_v"))
         .repartition(*keys, "x")
-        .groupBy(*group, "x", "y")
-        .agg(F.expr("map_from_entries(collect_list(struct(z, _v)))").alias("_m"))
-        .withColumn("_a", F.expr(f"transform(sequence(0, {n['z']} - 1), i -> coalesce(_m[i], {fill}))"))
+        .groupBy(*group, "x", "y").agg(F.expr(dense("struct(z, _v)", n["z"], fill)).alias("_a"))
     )
     size = dict(n)
-    line = "_a"
     for step in passes.get("z", []):
         out = step.length(size["z"])
-        body = step.element("i", size["z"], lambda j, a=line: f"{a}[{j}]")
-        lines = lines.withColumn("_a", F.expr(f"transform(sequence(0, {out} - 1), i -> {body})"))
+        body = step.element("i", size["z"], lambda j: f"a[{j}]")
+        lines = lines.withColumn("_a", F.expr(bind("a", "_a", f"transform(sequence(0, {out} - 1), i -> {body})")))
         size["z"] = out
-    empty = f"transform(sequence(0, {size['z']} - 1), k -> {fill})"
-    planes = (
-        lines.groupBy(*group, "x")
-        .agg(F.expr("map_from_entries(collect_list(struct(y, _a)))").alias("_m"))
-        .withColumn("_e", F.expr(empty))
-        .withColumn("_a", F.expr(f"transform(sequence(0, {n['y']} - 1), i -> coalesce(_m[i], _e))"))
-    )
+    empty = f"array_repeat({fill}, CAST({size['z']} AS INT))"
+    planes = lines.groupBy(*group, "x").agg(F.expr(dense("struct(y, _a)", n["y"], empty)).alias("_a"))
     planes = _plane_passes(planes, passes.get("y", []), size, "y")
     rows = planes.select(*group, "x", F.posexplode("_a").alias("y", "_a"))
-    stacks = (
-        rows.groupBy(*group, "y")
-        .agg(F.expr("map_from_entries(collect_list(struct(x, _a)))").alias("_m"))
-        .withColumn("_e", F.expr(empty))
-        .withColumn("_a", F.expr(f"transform(sequence(0, {n['x']} - 1), i -> coalesce(_m[i], _e))"))
-    )
+    stacks = rows.groupBy(*group, "y").agg(F.expr(dense("struct(x, _a)", n["x"], empty)).alias("_a"))
     stacks = _plane_passes(stacks, passes.get("x", []), size, "x")
     return (
         stacks.select(*group, "y", F.posexplode("_a").alias("x", "_a"))
@@ -87,12 +76,21 @@ def separable(df: DataFrame, keys: list[str], value: str, shape, passes: dict[st
     )
 
 
+def bind(name: str, expression: str, body: str) -> str:
+    """SQL that evaluates ``expression`` once and uses it as ``name`` in ``body``.
+
+    A plain column would do the same on paper, but the optimizer may push its definition into a lambda of the next
+    projection, where it is computed again for every element.
+    """
+    return f"transform(array({expression}), {name} -> {body})[0]"
+
+
 def _plane_passes(planes: DataFrame, steps: list[Pass], size: dict[str, str], axis: str) -> DataFrame:
     for step in steps:
         out = step.length(size[axis])
-        body = step.element("i", size[axis], lambda j: f"_a[{j}][k]")
-        planes = planes.withColumn("_a", F.expr(
-            f"transform(sequence(0, {out} - 1), i -> transform(sequence(0, {size['z']} - 1), k -> {body}))"))
+        body = step.element("i", size[axis], lambda j: f"a[{j}][k]")
+        planes = planes.withColumn("_a", F.expr(bind(
+            "a", "_a", f"transform(sequence(0, {out} - 1), i -> transform(sequence(0, {size['z']} - 1), k -> {body}))")))
         size[axis] = out
     return planes
 
@@ -119,37 +117,34 @@ def distance_to(points: DataFrame, seeds: DataFrame, keys: list[str], out: str =
     """
     k = int(payload_size)
     order = f"CAST({payload} AS BIGINT)" if payload else "0L"
-    null_safe = [F.col(f"p.{c}") == F.col(f"s.{c}") for c in keys]
-    lines = (
+    planes = (
         seeds.select(*keys, "x", "y", "z", F.expr(order).alias("_o"))
         .repartition(*keys, "x")
-        .groupBy(*keys, "x", "y").agg(F.min("z").alias("_z0"), F.max("z").alias("_z1"),
-                                      F.collect_set(F.struct("z", "_o")).alias("_s"))
+        .groupBy(*keys, "x", "y").agg(F.collect_set(F.struct("z", "_o")).alias("_s"))
+        .groupBy(*keys, "x").agg(F.collect_list(F.struct("y", "_s")).alias("_l"))
     )
-    planes = lines.groupBy(*keys, "x").agg(F.collect_list(F.struct("y", "_s")).alias("_l"))
     # What the points need: the y rows, and the z range, of each key.
+    packed_columns = [c for c in points.columns if c not in {*keys, "y"}]
+    packed = points.groupBy(*keys, "y").agg(F.collect_list(F.struct(*packed_columns)).alias("_p"))
     wanted = points.groupBy(*keys, "y").agg(F.min("z").alias("_z0"), F.max("z").alias("_z1"))
-    span = (wanted.groupBy(*keys).agg(F.min("_z0").alias("_z0"), F.max("_z1").alias("_z1"),
-                                      F.array_sort(F.collect_list("y")).alias("_ys")))
-    planes = planes.join(span, keys) if keys else planes.join(span)
-    planes = (
-        planes
-        .withColumn("_l", F.expr(
-            f"transform(_l, l -> struct(l.y AS y, transform(sequence(_z0, _z1), z -> "
-            f"array_min(transform(l._s, s -> s._o + {k}L * (z - s.z) * (z - s.z)))) AS a))"))
-        .withColumn("_a", F.expr(
-            f"transform(_ys, y -> struct(y AS y, transform(sequence(0, _z1 - _z0), i -> "
-            f"array_min(transform(_l, l -> l.a[i] + {k}L * (y - l.y) * (y - l.y)))) AS a))"))
-        .select(*keys, "x", "_z0", F.explode("_a").alias("_r"))
+    span = wanted.groupBy(*keys).agg(F.min("_z0").alias("_z0"), F.max("_z1").alias("_z1"),
+                                     F.array_sort(F.collect_list("y")).alias("_ys"))
+    along_z = (f"transform(_l, l -> struct(l.y AS y, transform(sequence(_z0, _z1), z -> "
+               f"array_min(transform(l._s, s -> s._o + {k}L * (z - s.z) * (z - s.z)))) AS a))")
+    along_y = (f"transform(_ys, y -> struct(y AS y, transform(sequence(0, _z1 - _z0), i -> "
+               f"array_min(transform(lines, l -> l.a[i] + {k}L * (y - l.y) * (y - l.y)))) AS a))")
+    stacks = (
+        planes.join(span, keys)
+        .select(*keys, "x", "_z0", F.explode(F.expr(bind("lines", along_z, along_y))).alias("_r"))
         .select(*keys, F.col("_r.y").alias("y"), "_z0", F.struct(F.col("x"), F.col("_r.a").alias("a")).alias("_r"))
         .groupBy(*keys, "y", "_z0").agg(F.collect_list("_r").alias("_r"))
     )
-    # Points travel packed as well: one row per (keys, y), rows of a point carry its other columns.
-    rest = [c for c in points.columns if c not in {*keys, "y"}]
-    packed = points.groupBy(*keys, "y").agg(F.collect_list(F.struct(*rest)).alias("_p"))
-    best = f"array_min(transform(_r, r -> r.a[_q.z - _z0] + {k}L * (_q.x - r.x) * (_q.x - r.x)))"
-    joined = packed.join(planes, [*keys, "y"], "left").select(*keys, "y", "_z0", "_r", F.explode("_p").alias("_q"))
-    result = joined.select(*keys, "y", *[F.col(f"_q.{c}").alias(c) for c in rest], F.expr(best).alias("_b"))
+    # The x pass runs inside the packed row of (keys, y) and only its results are exploded.
+    best = f"array_min(transform(_r, r -> r.a[q.z - _z0] + {k}L * (q.x - r.x) * (q.x - r.x)))"
+    fields = ", ".join(f"q.{c} AS {c}" for c in packed_columns)
+    solved = packed.join(stacks, [*keys, "y"], "left").select(
+        *keys, "y", F.explode(F.expr(f"transform(_p, q -> struct({fields}, {best} AS _b))")).alias("_q"))
+    result = solved.select(*keys, "y", *[F.col(f"_q.{c}").alias(c) for c in packed_columns], F.col("_q._b").alias("_b"))
     result = result.withColumn(out, F.expr(f"_b DIV {k}L"))
     if payload:
         result = result.withColumn(payload_out, F.expr(f"CAST(_b % {k}L AS INT)"))

@@ -134,8 +134,8 @@ def face_neighbours(mask: DataFrame, keys: list[str]) -> DataFrame:
     df = mask.repartition(*keys, "x")
     for axis, others in (("z", ("x", "y")), ("y", ("x", "z")), ("x", ("y", "z"))):
         w = Window.partitionBy(*keys, *others).orderBy(axis)
-        df = df.withColumn(f"{axis}m", F.coalesce(F.lag(axis).over(w) == F.col(axis) - 1, F.lit(False)))
-        df = df.withColumn(f"{axis}p", F.coalesce(F.lead(axis).over(w) == F.col(axis) + 1, F.lit(False)))
+        df = df.withColumns({f"{axis}m": F.coalesce(F.lag(axis).over(w) == F.col(axis) - 1, F.lit(False)),
+                             f"{axis}p": F.coalesce(F.lead(axis).over(w) == F.col(axis) + 1, F.lit(False))})
     return df
 
 

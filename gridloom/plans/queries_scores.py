@@ -257,8 +257,8 @@ def _(spark, d):
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------
 
-def dice_sql(source: str = "maps", keys: str = "vol_id") -> str:
-    return (f"SELECT {keys}, CAST(l AS INT) AS label, round(2.0 * count(*) FILTER (gt = l AND seg = l) / (count(*) FILTER (gt = l) + count(*) FILTER (seg = l) + 1e-5), 6) "
+def dice_sql(source: str = "maps", keys: str = "vol_id", digits: int = 6) -> str:
+    return (f"SELECT {keys}, CAST(l AS INT) AS label, round(2.0 * count(*) FILTER (gt = l AND seg = l) / (count(*) FILTER (gt = l) + count(*) FILTER (seg = l) + 1e-5), {digits}) "
             f"AS dice FROM {source}, (SELECT unnest([0, 2, 3, 24, 41, 42]) AS l) t GROUP BY ALL")
 
 
@@ -434,9 +434,9 @@ def predicted_qc(spark, d):
 _QC = "qc AS (SELECT vol_id, label, avg(p) * 1.4 - 0.1 AS score FROM posteriors GROUP BY 1, 2)"
 
 
-@query("qc_difference", with_("posteriors", "maps", extra=_QC + f", di AS ({dice_sql()})") + "SELECT vol_id, label, round(score - dice, 4) AS difference FROM qc JOIN di USING (vol_id, label)")
+@query("qc_difference", with_("posteriors", "maps", extra=_QC + f", di AS ({dice_sql(digits=12)})") + "SELECT vol_id, label, round(score - dice, 5) AS difference FROM qc JOIN di USING (vol_id, label)")
 def _(spark, d):
-    return ev.qc_difference(predicted_qc(spark, d), ev.dice_by_label(fx.maps(spark, d), LABELS)).select("vol_id", "label", r("difference"))
+    return ev.qc_difference(predicted_qc(spark, d), ev.dice_by_label(fx.maps(spark, d), LABELS)).select("vol_id", "label", r("difference", 5))
 
 
 @query("qc_clip_round", with_("posteriors", extra=_QC) + "SELECT vol_id, label, round_even(least(greatest(score, 0), 1), 4) AS score FROM qc WHERE label <> 0")

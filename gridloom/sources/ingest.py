@@ -75,7 +75,7 @@ def decode(path: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _decode_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
+    blank = {part.split()[0]: None for part in SCHEMA.split(", ")}
     for frame in frames:
         for path, raw in zip(frame["path"], frame["content"]):
             try:
@@ -88,15 +88,15 @@ def _decode_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shape = [int(n) for n in vol.shape]
                 grid = vol if vol.ndim == 4 else vol[..., np.newaxis]
             except Exception as problem:
-                yield pd.DataFrame([{"kind": "error", "path": path, "message": f"{type(problem).__name__}: {problem}"}],
-                                   columns=names)
+                yield pd.DataFrame([{**blank, "kind": "error", "path": path,
+                                     "message": f"{type(problem).__name__}: {problem}"}])
                 continue
-            yield pd.DataFrame([{"kind": "meta", "path": path, "shape": shape, "affine": affine.tolist(),
-                                 "res": [float(r) for r in res]}], columns=names)
+            yield pd.DataFrame([{**blank, "kind": "meta", "path": path, "shape": shape, "affine": affine.tolist(),
+                                 "res": [float(r) for r in res]}])
             # One x plane at a time keeps the Arrow batches small.
             for x in range(grid.shape[0]):
-                yield pd.DataFrame([{"kind": "line", "path": path, "x": x, "y": y, "channel": c, "vals": grid[x, y, :, c]}
-                                    for y in range(grid.shape[1]) for c in range(grid.shape[3])], columns=names)
+                yield pd.DataFrame([{**blank, "kind": "line", "path": path, "x": x, "y": y, "channel": c,
+                                     "vals": grid[x, y, :, c]} for y in range(grid.shape[1]) for c in range(grid.shape[3])])
 
 
 def ingest_volumes(spark: SparkSession, folder: str, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
