@@ -12,6 +12,7 @@ from gridloom.functions.order import exact_percentiles
 from gridloom.operators.geometry import align_plan
 from gridloom.operators.intensity import rescale
 from gridloom.operators.labels import check_classes, correct_labels, group_classes, literal_map
+from gridloom.session import materialize
 
 VOXEL = ["vol_id", "x", "y", "z"]
 MAD_SCALE = 1.4826
@@ -91,6 +92,8 @@ def intensity_stats(df: DataFrame, labels: Sequence[int], classes: Sequence[int]
         data = data.where((F.col("class_id") == 0) | (F.col("_v") > 0))
     data = data.where(~F.isnan("_v"))
     group = [*keys, "class_id"]
+    # Four passes read these narrow rows: write them once instead of repeating the join that made them.
+    data = materialize(data)
     med = exact_percentiles(data, group, "_v", [0.5], ["median"]).drop("n")
     dev = data.join(med, group).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
     mad = exact_percentiles(dev, group, "_d", [0.5], ["mad"]).drop("n")

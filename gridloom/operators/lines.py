@@ -120,7 +120,7 @@ def distance_to(points: DataFrame, seeds: DataFrame, keys: list[str], out: str =
     planes = (
         seeds.select(*keys, "x", "y", "z", F.expr(order).alias("_o"))
         .repartition(*keys, "x")
-        .groupBy(*keys, "x", "y").agg(F.collect_set(F.struct("z", "_o")).alias("_s"))
+        .groupBy(*keys, "x", "y").agg(F.collect_list(F.struct("z", "_o")).alias("_s"))
         .groupBy(*keys, "x").agg(F.collect_list(F.struct("y", "_s")).alias("_l"))
     )
     # What the points need: the y rows, and the z range, of each key.

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,9 +171,9 @@ _FORWARD = {6: ((1, 0), (0, 1)), 26: ((1, 0), (0, 1), (1, 1), (1, -1))}
 def component_runs(runs: DataFrame, keys: list[str], connectivity: int = 6, max_rounds: int = 60) -> DataFrame:
     """Label connected runs; adds ``comp``, the smallest run id of the component.
 
-    Runs are nodes and touching runs of neighbouring lines are edges. Edges are contracted to stars by alternating
-    large-star and small-star steps (about log of the diameter rounds), each written once to the shared checkpoint
-    folder. Only the count and a hash of the edge set reach the driver.
+    Runs are nodes and touching runs of neighbouring lines are edges. Edges are first contracted inside compact
+    batches, then across them by alternating large-star and small-star steps, each written once to the shared
+    checkpoint folder. Only the answer whether any grid is left reaches the driver.
     """
     slack = 0 if connectivity == 6 else 1
     nodes = materialize(runs.select(*keys, "x", "y", "z0", "z1").withColumn("id", _run_id("x", "y", "z0")))
@@ -185,13 +186,19 @@ def component_runs(runs: DataFrame, keys: list[str], connectivity: int = 6, max_
         .where((F.col("_a0") <= F.col("z1") + slack) & (F.col("z0") <= F.col("_a1") + slack))
         .select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     )
+    edges = materialize(_contract_locally(edges, keys))
+    settled = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges, keys), keys))
-        if _are_stars(edges, keys):
+        # Only the grids that are not yet all stars go through another round.
+        open_keys = materialize(_unsettled(edges, keys))
+        done = edges.join(open_keys, keys, "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        if open_keys.isEmpty():
             break
+        edges = materialize(_small_star(_large_star(edges.join(open_keys, keys, "left_semi"), keys), keys))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(*keys, F.col("u").alias("id"), F.col("v").alias("_root"))
+    roots = settled.select(*keys, F.col("u").alias("id"), F.col("v").alias("_root"))
     return (nodes.join(roots, [*keys, "id"], "left")
             .select(*keys, "x", "y", "z0", "z1", F.coalesce("_root", "id").alias("comp")))
 
@@ -202,14 +209,50 @@ def _run_id(x: str, y: str, z: str) -> Column:
     return F.shiftleft(wide[0], 42) + F.shiftleft(wide[1], 21) + wide[2]
 
 
-def _are_stars(edges: DataFrame, keys: list[str]) -> bool:
-    """True when each child has one parent and no parent is itself a child."""
+def _contract_locally(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace edges by stars within batches of neighbouring edges.
+
+    Edges are laid out by (keys, slab of x) and sorted, so a batch is a compact piece of one volume or many small
+    volumes. What a batch cannot see is left to the rounds; the result is right for any layout.
+    """
+    slab = F.expr("shiftright(u, 42) DIV 64")
+    laid_out = edges.withColumn("_slab", slab).repartition(*keys, "_slab").drop("_slab").sortWithinPartitions(*keys, "u")
+    schema = laid_out.schema
+
+    def contract(frames):
+        for frame in frames:
+            volume = frame.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(frame), int)
+            ids, place = np.unique(np.concatenate([frame["u"], frame["v"]]), return_inverse=True)
+            node, where = np.unique(np.tile(volume, 2) * len(ids) + place, return_inverse=True)
+            a, b = where[:len(frame)], where[len(frame):]
+            parent = np.arange(len(node))
+            while True:
+                low = np.minimum(parent[a], parent[b])
+                new = parent.copy()
+                np.minimum.at(new, parent[a], low)
+                np.minimum.at(new, parent[b], low)
+                new = new[new]
+                if np.array_equal(new, parent):
+                    break
+                parent = new
+            child = np.flatnonzero(parent != np.arange(len(node)))
+            # One row of each volume gives back its key values.
+            first = frame[keys].iloc[np.unique(volume, return_index=True)[1]].reset_index(drop=True)
+            out = first.iloc[node[child] // len(ids)].reset_index(drop=True)
+            out["u"], out["v"] = ids[node[child] % len(ids)], ids[node[parent[child]] % len(ids)]
+            yield out[[f.name for f in schema]]
+
+    return laid_out.mapInPandas(contract, schema)
+
+
+def _unsettled(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with a child that has two parents or a parent that is itself a child."""
     roles = edges.select(*keys, F.explode(F.array(
         F.struct(F.col("u").alias("id"), F.lit(1).alias("child")),
         F.struct(F.col("v").alias("id"), F.lit(0).alias("child")))).alias("_r")).select(*keys, "_r.id", "_r.child")
     mixed = (roles.groupBy(*keys, "id").agg(F.sum("child").alias("c"), F.count("*").alias("n"))
              .where("c > 1 OR (c = 1 AND n > 1)"))
-    return mixed.isEmpty()
+    return mixed.select(*keys).distinct()
 
 
 def _neighbour_minimum(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -66,12 +66,23 @@ SOLID_SHAPE = (12, 12, 12)
 
 def solids(spark, sf_dir) -> DataFrame:
     """Compact shapes on 12^3 grids, one volume per part, labelled voxels only: vol_id, x, y, z, gt, seg."""
-    grid = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vol_id"), "p_size",
-                                               F.explode(F.sequence(F.lit(0), F.lit(11))).alias("x"))
-    for a in "yz":
-        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(11))))
-    return (grid.select("vol_id", "x", "y", "z", F.expr(SHAPE_GT).alias("gt"), F.expr(SHAPE_SEG).alias("seg"))
-            .where("gt <> 0 OR seg <> 0"))
+    # A part becomes 1728 cells: spread the parts over the tasks before they grow. A given number is not coalesced.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    # Squared offsets are added axis by axis: the inner cells reuse what the outer levels have computed.
+    cells = (
+        parts.select(F.col("p_partkey").alias("vol_id"), F.expr("(2 + p_size % 2) * (2 + p_size % 2)").alias("r17"),
+                     F.expr("(1 + p_size % 3) * (1 + p_size % 3)").alias("r53"), F.expr("p_size % 2").alias("odd"),
+                     F.explode(F.sequence(F.lit(0), F.lit(11))).alias("x"))
+        .selectExpr("*", "(x-4)*(x-4) AS a", "(x-9)*(x-9) AS b", "(x-5)*(x-5) AS c", "explode(sequence(0, 11)) AS y")
+        .selectExpr("vol_id", "x", "y", "r17", "r53", "x = 0 AND y = 0 AS corner", "odd", "a + (y-5)*(y-5) AS a",
+                    "b + (y-6)*(y-6) AS b", "c + (y-5)*(y-5) AS c", "explode(sequence(0, 11)) AS z")
+    )
+    return cells.selectExpr(
+        "vol_id", "x", "y", "z",
+        "CASE WHEN a + (z-6)*(z-6) <= r17 THEN 17 WHEN b + (z-5)*(z-5) <= r53 THEN 53 ELSE 0 END AS gt",
+        "CASE WHEN c + (z-6)*(z-6) <= r17 THEN 17 WHEN b + (z-5)*(z-5) <= r53 THEN 53 WHEN corner AND z <= odd THEN 17 "
+        "ELSE 0 END AS seg").where("gt <> 0 OR seg <> 0")
 
 
 def solid(spark, sf_dir, side: str = "gt") -> DataFrame:
