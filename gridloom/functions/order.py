@@ -64,7 +64,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
     highs = [F.when(small | F.lit(probes[2 * i + 1] >= 1.0), F.col("_max")).otherwise(F.col("_probe")[2 * i + 1])
              for i in range(len(fractions))]
     sketch = sketch.select(*keys, "n", F.array(*lows).alias("_lo"), F.array(*highs).alias("_hi"))
-    joined = _null_safe_join(data, sketch, keys)
+    joined = data.join(sketch, keys)
     inside = None
     for i in range(len(fractions)):
         test = F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i])
@@ -97,8 +97,3 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
             index = F.greatest(F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1), F.lit(0))
             aggs.append(order_stat(index).alias(name))
     return ranked.groupBy(*keys, "n").agg(*aggs)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys) if keys else left.join(right.withColumn("_one", F.lit(1)),
-                                                         F.col("_one") == F.lit(1)).drop("_one")

@@ -108,10 +108,10 @@ def surface_points(pairs: DataFrame, labels: Sequence[int] | None, shape, inclus
     points = pairs.select(*VOXEL, F.explode(both).alias("_s")).select(
         "vol_id", "_s.label", "_s.side", "x", "y", "z")
     ends = points.groupBy(*keys).agg(
-        F.count_distinct("side").alias("_sides"),
+        (F.max("side") - F.min("side")).alias("_both"),
         *[F.min(a).alias(f"_l{a}") for a in "xyz"], *[F.max(a).alias(f"_h{a}") for a in "xyz"])
     grow = 1 if inclusive else 0
-    boxes = ends.where("_sides = 2").select(
+    boxes = ends.where("_both = 1").select(
         *keys, F.array("_lx", "_ly", "_lz").alias("lo"),
         F.array(*[F.col(f"_h{a}") + grow for a in "xyz"]).alias("hi"))
     boxes = boxes.withColumn("extent", F.greatest(*[F.col("hi")[i] - F.col("lo")[i] for i in range(3)]))

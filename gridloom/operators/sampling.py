@@ -9,13 +9,15 @@ from gridloom.functions.order import running_total
 
 
 def weighted_draws(subjects: DataFrame, draws: DataFrame, subject: str = "subject", weight: str = "weight",
-                   u: str = "u", buckets: int = 4096) -> DataFrame:
+                   u: str = "u", buckets: int | None = None) -> DataFrame:
     """Each draw (draw_id, u in [0, 1)) picks the subject whose cumulative weight interval holds u.
 
     The running total over subjects is computed in slices. Intervals and draws meet in equal-width buckets of [0, 1):
     an interval is listed once per bucket it touches, a heavy subject in many, so no bucket holds more than its share
-    of draws and the join is an equi-join with a range left over.
+    of draws and the join is an equi-join with a range left over. There are as many buckets as subjects by default, so
+    interval rows stay below twice the subjects and a bucket holds about one of them.
     """
+    buckets = buckets or max(subjects.count(), 1)
     total = subjects.agg(F.sum(weight)).scalar()
     cum = running_total(subjects.select(F.col(subject), F.col(weight).alias("_w")), [], [F.col(subject)], F.col("_w"), "_hi")
     spans = cum.select(F.col(subject), ((F.col("_hi") - F.col("_w")) / total).alias("_lo"), (F.col("_hi") / total).alias("_up"))
