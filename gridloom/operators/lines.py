@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AXES = ("x", "y", "z")
 # A pass maps (index i, length n, ref) to the SQL of output element i; ref(j) is the SQL of input element j.
@@ -109,43 +112,99 @@ def distance_to(points: DataFrame, seeds: DataFrame, keys: list[str], out: str =
                 payload: str | None = None, payload_size: int = 1, payload_out: str = "payload") -> DataFrame:
     """Exact squared Euclidean distance from every point to the nearest seed with the same keys.
 
-    Min-plus along z, y, x on packed lines. Only lines that hold seeds and only positions that some point asks for
-    are evaluated, so no pair of voxels is ever formed and nothing depends on the size of the empty grid.
+    Separable min-plus: Spark groups the seeds by plane (keys, x), and the plane results by (keys, y) with the points of
+    that row; the sums of squares inside one such row are a few numpy lines on Arrow batches. Only rows some point asks
+    for are evaluated and no pair of voxels is formed beyond a plane.
     ``payload``: an integer column of the seeds in [0, payload_size); the payload of the nearest seed is returned
     too, the smallest one on ties. It rides in the low digits of the minimised number, so one transform serves all
     candidate labels. Points whose key has no seed get NULL.
     """
     k = int(payload_size)
-    order = f"CAST({payload} AS BIGINT)" if payload else "0L"
+    order = F.expr(f"CAST({payload} AS BIGINT)" if payload else "0L")
     planes = (
-        seeds.select(*keys, "x", "y", "z", F.expr(order).alias("_o"))
-        .repartition(*keys, "x")
-        .groupBy(*keys, "x", "y").agg(F.collect_list(F.struct("z", "_o")).alias("_s"))
-        .groupBy(*keys, "x").agg(F.collect_list(F.struct("y", "_s")).alias("_l"))
+        seeds.groupBy(*keys, "x").agg(F.collect_list(F.struct("y", "z", order.alias("o"))).alias("_s"))
     )
     # What the points need: the y rows, and the z range, of each key.
-    packed_columns = [c for c in points.columns if c not in {*keys, "y"}]
-    packed = points.groupBy(*keys, "y").agg(F.collect_list(F.struct(*packed_columns)).alias("_p"))
+    rest = [c for c in points.columns if c not in {*keys, "y"}]
+    packed = points.groupBy(*keys, "y").agg(F.collect_list(F.struct(*rest)).alias("_p"))
     wanted = points.groupBy(*keys, "y").agg(F.min("z").alias("_z0"), F.max("z").alias("_z1"))
     span = wanted.groupBy(*keys).agg(F.min("_z0").alias("_z0"), F.max("_z1").alias("_z1"),
                                      F.array_sort(F.collect_list("y")).alias("_ys"))
-    along_z = (f"transform(_l, l -> struct(l.y AS y, transform(sequence(_z0, _z1), z -> "
-               f"array_min(transform(l._s, s -> s._o + {k}L * (z - s.z) * (z - s.z)))) AS a))")
-    along_y = (f"transform(_ys, y -> struct(y AS y, transform(sequence(0, _z1 - _z0), i -> "
-               f"array_min(transform(lines, l -> l.a[i] + {k}L * (y - l.y) * (y - l.y)))) AS a))")
+    located = planes.join(span, keys).select(
+        *keys, "x", "_z0", "_z1", "_ys", F.col("_s.y").alias("_y"), F.col("_s.z").alias("_z"), F.col("_s.o").alias("_o"))
+    kept = [*keys, "x", "_z0"]
+    schema = T.StructType([located.schema[c] for c in kept] + [
+        T.StructField("y", T.IntegerType()), T.StructField("a", T.ArrayType(T.LongType()))])
     stacks = (
-        planes.join(span, keys)
-        .select(*keys, "x", "_z0", F.explode(F.expr(bind("lines", along_z, along_y))).alias("_r"))
-        .select(*keys, F.col("_r.y").alias("y"), "_z0", F.struct(F.col("x"), F.col("_r.a").alias("a")).alias("_r"))
-        .groupBy(*keys, "y", "_z0").agg(F.collect_list("_r").alias("_r"))
+        located.mapInPandas(_plane_rows(kept, k), schema)
+        .groupBy(*keys, "y", "_z0").agg(F.collect_list(F.struct("x", "a")).alias("_r"))
+    )
+    best = _stack_minimum(F.col("_r.x"), F.flatten(F.col("_r.a")), F.col("_z0"), F.col("_p.x"), F.col("_p.z"), F.lit(k))
+    fields = ", ".join(f"q.{c} AS {c}" for c in rest)
+    solved = (
+        packed.join(stacks, [*keys, "y"], "left").select(*keys, "y", "_p", best.alias("_b"))
+        .select(*keys, "y", F.explode(F.expr(f"transform(_p, (q, i) -> struct({fields}, _b[i] AS _b))")).alias("_q"))
     )
-    # The x pass runs inside the packed row of (keys, y) and only its results are exploded.
-    best = f"array_min(transform(_r, r -> r.a[q.z - _z0] + {k}L * (q.x - r.x) * (q.x - r.x)))"
-    fields = ", ".join(f"q.{c} AS {c}" for c in packed_columns)
-    solved = packed.join(stacks, [*keys, "y"], "left").select(
-        *keys, "y", F.explode(F.expr(f"transform(_p, q -> struct({fields}, {best} AS _b))")).alias("_q"))
-    result = solved.select(*keys, "y", *[F.col(f"_q.{c}").alias(c) for c in packed_columns], F.col("_q._b").alias("_b"))
+    result = solved.select(*keys, "y", *[F.col(f"_q.{c}").alias(c) for c in rest], F.col("_q._b").alias("_b"))
     result = result.withColumn(out, F.expr(f"_b DIV {k}L"))
     if payload:
         result = result.withColumn(payload_out, F.expr(f"CAST(_b % {k}L AS INT)"))
     return result.select(*points.columns, out, *([payload_out] if payload else []))
+
+
+def _plane_minimum(y, z, o, rows, cols, scale: int) -> np.ndarray:
+    """min over the seeds (y, z) of one plane of o + scale * squared distance, at every row and column."""
+    if len(y) * len(rows) * len(cols) <= 100_000:
+        far = (y[:, None, None] - rows[:, None]) ** 2 + (z[:, None, None] - cols) ** 2
+        return (o[:, None, None] + scale * far).min(axis=0)
+    lines, at = np.unique(y, return_inverse=True)
+    best = np.full((len(rows), len(cols)), np.iinfo(np.int64).max)
+    for i, line in enumerate(lines):
+        mine = at == i
+        along = (o[mine, None] + scale * (z[mine, None] - cols) ** 2).min(axis=0)
+        np.minimum(best, along + scale * (rows[:, None] - line) ** 2, out=best)
+    return best
+
+
+def _plane_rows(kept: list[str], scale: int, cells_per_batch: int = 1_000_000):
+    """Planes in, their solved rows out, in batches of bounded size."""
+    whole = lambda v: np.asarray(v, dtype=np.int64)
+
+    def run(frames):
+        for frame in frames:
+            take, rows_out, lines, cells = [], [], [], 0
+
+            def batch():
+                out = frame[kept].iloc[take].reset_index(drop=True)
+                return out.assign(y=rows_out, a=lines)
+
+            columns = (frame[c] for c in ("_y", "_z", "_o", "_ys", "_z0", "_z1"))
+            for i, (y, z, o, rows, first, last) in enumerate(zip(*columns)):
+                best = _plane_minimum(whole(y), whole(z), whole(o), whole(rows), np.arange(first, last + 1), scale)
+                take += [i] * len(best)
+                rows_out += list(rows)
+                lines += list(best)
+                cells += best.size
+                if cells >= cells_per_batch:
+                    yield batch()
+                    take, rows_out, lines, cells = [], [], [], 0
+            if take:
+                yield batch()
+    return run
+
+
+@F.pandas_udf("array<bigint>")
+def _stack_minimum(xs: pd.Series, stack: pd.Series, z0: pd.Series, qx: pd.Series, qz: pd.Series, k: pd.Series) -> pd.Series:
+    """Per row (keys, y): min over planes x of the plane value + k * dx^2, at the points (qx, qz) of the row."""
+    def solve(planes, values, first, px, pz, scale):
+        if planes is None or first is None or first != first:
+            return np.full(len(px), None)
+        planes, px, pz = (np.asarray(v, dtype=np.int64) for v in (planes, px, pz))
+        table = np.asarray(values, dtype=np.int64).reshape(len(planes), -1)
+        out = np.empty(len(px), np.int64)
+        step = max(1, 1_000_000 // len(planes))
+        for at in range(0, len(px), step):
+            x, z = px[at:at + step], pz[at:at + step] - int(first)
+            out[at:at + step] = (table[:, z] + scale * (planes[:, None] - x) ** 2).min(axis=0)
+        return out
+    return pd.Series([solve(*row) for row in zip(xs, stack, z0, qx, qz, k)])
