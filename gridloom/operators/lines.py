@@ -193,7 +193,7 @@ def _plane_rows(kept: list[str], scale: int, cells_per_batch: int = 1_000_000):
     return run
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _stack_minimum(xs: pd.Series, stack: pd.Series, z0: pd.Series, qx: pd.Series, qz: pd.Series, k: pd.Series) -> pd.Series:
     """Per row (keys, y): min over planes x of the plane value + k * dx^2, at the points (qx, qz) of the row."""
     def solve(planes, values, first, px, pz, scale):
