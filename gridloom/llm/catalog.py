@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from gridloom.llm import repetition  # noqa: F401
+    from gridloom.llm import mixing, repetition  # noqa: F401
