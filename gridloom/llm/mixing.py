@@ -19,7 +19,7 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = "mix-1"
 #: Hexadecimal digits of the sampling key that name a slice; the slice that holds the cut is then ordered exactly.
-SLICE_DIGITS = 4
+SLICE_DIGITS = 3
 
 
 def word_count(text: str) -> Column:
