@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from gridloom.llm import mixing, repetition, secrets  # noqa: F401
+    from gridloom.llm import mixing, packing, repetition, secrets  # noqa: F401
