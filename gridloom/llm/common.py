@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 WORD = re.compile("[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
-MAX_SIGNED = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
