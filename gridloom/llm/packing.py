@@ -21,6 +21,8 @@ from gridloom.llm.tokens import WordTokenizer
 from gridloom.plans.registry import query
 
 END_ID = 2
+#: Bytes of text that are tokenized together.
+CHUNK_BYTES = 2 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -181,9 +183,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         packer = Packer(limits, emit)
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            for key, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                ids = np.append(tokenizer.encode(data[a:b].tobytes()), np.uint32(end_id)).astype("<u4")
-                packer.add(Piece(key, ids, loss(ids), 0, len(ids)))
+            keys, at = batch.column(0).to_pylist(), 0
+            while at < len(keys):
+                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
+                texts = [data[bounds[i]:bounds[i + 1]].tobytes() for i in range(at, upto)]
+                for key, found in zip(keys[at:upto], tokenizer.encode_all(texts)):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
+                    packer.add(Piece(key, ids, loss(ids), 0, len(ids)))
+                at = upto
                 if held > 2_000_000:
                     yield flush()
         packer.finish()

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 
+#: A word of Latin letters followed by ASCII punctuation but the apostrophe: the default tokenizer cuts it there.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of text whose words are held as Python objects at once, and words remembered with their ids.
-BLOCK_BYTES, MOST_WORDS = 1 << 20, 300_000
+BLOCK_BYTES, MOST_WORDS = 1 << 20, 600_000
 
 
 def default_tokenizer() -> str:
@@ -31,42 +34,104 @@ def word_blocks(text: bytes) -> Iterator[list[bytes]]:
 class WordTokenizer:
     """Ids per word, looked up once per distinct word: a text's ids are those of its words in a row.
 
-    This holds for tokenizers that drop white space and never join across it, as the default one.
+    This holds for tokenizers that drop white space and never join across it, as the default one. New words are
+    encoded together, each followed by a marker word of one id that shows where the ids of each end.
     """
 
+    MARKER = "\x01"
+
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path or default_tokenizer())
+        ids = self._ids(self.MARKER)
+        self.marker = int(ids[0]) if len(ids) == 1 else None
+        self.splits = path is None and self.marker is not None
         self._forget()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def _forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.parts: dict[str, int] = {}
+        self.part_ids, self.part_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 14, np.int64)  # one more than words, the last where the next word begins
+
+    def _append(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, at = len(self.index), int(self.starts[len(self.index)])
+        for name, need in (("flat", at + len(ids)), ("starts", n + len(words) + 1)):
+            old = getattr(self, name)
+            if need > len(old):
+                grown = np.zeros(max(need, 2 * len(old)), old.dtype)
+                grown[:len(old)] = old
+                setattr(self, name, grown)
+        self.flat[at:at + len(ids)] = ids
+        self.starts[n + 1:n + len(words) + 1] = at + np.cumsum(sizes)
+        self.index.update(zip(words, range(n, n + len(words))))
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > MOST_WORDS:
-            self._forget()
-        found = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        alone = [w for w in words if b"\x01" in w] if self.marker is not None else words
+        if len(alone) < len(words):
+            together = [w for w in words if b"\x01" not in w] if alone else words
+            self._append(together, *self._split(together) if self.splits else self._marked(b"\n".join(together).decode().split("\n")))
+        for word in alone:
+            ids = self._ids(word.decode())
+            self._append([word], ids, np.array([len(ids)]))
+
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        ids = self._ids(f" {self.MARKER} ".join([*words, ""]))
+        return ids[ids != self.marker], np.diff(np.r_[-1, np.flatnonzero(ids == self.marker)]) - 1
+
+    def _split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As _marked, by way of lower-case letters and the punctuation after them, which many words share."""
+        parts, known = self.parts, len(self.parts)
+        firsts, seconds = [], []
+        for word in b"\n".join(words).decode().split("\n"):
+            found = _SIMPLE.fullmatch(word)
+            letters, rest = (found[1].lower(), found[2]) if found else (word, "")
+            firsts.append(parts.setdefault(letters, len(parts)))
+            seconds.append(parts.setdefault(rest, len(parts)) if rest else -1)
+        if len(parts) > known:
+            ids, sizes = self._marked(list(islice(parts, known, None)))
+            self.part_ids = np.concatenate([self.part_ids, ids])
+            self.part_sizes = np.concatenate([self.part_sizes, sizes])
+        starts = np.r_[np.cumsum(self.part_sizes) - self.part_sizes, 0]
+        sizes = np.r_[self.part_sizes, 0]  # -1: no second part
+        pairs = np.array([firsts, seconds]).T.ravel()
+        return _gather(self.part_ids, starts[pairs], sizes[pairs]), sizes[pairs].reshape(-1, 2).sum(axis=1)
 
     def encode(self, text: bytes) -> np.ndarray:
-        parts = []
-        for words in word_blocks(text):
-            distinct = set(words)
-            new = distinct.difference(self.index)
-            if new:
-                if len(self.index) + len(new) > MOST_WORDS:
-                    self._forget()
-                    new = distinct
-                self._learn(list(new))
-            at = np.array(list(map(self.index.__getitem__, words)), np.int64)
-            if len(at):
-                sizes = self.ends[at + 1] - self.ends[at]
-                shift = self.ends[at] - (np.cumsum(sizes) - sizes)
-                parts.append(self.flat[np.repeat(shift, sizes) + np.arange(sizes.sum())])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Give some MB at a time: their words are looked up together."""
+        if sum(map(len, texts)) > 4 * BLOCK_BYTES:
+            return [np.concatenate([np.zeros(0, np.uint32), *(self._of(w)[0] for w in word_blocks(t))]) for t in texts]
+        lists = [t.split() for t in texts]
+        ids, ends = self._of([w for words in lists for w in words])
+        upto = ends[np.cumsum([0, *map(len, lists)])]
+        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
+    def _of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and the number of ids before each word, one longer than ``words``."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = {words[i] for i in unknown}
+            if len(self.index) + len(new) > MOST_WORDS:
+                self._forget()
+                new, unknown = set(words), range(len(words))
+            self._learn(list(new))
+            at[unknown] = [self.index[words[i]] for i in unknown]
+        sizes = self.starts[at + 1] - self.starts[at]
+        return _gather(self.flat, self.starts[at], sizes), np.r_[0, np.cumsum(sizes)]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices [start, start + size) of ``flat``, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]

@@ -60,3 +60,16 @@ def test_limits_hold(limits):
     for p in (p for pieces in out for p in pieces):
         taken[p.key] += p.end - p.start
     assert taken.tolist() == given
+
+
+def test_ids_equal_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    from gridloom.llm.tokens import WordTokenizer
+    model, words = Tokenizer.from_file(default_tokenizer()), WordTokenizer()
+    rng = np.random.default_rng(3)
+    alphabet = list("abcXYZéÀßÆ'.,!*$&_<|>09 \n\t\x01\x1c  ǅİΣςﬁ") + ["don't", "I'LL", "<|endoftext|>", "é"]
+    texts = ["".join(rng.choice(alphabet, 60)) for _ in range(400)]
+    got = words.encode_all([t.encode() for t in texts])
+    for t, ids in zip(texts, got):
+        assert ids.tolist() == model.encode(t, add_special_tokens=False).ids
