@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from gridloom.llm import mixing, near, packing, repetition, secrets  # noqa: F401
+    from gridloom.llm import mixing, near, packing, repetition, secrets, topk  # noqa: F401
