@@ -34,7 +34,7 @@ START_TEXTS, START_STEPS = 2_000, 12
 #: Tokens whose recursions run together; longer texts than LONG run with their like.
 TOGETHER, LONG = 600_000, 2_048
 #: Share of the corpus distribution in the emissions of each state, and pseudo-transitions.
-CORPUS_SHARE, PRIOR = 0.2, 50.0
+CORPUS_SHARE, PRIOR = 0.3, 50.0
 FLUSH_WORDS = 200_000
 
 

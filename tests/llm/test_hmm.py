@@ -46,8 +46,8 @@ def test_recursions_match_sums_over_paths():
 
 def test_query_base_and_gain(spark):
     from gridloom.llm.hmm import op5
-    rows = op5(spark, "/root/testdata/sf0.001").collect()
-    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op5(spark, "/root/testdata/sf0.01").collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     split = {i: [*t.encode().lower().split(), None] for i, t in docs.items()}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}
     counts = Counter(w for i, ws in split.items() if not held[i] for w in ws)
