@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from gridloom.llm import hmm, mixing, near, packing, private, repetition, secrets, topk  # noqa: F401
+    from gridloom.llm import hmm, mixing, near, packing, private, repetition, secrets, topk, urls  # noqa: F401

@@ -217,7 +217,7 @@ def _first_model(texts: list[np.ndarray], corpus: np.ndarray, states: int) -> Mo
     for _ in range(START_STEPS):
         emit = np.stack([np.bincount(classes, weight[text, j], CLASSES) for j in range(states)], axis=1)
         prior = weight.mean(axis=0) + 1e-3
-        logs = np.log(Model.from_counts(prior, np.eye(states), emit, corpus).emit)
+        logs = np.log(np.maximum(Model.from_counts(prior, np.eye(states), emit, corpus).emit, 1e-300))
         score = np.stack([np.bincount(text, logs[classes, j], len(texts)) for j in range(states)], axis=1) + np.log(prior)
         score -= score.max(axis=1, keepdims=True)
         weight = np.exp(score)
