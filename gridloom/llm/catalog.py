@@ -1,5 +1,11 @@
-"""Imports the modules that register the corpus queries."""
+"""Imports the modules that register the corpus queries, and registers the pipeline."""
+
+from gridloom.plans import registry
 
 
 def load() -> None:
-    from gridloom.llm import hmm, mixing, near, packing, private, repetition, secrets, topk, urls  # noqa: F401
+    from gridloom.llm import hmm, mixing, near, packing, private, quality, repetition, secrets, topk, urls  # noqa: F401
+
+    if "pipeline" not in registry.QUERIES:
+        import corpus_pipeline
+        registry.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -16,9 +16,9 @@ from gridloom.llm.common import RollingHash, repeated, table, text_bytes, word_b
 from gridloom.plans.registry import query
 
 #: n-gram length -> largest share of the characters of words that duplicated n-grams may cover.
-LIMITS = {5: 0.20, 7: 0.18, 10: 0.15}
+LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
 #: Largest share of the characters of words in lines that repeat an earlier line.
-LINE_LIMIT = 0.30
+LINE_LIMIT = 0.40
 MIN_WORDS = 10
 BASE_WINDOW, BASE_PERCENT = 5, 20
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
