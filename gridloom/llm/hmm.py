@@ -64,6 +64,22 @@ def _counted(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long")
 
 
+def _with_levels(counts: DataFrame) -> tuple[DataFrame, int]:
+    """counts (word, c) with a level that rises with c, and the least level above which there are at most HEAD words.
+
+    There are a few thousand levels whatever the counts, so that only those are collected to find the limit.
+    """
+    high = 4096 + F.floor(256 * (F.log2("c") - 12))
+    counts = counts.withColumn("level", F.when(F.col("c") < 4096, F.col("c")).otherwise(high).cast("long"))
+    least, words = 0, 0
+    for level, n in sorted(((r.level, r.n) for r in counts.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        words += n
+        if words > HEAD:
+            least = level
+            break
+    return counts, least
+
+
 def _encoded(rows: DataFrame, head: dict[bytes, tuple[int, int]]) -> DataFrame:
     """rows (id, held_out, text) as class numbers, with what the head words add to the base score, and the other words."""
     names = ["id", "held_out", "n_tokens", "head_known", "head_log", "classes", "tail"]
@@ -250,13 +266,13 @@ def language_model_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     texts = rows.where("NOT held_out").count()
     tokens, distinct = words + texts, kinds + (texts > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # HEAD rows at most
+    counts, least = _with_levels(counts)
+    top = sorted(counts.where(F.col("level") > least).collect(), key=lambda r: (-r.c, bytes(r.word)))  # HEAD rows at most
     head = {bytes(r.word): (i, r.c) for i, r in enumerate(top)}
 
     encoded = materialize(_encoded(rows, head).withColumn("uid", F.monotonically_increasing_id()))
     place = (F.lit(HEAD) + F.pmod(F.crc32("word"), F.lit(TAIL))).cast("int")
-    least = (top[-1].c, bytes(top[-1].word)) if len(top) == HEAD else (0, b"")
-    tail_words = counts.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(bytearray(least[1])))))
+    tail_words = counts.where(F.col("level") <= least)
     tail_words = materialize(tail_words.withColumn("class", place))
     per_class = tail_words.groupBy("class").agg(F.sum("c").alias("class_c"), F.count("*").alias("class_v")).collect()  # TAIL rows at most
     sums = {r["class"]: (r.class_c, r.class_v) for r in per_class}
