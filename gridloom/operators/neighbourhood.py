@@ -160,6 +160,21 @@ def signed_distance_cropped(df: DataFrame, shape, crop_margin: int, labels: Sequ
             .select(*VOXEL, F.coalesce("distance", "_min").alias("distance")))
 
 
+def nearest_label(points: DataFrame, seeds: DataFrame, keys: list[str], most: int = 1 << 20) -> DataFrame:
+    """points with _d2, the squared distance to the nearest seed of their keys, and _new, its label ``_cand``.
+
+    Any label numbers do: the transform carries their place in the order of all distinct labels, so that ties still go to
+    the smallest. More than ``most`` distinct labels are an error.
+    """
+    place = F.row_number().over(Window.orderBy("_cand")) - 1
+    names = seeds.select("_cand").distinct().withColumn("_place", place)
+    names = names.withColumn("_place", F.when(F.col("_place") < most, F.col("_place")).otherwise(
+        F.raise_error(F.lit("too many distinct labels")).cast("int")))
+    coded = seeds.join(names, "_cand").drop("_cand").withColumnRenamed("_place", "_cand")
+    near = distance_to(points, coded, keys, "_d2", "_cand", most, "_at")
+    return near.join(names.select(F.col("_place").alias("_at"), F.col("_cand").alias("_new")), "_at", "left").drop("_at")
+
+
 def erode_labels(df: DataFrame, labels: Sequence[int], factors: Sequence[float], shape,
                  label: str = "label") -> DataFrame:
     """Shrink the listed labels one after the other. An integer factor is the radius of a ball; a fraction keeps the
@@ -179,8 +194,8 @@ def erode_labels(df: DataFrame, labels: Sequence[int], factors: Sequence[float],
         boxes = region_box(lost, shape, margin=3).select("vol_id", "lo", "hi")
         near_by = out.join(boxes, "vol_id").where(" AND ".join(
             f"{a} >= lo[{i}] AND {a} < hi[{i}]" for i, a in enumerate("xyz"))).where(F.col(label) != lab)
-        near = distance_to(lost, near_by.select(*VOXEL, F.col(label).alias("_cand")), ["vol_id"], "_d2", "_cand",
-                           1 << 20, "_new").where("_d2 IS NOT NULL").select(*VOXEL, "_new")
+        near = nearest_label(lost, near_by.select(*VOXEL, F.col(label).alias("_cand")), ["vol_id"])
+        near = near.where("_d2 IS NOT NULL").select(*VOXEL, "_new")
         out = (out.join(near, VOXEL, "left")
                .withColumn(label, F.coalesce("_new", F.col(label))).drop("_new"))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.order import running_total
+from gridloom.session import materialize
 
 
 def weighted_draws(subjects: DataFrame, draws: DataFrame, subject: str = "subject", weight: str = "weight",
@@ -20,7 +21,11 @@ def weighted_draws(subjects: DataFrame, draws: DataFrame, subject: str = "subjec
     buckets = buckets or max(subjects.count(), 1)
     total = subjects.agg(F.sum(weight)).scalar()
     cum = running_total(subjects.select(F.col(subject), F.col(weight).alias("_w")), [], [F.col(subject)], F.col("_w"), "_hi")
-    spans = cum.select(F.col(subject), ((F.col("_hi") - F.col("_w")) / total).alias("_lo"), (F.col("_hi") / total).alias("_up"))
+    cum = materialize(running_total(cum, [], [F.col(subject)], F.lit(1), "_n"))
+    # An interval starts at the very number at which the one before ends, and the last one ends at 1: no draw falls between.
+    before = cum.select((F.col("_n") + 1).alias("_n"), (F.col("_hi") / total).alias("_lo"))
+    up = F.when(F.col("_n") == subjects.count(), F.lit(1.0)).otherwise(F.col("_hi") / total)
+    spans = cum.join(before, "_n", "left").select(F.col(subject), F.coalesce("_lo", F.lit(0.0)).alias("_lo"), up.alias("_up"))
     first, last = F.floor(F.col("_lo") * buckets), F.least(F.floor(F.col("_up") * buckets), F.lit(buckets - 1))
     spans = spans.withColumn("_b", F.explode(F.sequence(first, last)))
     d = draws.withColumn("_b", F.floor(F.col(u) * buckets))

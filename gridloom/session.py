@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary folder is made and remembered in the session.
+    a temporary folder is made and remembered in the session. A cluster without that setting is an error: its
+    machines would not see each other's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gridloom.scratch", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.gridloom.scratch", root)
     return root
