@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.session import materialize
 
 
+def beside(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` joined with the row of ``facts`` that has the same keys; NULL keys are equal to each other."""
+    other = {k: f"_k{i}" for i, k in enumerate(keys)}
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()])
+    return df.join(facts.withColumnsRenamed(other), same).drop(*other.values())
+
+
 def running_total(df: DataFrame, keys: list[str], order: list, value: Column, out: str) -> DataFrame:
     """Inclusive running total of ``value`` per ``keys`` in ``order``.
 
@@ -29,8 +38,7 @@ def running_total(df: DataFrame, keys: list[str], order: list, value: Column, ou
         .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), zero)).drop("_sum")
     )
     return (
-        sliced.withColumn("_local", F.sum("_value").over(local))
-        .join(offsets, [*keys, "_slice"])
+        beside(sliced.withColumn("_local", F.sum("_value").over(local)), offsets, [*keys, "_slice"])
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_value", "_slice", "_local", "_before")
     )
@@ -64,7 +72,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: lis
     highs = [F.when(small | F.lit(probes[2 * i + 1] >= 1.0), F.col("_max")).otherwise(F.col("_probe")[2 * i + 1])
              for i in range(len(fractions))]
     sketch = sketch.select(*keys, "n", F.array(*lows).alias("_lo"), F.array(*highs).alias("_hi"))
-    joined = data.join(sketch, keys)
+    joined = beside(data, sketch, keys)
     inside = None
     for i in range(len(fractions)):
         test = F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i])

@@ -24,22 +24,24 @@ def _listed(volumes: DataFrame, values: Sequence[int], name: str) -> DataFrame:
 
 
 def hard_volumes(df: DataFrame, labels: Sequence[int] | None = None, voxel_volume: float = 1.0,
-                 skip_background: bool = True, label: str = "label") -> DataFrame:
+                 skip_background: bool = True, label: str = "label", volumes: DataFrame | None = None) -> DataFrame:
     """Voxel count per volume and label times the voxel volume. Listed labels that are absent give 0; the first listed
-    label (0 without a list) is the background."""
+    label (0 without a list) is the background. ``volumes`` (vol_id) names all volumes, so that those without a single
+    voxel row get their zeros as well."""
     counts = df.groupBy("vol_id", F.col(label).alias("label")).agg(F.count("*").alias("_n"))
     if labels is None:
         rows = counts.where("label <> 0") if skip_background else counts
     else:
         wanted = list(labels)[1:] if skip_background else list(labels)
-        rows = _listed(counts.select("vol_id").distinct(), wanted, "label").join(counts, ["vol_id", "label"], "left")
+        every = (counts if volumes is None else volumes).select("vol_id").distinct()
+        rows = _listed(every, wanted, "label").join(counts, ["vol_id", "label"], "left")
     return rows.select("vol_id", "label", (F.coalesce("_n", F.lit(0)) * float(voxel_volume)).alias("volume"))
 
 
 def hard_volumes_dataset(df: DataFrame, meta: DataFrame, labels: Sequence[int] | None = None,
                          skip_background: bool = True, label: str = "label") -> DataFrame:
     """The same for a dataset, each volume with its own voxel volume, to 3 decimals."""
-    vols = hard_volumes(df, labels, 1.0, skip_background, label)
+    vols = hard_volumes(df, labels, 1.0, skip_background, label, meta)
     size = meta.select("vol_id", (F.col("rx") * F.col("ry") * F.col("rz")).alias("_vv"))
     return vols.join(size, "vol_id").select("vol_id", "label", F.bround(F.col("volume") * F.col("_vv"), 3).alias("volume"))
 
@@ -167,5 +169,10 @@ def unique_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy("vol_id").agg(F.sort_array(F.collect_set(label)).alias("labels"))
 
 
-def foreground_count(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.groupBy("vol_id").agg(F.count_if(F.col(label) > 0).alias("n_foreground"))
+def foreground_count(df: DataFrame, label: str = "label", volumes: DataFrame | None = None) -> DataFrame:
+    """Labelled voxels per volume, 0 for those of ``volumes`` (vol_id) without a row."""
+    counts = df.groupBy("vol_id").agg(F.count_if(F.col(label) > 0).alias("n_foreground"))
+    if volumes is None:
+        return counts
+    return (volumes.select("vol_id").distinct().join(counts, "vol_id", "left")
+            .select("vol_id", F.coalesce("n_foreground", F.lit(0).cast("bigint")).alias("n_foreground")))

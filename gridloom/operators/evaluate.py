@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import accumulate
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.order import running_total
-from gridloom.operators.geometry import crop_to_box, region_box
+from gridloom.functions.order import beside, running_total
+from gridloom.operators.geometry import align, crop_to_box, region_box
 from gridloom.operators.labels import correct_labels, correct_labels_nearest
 from gridloom.operators.lines import attach_shape, distance_to
 from gridloom.operators.morphology import face_neighbours
@@ -31,41 +32,63 @@ def pair_maps(gt: DataFrame, seg: DataFrame, label: str = "label") -> DataFrame:
             .agg(F.coalesce(F.max("gt"), F.lit(0)).alias("gt"), F.coalesce(F.max("seg"), F.lit(0)).alias("seg")))
 
 
-def _contingency(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return pairs.groupBy(*keys, "gt", "seg").agg(F.count("*").alias("n"))
+_CELLS = "ARRAY<STRUCT<gt: INT, seg: INT, n: BIGINT>>"
 
 
-def _marginals(table: DataFrame, keys: Sequence[str], labels: Sequence[int] | None) -> DataFrame:
-    """Per label: voxels in both, in gt, in seg, from a contingency table of at most labels^2 rows per volume."""
-    same = F.when(F.col("gt") == F.col("seg"), F.col("n")).otherwise(0)
-    sides = F.array(F.struct(F.col("gt").alias("label"), same.alias("i"), F.col("n").alias("a"), F.lit(0).cast("bigint").alias("b")),
-                    F.struct(F.col("seg").alias("label"), F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("a"),
-                             F.col("n").alias("b")))
-    rows = table.select(*keys, F.explode(sides).alias("_s")).select(*keys, "_s.*")
-    if labels is not None:
-        zero = table.select(*keys).distinct().select(
-            *keys, F.explode(F.array(*[F.lit(int(v)) for v in labels])).alias("label"),
-            *[F.lit(0).cast("bigint").alias(c) for c in ("i", "a", "b")])
-        rows = rows.where(F.col("label").isin([int(v) for v in labels])).unionByName(zero)
+def contingency(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cells): the counts of a volume's value pairs as one list of (gt, seg, n), at most labels^2 long."""
+    counts = pairs.groupBy(*keys, F.col("gt").cast("int").alias("gt"), F.col("seg").cast("int").alias("seg")).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.collect_list(F.struct("gt", "seg", "n")).alias("cells"))
+
+
+def whole_grid(table: DataFrame, keys: Sequence[str], shape) -> DataFrame:
+    """Contingency lists with the voxels that neither map lists added to cell (0, 0).
+
+    ``shape``: a tuple for all volumes, or a table (vol_id, nx, ny, nz); every volume of that table is listed then,
+    where ``keys`` is the volume alone.
+    """
+    if isinstance(shape, DataFrame):
+        size = shape.select("vol_id", F.expr("CAST(nx AS BIGINT) * ny * nz").alias("_all"))
+        table = table.join(size, "vol_id", "right" if list(keys) == ["vol_id"] else "inner")
+    else:
+        table = table.withColumn("_all", F.lit(prod(int(n) for n in shape)).cast("bigint"))
+    cells = F.coalesce("cells", F.expr(f"CAST(array() AS {_CELLS})")).alias("cells")
+    rest = "array(named_struct('gt', 0, 'seg', 0, 'n', _all - aggregate(cells, 0L, (s, c) -> s + c.n)))"
+    return table.select(*keys, "_all", cells).select(*keys, F.expr(f"concat(cells, {rest})").alias("cells"))
+
+
+def _marginals(table: DataFrame, keys: Sequence[str], labels: Sequence[int], within: tuple[int, int] | None = None) -> DataFrame:
+    """Per listed label: voxels in both (i), in gt (a), in seg (b); only of cells with both values ``within`` a range."""
+    listed = ", ".join(str(int(v)) for v in labels)
+    low, high = within or (0, 0)
+    used = f"filter(cells, c -> c.gt BETWEEN {low} AND {high} AND c.seg BETWEEN {low} AND {high})" if within else "cells"
+    sides = (f"concat(transform({used}, c -> named_struct('label', c.gt, 'i', IF(c.gt = c.seg, c.n, 0L), 'a', c.n, 'b', 0L)), "
+             f"transform({used}, c -> named_struct('label', c.seg, 'i', 0L, 'a', 0L, 'b', c.n)), "
+             f"transform(array({listed}), v -> named_struct('label', v, 'i', 0L, 'a', 0L, 'b', 0L)))")
+    rows = table.select(*keys, F.explode(F.expr(sides)).alias("_s")).select(*keys, "_s.*").where(f"label IN ({listed})")
     return rows.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("i", "a", "b")])
 
 
-def dice_by_label(pairs: DataFrame, labels: Sequence[int], keys: Sequence[str] = ("vol_id",)) -> DataFrame:
+def dice_by_label(pairs: DataFrame, labels: Sequence[int], keys: Sequence[str] = ("vol_id",), shape=None) -> DataFrame:
     """Dice of every listed label: keys, label, dice.
 
     Only voxels where both values lie within the range of the list count, and 1e-5 is added below the bar. A list of
-    one label uses the plain binary form instead. One aggregation for all labels of all volumes.
+    one label uses the plain binary form instead. One aggregation for all labels of all volumes. Sparse maps need
+    ``shape`` (see ``whole_grid``) for the score of the background and for volumes without any row.
     """
+    return dice_of_counts(contingency(pairs, keys), labels, keys, shape)
+
+
+def dice_of_counts(table: DataFrame, labels: Sequence[int], keys: Sequence[str] = ("vol_id",), shape=None) -> DataFrame:
+    """``dice_by_label`` from contingency lists; entries of one cell add up."""
+    if shape is not None:
+        table = whole_grid(table, keys, shape)
     labels = [int(v) for v in labels]
     if len(labels) == 1:
-        hit = pairs.select(*keys, (F.col("gt") == labels[0]).alias("gt"), (F.col("seg") == labels[0]).alias("seg"))
-        return dice_binary(hit, keys).withColumn("label", F.lit(labels[0])).select(*keys, "label", "dice")
-    low, high = min(labels), max(labels)
-    table = _contingency(pairs, keys)
-    counted = table.where(F.col("gt").between(low, high) & F.col("seg").between(low, high))
-    # Volumes left without a voxel in range still need their zero rows.
-    zero = table.select(*keys, F.lit(low).alias("gt"), F.lit(low).alias("seg"), F.lit(0).cast("bigint").alias("n"))
-    m = _marginals(counted.unionByName(zero), keys, labels)
+        total = F.col("a") + F.col("b")
+        return _marginals(table, keys, labels).select(
+            *keys, "label", F.when(total == 0, float("nan")).otherwise(2 * F.col("i") / total).alias("dice"))
+    m = _marginals(table, keys, labels, (min(labels), max(labels)))
     return m.select(*keys, "label", (2 * F.col("i") / (F.col("a") + F.col("b") + 1e-5)).alias("dice"))
 
 
@@ -85,26 +108,27 @@ def dice_whole(pairs: DataFrame, keys: Sequence[str] = ("vol_id",)) -> DataFrame
 def dice_voxel_epsilon(pairs: DataFrame, labels: Sequence[int], n_voxels: int | Column,
                        keys: Sequence[str] = ("vol_id",)) -> DataFrame:
     """Dice whose epsilon is added once per voxel of the grid (``n_voxels``)."""
-    m = _marginals(_contingency(pairs, keys), keys, labels)
+    m = _marginals(contingency(pairs, keys), keys, labels)
     n = n_voxels if isinstance(n_voxels, Column) else F.lit(int(n_voxels))
     return m.select(*keys, "label", (2 * F.col("i") / (F.col("a") + F.col("b") + EPSILON * n)).alias("dice"))
 
 
 # ---- surface distances ----------------------------------------------------------------------------------------------
 
-def surface_points(pairs: DataFrame, labels: Sequence[int] | None, shape, inclusive: bool = False):
+def surface_points(pairs: DataFrame, labels: Sequence[int] | None, shape, inclusive: bool = False, whole: bool = False):
     """Edge voxels of both masks of every (vol, label): (edges with column ``side`` and ``label``, box table).
 
-    ``labels`` None takes everything labelled as one structure (label -1). The joint box is [min, max) unless
+    ``labels`` None takes everything labelled as one structure (label -1); ``whole`` adds that one to the listed. The joint box is [min, max) unless
     ``inclusive``; an edge voxel has a face neighbour inside the box that is not in its mask.
     """
     keys = ["vol_id", "label"]
-    if labels is None:
-        side = lambda c, s: F.when(F.col(c) > 0, F.struct(F.lit(-1).alias("label"), F.lit(s).alias("side")))
-    else:
-        known = [int(v) for v in labels]
-        side = lambda c, s: F.when(F.col(c).isin(known), F.struct(F.col(c).alias("label"), F.lit(s).alias("side")))
-    both = F.filter(F.array(side("gt", 0), side("seg", 1)), lambda s: s.isNotNull())
+    masks = []
+    for c, s in (("gt", 0), ("seg", 1)):
+        if labels is not None:
+            masks.append(F.when(F.col(c).isin([int(v) for v in labels]), F.struct(F.col(c).alias("label"), F.lit(s).alias("side"))))
+        if labels is None or whole:
+            masks.append(F.when(F.col(c) > 0, F.struct(F.lit(-1).alias("label"), F.lit(s).alias("side"))))
+    both = F.filter(F.array(*masks), lambda s: s.isNotNull())
     points = pairs.select(*VOXEL, F.explode(both).alias("_s")).select(
         "vol_id", "_s.label", "_s.side", "x", "y", "z")
     ends = points.groupBy(*keys).agg(
@@ -137,8 +161,8 @@ def surface_to_surface(edges: DataFrame) -> DataFrame:
 
 
 def surface_distances(pairs: DataFrame, labels: Sequence[int] | None, shape, percentiles: Sequence[float] = (100, 99, 95),
-                      inclusive: bool = False) -> DataFrame:
-    """vol_id, label, mean_distance and one hausdorff_<p> per percentile.
+                      inclusive: bool = False, whole: bool = False) -> DataFrame:
+    """vol_id, label, mean_distance and one hausdorff_<p> per percentile; a ``shape`` table lists all volumes.
 
     Distances of both surfaces are pooled for the percentiles; the mean averages the two one-sided means. If a label
     is missing in either map every score is the largest side of the grid; if a surface is missing in the joint box its
@@ -146,15 +170,16 @@ def surface_distances(pairs: DataFrame, labels: Sequence[int] | None, shape, per
     exact percentile of a structure works on its distinct values.
     """
     keys = ["vol_id", "label"]
-    edges, boxes = surface_points(pairs, labels, shape, inclusive)
+    edges, boxes = surface_points(pairs, labels, shape, inclusive, whole)
     hist = surface_to_surface(edges).groupBy(*keys, "side", "d2").agg(F.count("*").alias("c"))
     hist = hist.withColumn("d", F.sqrt(F.col("d2").cast("double")))
     stats = hist.groupBy(*keys).agg(
         *[(F.sum(F.when((F.col("side") == s) & F.col("d").isNotNull(), F.col("d") * F.col("c"))) /
            F.sum(F.when((F.col("side") == s) & F.col("d").isNotNull(), F.col("c")))).alias(f"_m{s}") for s in (0, 1)],
         *[F.percentile("d", p / 100, F.col("c")).alias(f"_h{i}") for i, p in enumerate(percentiles)])
-    ids = [-1] if labels is None else [int(v) for v in labels]
-    volumes, dims = attach_shape(pairs.select("vol_id").distinct(), shape)
+    ids = [int(v) for v in labels or []] + ([-1] if labels is None or whole else [])
+    listed = isinstance(shape, DataFrame)
+    volumes, dims = (shape, None) if listed else attach_shape(pairs.select("vol_id").distinct(), shape)
     largest = F.lit(max(dims)) if dims else F.greatest("nx", "ny", "nz")
     every = volumes.select("vol_id", largest.cast("double").alias("_far"),
                            F.explode(F.array(*[F.lit(v) for v in ids])).alias("label"))
@@ -179,12 +204,19 @@ def hausdorff_location(pairs: DataFrame, labels: Sequence[int] | None, shape, in
 def evaluate_dataset(gt: DataFrame, seg: DataFrame, labels: Sequence[int], shape, mask: DataFrame | None = None,
                      crop_margin: int = 10, wrong: Sequence[int] | None = None, right: Sequence[int] | None = None,
                      use_nearest: bool = False, whole: bool = True, distances: bool = True,
-                     keys: Sequence[str] = ("vol_id",)) -> DataFrame:
+                     gt_meta: DataFrame | None = None, seg_meta: DataFrame | None = None) -> DataFrame:
     """All scores of all pairs as long rows (vol_id, label, metric, value); label -1 is the whole structure.
 
-    Masked voxels get the value max(labels) + 1 in both maps, pairs are cropped to the box of the ground truth with a
+    ``gt_meta`` and ``seg_meta`` (vol_id, shape, resolution, affine) turn both maps (the mask with the ground truth) to
+    the identity orientation first; ``shape`` is that of the turned ground truth then and may be None. Masked voxels get the value max(labels) + 1 in both maps, pairs are cropped to the box of the ground truth with a
     margin, wrong labels of ``seg`` are corrected, then Dice and surface distances are computed.
     """
+    if gt_meta is not None:
+        gt, turned = align(gt, gt_meta)
+        shape = turned if shape is None else shape
+        mask = mask if mask is None else align(mask, gt_meta)[0]
+    if seg_meta is not None:
+        seg, _ = align(seg, seg_meta)
     masked = int(max(labels)) + 1
     if mask is not None:
         hit = mask.select(*VOXEL, F.lit(True).alias("_m"))
@@ -200,17 +232,17 @@ def evaluate_dataset(gt: DataFrame, seg: DataFrame, labels: Sequence[int], shape
                                          for i, a in enumerate("xyz")])
     if wrong is not None:
         seg = correct_labels_nearest(seg, wrong) if use_nearest else correct_labels(seg, wrong, right)
-    pairs = pair_maps(gt, seg)
-    rows = dice_by_label(pairs, labels).select("vol_id", "label", F.lit("dice").alias("metric"), F.col("dice").alias("value"))
+    # Overlaps and surfaces read the pairs: written once, after the mask, the crop and the correction.
+    pairs = materialize(pair_maps(gt, seg))
+    rows = dice_by_label(pairs, labels, shape=shape).select("vol_id", "label", F.lit("dice").alias("metric"), F.col("dice").alias("value"))
     if whole:
         w = dice_whole(pairs).select("vol_id", F.lit(-1).alias("label"), F.lit("dice").alias("metric"),
                                      F.col("dice").alias("value"))
         rows = rows.unionByName(w)
     if distances:
-        for chosen in [list(labels)] + ([None] if whole else []):
-            d = surface_distances(pairs, chosen, shape)
-            names = [c for c in d.columns if c not in ("vol_id", "label")]
-            rows = rows.unionByName(d.unpivot(["vol_id", "label"], names, "metric", "value"))
+        d = surface_distances(pairs, list(labels), shape, whole=whole)
+        names = [c for c in d.columns if c not in ("vol_id", "label")]
+        rows = rows.unionByName(d.unpivot(["vol_id", "label"], names, "metric", "value"))
     return rows
 
 
@@ -245,13 +277,16 @@ def _signed_rank_counts(n: int) -> list[int]:
 
 def wilcoxon_paired(scores: DataFrame, alternative: str = "two-sided", structure: str = "structure",
                     subject: str = "subject", ref: str = "ref", cmp: str = "cmp", with_average: bool = True,
-                    exact_below: int = 25) -> DataFrame:
+                    exact_below: int = 25, mode: str = "auto") -> DataFrame:
     """Signed-rank test per structure and, as structure 'average', on the per-subject means over structures.
 
     Output: structure, n, r_plus, r_minus, z, p_value, exact. Zero differences are dropped and ties get their average
-    rank. p is exact for n <= ``exact_below`` without ties or zeros, else the normal approximation with tie term.
+    rank. ``mode``: 'auto' gives the exact p for n <= ``exact_below`` without ties or zeros, else the normal approximation
+    with tie term; 'approx' always approximates; 'exact' leaves p NULL where the exact one is not defined or not tabled.
     Equal differences are counted first; ranks come from a distributed running total of the counts.
     """
+    if mode not in ("auto", "exact", "approx"):
+        raise ValueError(f"mode should be auto, exact or approx, had {mode}")
     rows = scores.select(F.col(structure).cast("string").alias("structure"), F.col(subject).alias("_s"),
                          F.col(ref).alias("_a"), F.col(cmp).alias("_b"))
     if with_average:
@@ -267,7 +302,7 @@ def wilcoxon_paired(scores: DataFrame, alternative: str = "two-sided", structure
     stat = ranked.groupBy("structure").agg(
         F.sum("_c").alias("n"), F.sum(rank * F.col("_plus")).alias("r_plus"),
         F.sum(rank * (F.col("_c") - F.col("_plus"))).alias("r_minus"), F.sum(c * c * c - c).alias("_ties"))
-    stat = zeros.join(stat, "structure", "left").where("n IS NOT NULL")
+    stat = beside(stat, zeros, ["structure"])
     n = F.col("n").cast("double")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * F.col("_ties")) / 24)
     t = F.least("r_plus", "r_minus") if alternative == "two-sided" else F.col("r_plus")
@@ -275,7 +310,7 @@ def wilcoxon_paired(scores: DataFrame, alternative: str = "two-sided", structure
     tail = _upper_tail(F.abs("z"))
     upper = F.when(F.col("z") >= 0, tail).otherwise(1 - tail)
     approx = {"two-sided": 2 * tail, "greater": upper, "less": 1 - upper}[alternative]
-    is_exact = (F.col("n") <= exact_below) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
+    is_exact = F.lit(mode != "approx") & (F.col("n") <= exact_below) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
     # Tail probabilities of small samples, one literal array per n, made from the counting rule above.
     lower, upper_tail = [], []
     for k in range(1, exact_below + 1):
@@ -290,7 +325,7 @@ def wilcoxon_paired(scores: DataFrame, alternative: str = "two-sided", structure
     exact = {"two-sided": F.least(F.lit(1.0), 2 * F.col("_below")[at]), "greater": F.col("_above")[at],
              "less": F.col("_below")[at]}[alternative]
     return (stat.join(table, "n", "left")
-            .select("structure", "n", "r_plus", "r_minus", "z", F.when(is_exact, exact).otherwise(approx).alias("p_value"),
+            .select("structure", "n", "r_plus", "r_minus", "z", F.when(is_exact, exact).otherwise(F.lit(None) if mode == "exact" else approx).alias("p_value"),
                     is_exact.alias("exact")))
 
 

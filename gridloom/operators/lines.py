@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AXES = ("x", "y", "z")
+#: Parts that the planes of one volume are dealt into.
+SPREAD = 64
 # A pass maps (index i, length n, ref) to the SQL of output element i; ref(j) is the SQL of input element j.
 Element = Callable[[str, str, Callable[[str], str]], str]
 
@@ -121,8 +123,12 @@ def distance_to(points: DataFrame, seeds: DataFrame, keys: list[str], out: str =
     """
     k = int(payload_size)
     order = F.expr(f"CAST({payload} AS BIGINT)" if payload else "0L")
+    # Planes lie by (keys, x modulo SPREAD), and each volume's few wanted rows are repeated for those parts, so that the
+    # join keeps the planes of a volume apart.
+    part = F.expr(f"pmod(x, {SPREAD})").alias("_part")
     planes = (
-        seeds.groupBy(*keys, "x").agg(F.collect_list(F.struct("y", "z", order.alias("o"))).alias("_s"))
+        seeds.select(*keys, "x", part, F.struct("y", "z", order.alias("o")).alias("_s")).repartition(*keys, "_part")
+        .groupBy(*keys, "_part", "x").agg(F.collect_list("_s").alias("_s"))
     )
     # What the points need: the y rows, and the z range, of each key.
     rest = [c for c in points.columns if c not in {*keys, "y"}]
@@ -130,7 +136,8 @@ def distance_to(points: DataFrame, seeds: DataFrame, keys: list[str], out: str =
     wanted = points.groupBy(*keys, "y").agg(F.min("z").alias("_z0"), F.max("z").alias("_z1"))
     span = wanted.groupBy(*keys).agg(F.min("_z0").alias("_z0"), F.max("_z1").alias("_z1"),
                                      F.array_sort(F.collect_list("y")).alias("_ys"))
-    located = planes.join(span, keys).select(
+    span = span.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    located = planes.join(span, [*keys, "_part"]).select(
         *keys, "x", "_z0", "_z1", "_ys", F.col("_s.y").alias("_y"), F.col("_s.z").alias("_z"), F.col("_s.o").alias("_o"))
     kept = [*keys, "x", "_z0"]
     schema = T.StructType([located.schema[c] for c in kept] + [

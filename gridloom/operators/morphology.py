@@ -204,9 +204,11 @@ def component_runs(runs: DataFrame, keys: list[str], connectivity: int = 6, max_
 
 
 def _run_id(x: str, y: str, z: str) -> Column:
-    """Run id that sorts in raster order, for axes shorter than 2^21."""
+    """Run id that sorts in raster order; coordinates outside 0..2^21 - 1 would collide and raise an error."""
     wide = [F.col(c).cast("bigint") for c in (x, y, z)]
-    return F.shiftleft(wide[0], 42) + F.shiftleft(wide[1], 21) + wide[2]
+    fits = F.expr(" AND ".join(f"`{c}` BETWEEN 0 AND {(1 << 21) - 1}" for c in (x, y, z)))
+    stop = F.raise_error(F.lit("coordinates of components should lie in 0..2097151")).cast("bigint")
+    return F.when(fits, F.shiftleft(wide[0], 42) + F.shiftleft(wide[1], 21) + wide[2]).otherwise(stop)
 
 
 def _contract_locally(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -94,20 +94,28 @@ def flip_average(df: DataFrame, flipped: DataFrame, nx, swap: dict[int, int]) ->
     return both.groupBy(*VOXEL, "label").agg((0.5 * F.sum("p")).alias("p"))
 
 
-def soft_volumes(df: DataFrame, meta: DataFrame | None = None, background: int = 0) -> DataFrame:
-    """Sum of p per non-background label times the voxel volume, to 3 decimals."""
+def soft_sums(df: DataFrame, meta: DataFrame | None = None, background: int = 0) -> DataFrame:
+    """Sum of p per non-background label times the voxel volume."""
     sums = df.where(F.col("label") != background).groupBy("vol_id", "label").agg(F.sum("p").alias("volume"))
-    return _in_mm(sums, meta)
+    return _sized(sums, meta)
+
+
+def soft_volumes(df: DataFrame, meta: DataFrame | None = None, background: int = 0) -> DataFrame:
+    """The same to 3 decimals."""
+    return tidy(soft_sums(df, meta, background))
 
 
-def _in_mm(sums: DataFrame, meta: DataFrame | None) -> DataFrame:
+def tidy(volumes: DataFrame) -> DataFrame:
     """Volumes to 3 decimals. The noise of a distributed sum is rounded off first, so that a half stays a half in
     whatever order partial sums arrive."""
-    tidy = lambda c: F.bround(F.round(c, 9), 3)
+    return volumes.withColumn("volume", F.bround(F.round("volume", 9), 3))
+
+
+def _sized(sums: DataFrame, meta: DataFrame | None) -> DataFrame:
     if meta is None:
-        return sums.withColumn("volume", tidy(F.col("volume")))
+        return sums
     size = meta.select("vol_id", (F.col("rx") * F.col("ry") * F.col("rz")).alias("_vv"))
-    return (sums.join(size, "vol_id").withColumn("volume", tidy(F.col("volume") * F.col("_vv"))).drop("_vv"))
+    return sums.join(size, "vol_id").withColumn("volume", F.col("volume") * F.col("_vv")).drop("_vv")
 
 
 def total_intracranial(df: DataFrame, meta: DataFrame | None = None, background: int = 0,
@@ -121,7 +129,7 @@ def total_intracranial(df: DataFrame, meta: DataFrame | None = None, background:
     rows = per_label.rollup("vol_id", "label").agg(F.sum("_s").alias("volume")).where("vol_id IS NOT NULL")
     if total_label is not None:
         rows = rows.withColumn("label", F.coalesce("label", F.lit(total_label)))
-    return _in_mm(rows, meta)
+    return tidy(_sized(rows, meta))
 
 
 def rescale_parcels(parcels: DataFrame, volumes: DataFrame, cortex: Sequence[int] = (3, 42)) -> DataFrame:

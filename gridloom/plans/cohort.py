@@ -13,6 +13,7 @@ from gridloom.operators import posteriors as po
 from gridloom.operators.geometry import align, align_plan, centre_crop, crop_to_box, pad, paste_back
 from gridloom.operators.intensity import clip, first_channel, rescale
 from gridloom.operators.resample import needs_resampling, resample
+from gridloom.session import materialize
 from gridloom.sources.manifest import skip_existing
 
 VOXEL = ["vol_id", "x", "y", "z"]
@@ -74,10 +75,15 @@ def finish_posteriors(df: DataFrame, labels: Sequence[int], meta: DataFrame, pad
             df = po.keep_biggest(df, background)
         df = uncrop(po.keep_biggest_per_class(df, classes)) if by_class else po.drop_low(df, background)
         df = po.normalise(df)
+    # Labels, volumes and the posteriors themselves read the cleaned rows: written once.
+    df = materialize(df)
+    # Pasting and turning move no probability, so volumes are summed before; parcels are scaled before they are rounded.
+    volumes = po.total_intracranial(df, meta, background, int(max(labels)) + 1)
     seg = po.argmax_label(df, labels)
-    soft_parcels = None
     if parcels is not None:
         seg, soft_parcels = po.merge_parcellation(seg, uncrop(parcels), background=background)
+        scaled = po.rescale_parcels(po.soft_sums(soft_parcels, None, background), po.soft_sums(df, meta, background))
+        volumes = volumes.unionByName(po.tidy(scaled).select(*volumes.columns))
     plan = align_plan(meta)
     aligned = plan.select(*meta.columns)
     if crop_boxes is not None:
@@ -86,11 +92,6 @@ def finish_posteriors(df: DataFrame, labels: Sequence[int], meta: DataFrame, pad
     back = aligned.join(meta.select("vol_id", F.col("affine").alias("_native")), "vol_id")
     seg, _ = align(seg, back, ref="_native")
     df, _ = align(df, back, ref="_native")
-    volumes = po.total_intracranial(df, meta, background, int(max(labels)) + 1)
-    if soft_parcels is not None:
-        raw = po.soft_volumes(soft_parcels, None, background)
-        volumes = volumes.unionByName(po.rescale_parcels(raw, volumes).withColumn("volume", F.bround("volume", 3))
-                                      .select(*volumes.columns))
     return seg, df, volumes
 
 
@@ -117,22 +118,28 @@ def cohort_report(manifest: DataFrame, done: DataFrame, posteriors: DataFrame, m
 
 
 def evaluate_models(predictions: DataFrame, gt: DataFrame, labels: Sequence[int], step: int = 1,
-                    scored: DataFrame | None = None) -> DataFrame:
+                    scored: DataFrame | None = None, shape=None) -> DataFrame:
     """Scores of every ``step``-th model (sorted by name), without the models already in ``scored``: one job for all.
 
-    ``predictions``: (model, vol_id, x, y, z, label). Output: model, vol_id, label, dice.
+    ``predictions``: (model, vol_id, x, y, z, label). Output: model, vol_id, label, dice; ``shape`` as in ``dice_by_label``.
+    Only predicted voxels meet the truth. What a model leaves out is the truth's count per label, taken once per volume,
+    less what the model's voxels met; cells per model and volume are at most labels^2.
     """
     from gridloom.sources.manifest import ordinal
     models = ordinal(predictions.select("model").distinct(), ["model"]).where(F.col("ord") % step == 0).select("model")
     if scored is not None:
         models = models.join(scored.select("model").distinct(), "model", "left_anti")
     chosen = predictions.join(models, "model", "left_semi")
-    # Ground truth repeats per model that predicted the volume; pairs are tiny (model, volume) rows.
-    runs = chosen.select("model", "vol_id").distinct()
-    truth = gt.select(*VOXEL, F.col("label").alias("gt")).join(runs, "vol_id")
-    keys = ["model", *VOXEL]
-    a = truth.select(*keys, "gt", F.lit(None).cast("int").alias("seg"))
-    b = chosen.select(*keys, F.lit(None).cast("int").alias("gt"), F.col("label").alias("seg"))
-    pairs = a.unionByName(b).groupBy(*keys).agg(F.coalesce(F.max("gt"), F.lit(0)).alias("gt"),
-                                                F.coalesce(F.max("seg"), F.lit(0)).alias("seg"))
-    return ev.dice_by_label(pairs, labels, ("model", "vol_id"))
+    keys = ["model", "vol_id"]
+    truth = gt.select(*VOXEL, F.col("label").cast("int").alias("gt"))
+    met = (chosen.select("model", *VOXEL, F.col("label").cast("int").alias("seg")).join(truth, VOXEL, "left")
+           .groupBy(*keys, "gt", "seg").agg(F.count("*").alias("n"))
+           .groupBy(*keys).agg(F.collect_list(F.struct("gt", "seg", "n")).alias("_met")))
+    totals = (truth.groupBy("vol_id", "gt").agg(F.count("*").alias("n"))
+              .groupBy("vol_id").agg(F.collect_list(F.struct("gt", "n")).alias("_all")))
+    cells = F.expr("""concat(
+        transform(_met, c -> named_struct('gt', coalesce(c.gt, 0), 'seg', c.seg, 'n', c.n)),
+        transform(coalesce(_all, CAST(array() AS ARRAY<STRUCT<gt: INT, n: BIGINT>>)), c -> named_struct('gt', c.gt, 'seg', 0, 'n', c.n)),
+        transform(filter(_met, c -> c.gt IS NOT NULL), c -> named_struct('gt', c.gt, 'seg', 0, 'n', -c.n)))""")
+    table = met.join(totals, "vol_id", "left").select(*keys, cells.alias("cells"))
+    return ev.dice_of_counts(table, labels, keys, shape)

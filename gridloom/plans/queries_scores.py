@@ -258,12 +258,13 @@ def _(spark, d):
 # ---- evaluation -----------------------------------------------------------------------------------------------------
 
 def dice_sql(source: str = "maps", keys: str = "vol_id", digits: int = 6) -> str:
-    return (f"SELECT {keys}, CAST(l AS INT) AS label, round(2.0 * count(*) FILTER (gt = l AND seg = l) / (count(*) FILTER (gt = l) + count(*) FILTER (seg = l) + 1e-5), {digits}) "
+    rest = "max(CAST(l = 0 AS INT)) * (8 * 8 * 7 - count(*))"  # background that the sparse maps do not list
+    return (f"SELECT {keys}, CAST(l AS INT) AS label, round(2.0 * (count(*) FILTER (gt = l AND seg = l) + {rest}) / (count(*) FILTER (gt = l) + count(*) FILTER (seg = l) + 2 * {rest} + 1e-5), {digits}) "
             f"AS dice FROM {source}, (SELECT unnest([0, 2, 3, 24, 41, 42]) AS l) t GROUP BY ALL")
 
 
 def dice(spark, d):
-    return ev.dice_by_label(fx.maps(spark, d), LABELS).select("vol_id", "label", r("dice", 6))
+    return ev.dice_by_label(fx.maps(spark, d), LABELS, shape=fx.MAP_SHAPE).select("vol_id", "label", r("dice", 6))
 
 
 @query("dice_by_label", with_("maps") + dice_sql())
@@ -296,13 +297,15 @@ def _(spark, d):
     return ev.dice_voxel_epsilon(fx.maps(spark, d), LABELS[1:], 448).select("vol_id", "label", r("dice", 6))
 
 
-def surface_sql(pairs: str, labels: str, far: int) -> str:
+def surface_sql(pairs: str, labels: str, far: int, whole: bool = False) -> str:
     """sd(vol_id, label, mean_distance, hausdorff_100, _99, _95) and the tables behind it, by brute force."""
+    every = (f" UNION ALL SELECT vol_id, -1, 0, x, y, z FROM {pairs} WHERE gt > 0 UNION ALL SELECT vol_id, -1, 1, x, y, z FROM {pairs} WHERE seg > 0" if whole else "")
+    listed = "[" + labels.strip("()") + (", -1" if whole else "") + "]"
     near = " + ".join(
         f"CAST(EXISTS (SELECT 1 FROM ins t WHERE t.vol_id = i.vol_id AND t.label = i.label AND t.side = i.side AND t.{a} = i.{a} {s} 1 AND "
         f"t.{b} = i.{b} AND t.{c} = i.{c}) AS INT)" for a, b, c in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y")) for s in "+-")
     room = " + ".join(f"CAST(i.{a} > l{a} AS INT) + CAST(i.{a} < h{a} - 1 AS INT)" for a in "xyz")
-    return (f"pt AS (SELECT vol_id, gt AS label, 0 AS side, x, y, z FROM {pairs} WHERE gt IN {labels} UNION ALL SELECT vol_id, seg, 1, x, y, z FROM {pairs} WHERE seg IN {labels}), "
+    return (f"pt AS (SELECT vol_id, gt AS label, 0 AS side, x, y, z FROM {pairs} WHERE gt IN {labels} UNION ALL SELECT vol_id, seg, 1, x, y, z FROM {pairs} WHERE seg IN {labels}{every}), "
             "bx AS (SELECT vol_id, label, " + ", ".join(f"min({a}) AS l{a}, max({a}) AS h{a}" for a in "xyz") + " FROM pt GROUP BY 1, 2 HAVING count(DISTINCT side) = 2), "
             "ins AS MATERIALIZED (SELECT pt.* FROM pt JOIN bx USING (vol_id, label) WHERE " + " AND ".join(f"{a} >= l{a} AND {a} < h{a}" for a in "xyz") + "), "
             f"ed AS MATERIALIZED (SELECT i.* FROM ins i JOIN bx USING (vol_id, label) WHERE {near} < {room}), "
@@ -310,7 +313,7 @@ def surface_sql(pairs: str, labels: str, far: int) -> str:
             "LEFT JOIN ed b ON a.vol_id = b.vol_id AND a.label = b.label AND a.side <> b.side GROUP BY 1, 2, 3, 4, 5, 6), "
             "ag AS (SELECT vol_id, label, avg(d) FILTER (side = 0) AS m0, avg(d) FILTER (side = 1) AS m1, quantile_cont(d, 1.0) AS h100, quantile_cont(d, 0.99) AS h99, "
             "quantile_cont(d, 0.95) AS h95 FROM ds GROUP BY 1, 2), "
-            f"ev AS (SELECT vol_id, CAST(unnest({labels.replace('(', '[').replace(')', ']')}) AS INT) AS label FROM (SELECT DISTINCT vol_id FROM {pairs}) v), "
+            f"ev AS (SELECT vol_id, CAST(unnest({listed}) AS INT) AS label FROM (SELECT DISTINCT vol_id FROM {pairs}) v), "
             f"fb AS (SELECT ev.vol_id, ev.label, bx.lx IS NULL AS none, coalesce(greatest(hx - lx, hy - ly, hz - lz), {far}) AS f FROM ev LEFT JOIN bx USING (vol_id, label)), "
             f"sd AS (SELECT vol_id, label, CASE WHEN none THEN {far} ELSE (coalesce(m0, f) + coalesce(m1, f)) / 2 END AS mean_distance, coalesce(h100, f) AS hausdorff_100, "
             "coalesce(h99, f) AS hausdorff_99, coalesce(h95, f) AS hausdorff_95 FROM fb LEFT JOIN ag USING (vol_id, label))")
@@ -334,8 +337,8 @@ def _(spark, d):
 
 
 @query("evaluate_dataset", with_("maps", extra="m AS (SELECT vol_id, x, y, z, CASE WHEN value > 90000 THEN 43 ELSE gt END AS gt, CASE WHEN value > 90000 THEN 43 WHEN seg = 41 "
-       "THEN 2 WHEN seg = 42 THEN 3 ELSE seg END AS seg FROM maps), w AS (SELECT vol_id, x, y, z, CAST(gt > 0 AS INT) - 2 AS gt, CAST(seg > 0 AS INT) - 2 AS seg FROM m), " +
-       surface_sql("m", "(2, 3, 24, 41, 42)", 8)) +
+       "THEN 2 WHEN seg = 42 THEN 3 ELSE seg END AS seg FROM maps), " +
+       surface_sql("m", "(2, 3, 24, 41, 42)", 8, whole=True)) +
        "SELECT vol_id, label, metric, round(value, 4) AS value FROM (SELECT vol_id, label, metric, value FROM (UNPIVOT (SELECT vol_id, label, " +
        ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SCORES) + " FROM sd) ON " + ", ".join(_SCORES) + " INTO NAME metric VALUE value) u UNION ALL "
        "SELECT vol_id, CAST(l AS INT), 'dice', 2.0 * count(*) FILTER (gt = l AND seg = l) / (count(*) FILTER (gt = l AND seg <= 42 AND seg >= 2) + count(*) FILTER (seg = l AND gt "
@@ -346,8 +349,7 @@ def _(spark, d):
     gt = m.select(*V, F.col("gt").alias("label"))
     seg = m.select(*V, F.col("seg").alias("label"))
     out = ev.evaluate_dataset(gt, seg, LABELS[1:], fx.MAP_SHAPE, mask=m.where("value > 90000"), wrong=[41, 42], right=[2, 3])
-    # Structures of the whole are checked by dice here; their distances have their own unit test.
-    return out.where("label <> -1 OR metric = 'dice'").select("vol_id", "label", "metric", r("value"))
+    return out.select("vol_id", "label", "metric", r("value"))
 
 
 def _wilcoxon_sql(alternative: str) -> str:
@@ -436,7 +438,7 @@ _QC = "qc AS (SELECT vol_id, label, avg(p) * 1.4 - 0.1 AS score FROM posteriors
 
 @query("qc_difference", with_("posteriors", "maps", extra=_QC + f", di AS ({dice_sql(digits=12)})") + "SELECT vol_id, label, round(score - dice, 5) AS difference FROM qc JOIN di USING (vol_id, label)")
 def _(spark, d):
-    return ev.qc_difference(predicted_qc(spark, d), ev.dice_by_label(fx.maps(spark, d), LABELS)).select("vol_id", "label", r("difference", 5))
+    return ev.qc_difference(predicted_qc(spark, d), ev.dice_by_label(fx.maps(spark, d), LABELS, shape=fx.MAP_SHAPE)).select("vol_id", "label", r("difference", 5))
 
 
 @query("qc_clip_round", with_("posteriors", extra=_QC) + "SELECT vol_id, label, round_even(least(greatest(score, 0), 1), 4) AS score FROM qc WHERE label <> 0")
@@ -524,4 +526,4 @@ def _(spark, d):
     m = fx.maps(spark, d)
     predictions = m.select(F.concat(F.lit("dice_"), F.col("q").cast("string")).alias("model"), *V, F.col("seg").alias("label"))
     gt = m.select(*V, F.col("gt").alias("label"))
-    return cohort.evaluate_models(predictions, gt, LABELS, 2).select("model", "vol_id", "label", r("dice", 6))
+    return cohort.evaluate_models(predictions, gt, LABELS, 2, shape=fx.MAP_SHAPE).select("model", "vol_id", "label", r("dice", 6))

@@ -103,14 +103,12 @@ def _(spark, d):
     return sinks.region_table(vols, LABELS, [NAMES[v] for v in LABELS])
 
 
-@query("score_matrix", with_("maps") + "SELECT label, " + ", ".join(
-       f"CAST(count(*) FILTER (vol_id = {v}) AS DOUBLE) AS \"{v}\"" for v in (1, 2, 3)) +
-       " FROM (SELECT vol_id, gt AS label FROM maps) t GROUP BY label")
+@query("score_matrix", with_("maps") + "SELECT vol_id, " + ", ".join(
+       f"CAST(count(*) FILTER (gt = {v}) AS DOUBLE) AS \"{v}\"" for v in LABELS) + " FROM maps GROUP BY vol_id")
 def _(spark, d):
     vols = ag.hard_volumes(fx.label_map(spark, d), LABELS, skip_background=False)
     scores = vols.select("vol_id", "label", F.lit("volume").alias("metric"), F.col("volume").alias("value"))
-    return sinks.score_matrix(scores, [1, 2, 3], "volume").select("label", *[F.coalesce(F.col(str(v)), F.lit(0.0)).alias(str(v))
-                                                                             for v in (1, 2, 3)])
+    return sinks.score_matrix(scores, LABELS, "volume")
 
 
 @query("typed_voxels", with_("images") + "SELECT vol_id, x, y, z, CAST(round_even(value * 4, 0) AS INT) AS value FROM images")
@@ -133,7 +131,7 @@ def _(spark, d):
        f"(SELECT max(path) FROM manifest) AS path_b FROM manifest WHERE {IS_IMAGE}")
 def _(spark, d):
     listing = fx.manifest(spark, d)
-    return mf.pair_by_order(mf.list_volumes(listing).select("path"), listing.agg(F.max("path").alias("path")))
+    return mf.pair_by_order(mf.list_volumes(listing).select("path"), listing.agg(F.max("path").alias("path")), repeat=True)
 
 
 # ---- labels ---------------------------------------------------------------------------------------------------------

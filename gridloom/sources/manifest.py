@@ -78,17 +78,29 @@ def ordinal(files: DataFrame, order: Sequence[str] = ("path",), keys: Sequence[s
     return out.withColumn("ord", F.col("ord") - 1)
 
 
-def pair_by_order(a: DataFrame, b: DataFrame, strict: bool = True) -> DataFrame:
-    """Positional zip of two sorted listings: (ord, path_a, path_b). A single item of ``b`` is repeated.
+def pair_by_order(a: DataFrame, b: DataFrame, strict: bool = True, repeat: bool = False,
+                  mask: DataFrame | None = None) -> DataFrame:
+    """Positional zip of two sorted listings: (ord, path_a, path_b), and path_mask with a third one.
 
-    Unequal counts raise an error, or the longer side is cut with strict=False. The repeated item is matched by a
-    second key -1, so both cases are one equi-join.
+    Unequal counts raise an error. With strict=False only what has a partner is paired; ``unpaired`` lists the rest.
+    ``repeat`` sets the only item of ``b`` beside every item of ``a``.
     """
-    n_a, n_b = a.count(), b.count()
-    if strict and n_b != 1 and n_a != n_b:
-        raise ValueError(f"listings should have the same number of items, had {n_a} and {n_b}")
-    left = ordinal(a.select("path")).select("ord", F.col("path").alias("path_a"), F.lit(-1 if n_b == 1 else None)
-                                            .cast("bigint").alias("_all"))
-    right = ordinal(b.select("path")).select(F.lit(-1).cast("bigint").alias("_all") if n_b == 1 else F.col("ord"),
-                                             F.col("path").alias("path_b"))
-    return left.join(right, "_all" if n_b == 1 else "ord").select("ord", "path_a", "path_b")
+    n_a = a.count() if strict else None
+    for other in [b] * (repeat or strict) + [mask] * (strict and mask is not None):
+        n, most = other.count(), 1 if repeat and other is b else n_a
+        if n != most:
+            raise ValueError(f"listings should have the same number of items (one, if repeated), had {n_a} and {n}")
+    left = ordinal(a.select("path")).select("ord", F.col("path").alias("path_a"))
+    if repeat:
+        pairs = left.withColumn("path_b", b.agg(F.max("path")).scalar())
+    else:
+        pairs = left.join(ordinal(b.select("path")).select("ord", F.col("path").alias("path_b")), "ord")
+    if mask is not None:
+        pairs = pairs.join(ordinal(mask.select("path")).select("ord", F.col("path").alias("path_mask")), "ord")
+    return pairs
+
+
+def unpaired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Items of either listing whose position the other lacks: (ord, path_a, path_b), one of them NULL."""
+    sides = [ordinal(d.select("path")).select("ord", F.col("path").alias(c)) for d, c in ((a, "path_a"), (b, "path_b"))]
+    return sides[0].join(sides[1], "ord", "full").where("path_a IS NULL OR path_b IS NULL")

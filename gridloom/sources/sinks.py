@@ -19,7 +19,7 @@ def region_table(df: DataFrame, labels: Sequence[int], names: Sequence[str] | No
     titles = [names[i] for i in order] if names is not None else [str(v) for v in keep]
     if skip_first:
         keep, titles = keep[1:], titles[1:]
-    wide = df.groupBy(subject).pivot("label", [int(v) for v in keep]).agg(F.first(F.round(value, 3)))
+    wide = df.groupBy(subject).pivot("label", [int(v) for v in keep]).agg(F.first(F.bround(value, 3)))
     columns = [F.col(f"`{v}`").alias(t) for v, t in zip(keep, titles)]
     if last_first:
         columns = [columns[-1]] + columns[:-1]
@@ -35,9 +35,10 @@ def write_score_matrix(scores: DataFrame, path: str) -> None:
     scores.write.mode("overwrite").partitionBy("metric").parquet(path)
 
 
-def score_matrix(scores: DataFrame, subjects: Sequence, metric: str = "dice") -> DataFrame:
-    """Wide form of one metric: a row per label and a column per listed subject."""
-    return scores.where(F.col("metric") == metric).groupBy("label").pivot("vol_id", list(subjects)).agg(F.first("value"))
+def score_matrix(scores: DataFrame, labels: Sequence[int], metric: str = "dice") -> DataFrame:
+    """Wide form of one metric: a row per subject, however many there are, and a column per listed label."""
+    return (scores.where(F.col("metric") == metric).groupBy("vol_id").pivot("label", [int(v) for v in labels])
+            .agg(F.first("value")))
 
 
 def typed_voxels(df: DataFrame, dtype: str = "int", value: str = "value") -> DataFrame:
