@@ -8,6 +8,7 @@ DataFrame operations; each step is written to the shared folder.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from gridloom.session import materialize
 #: (verdict, host, path): fixed rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, STEPS, TOLERANCE = 0.85, 20, 1e-6
+#: Steps that always reach the tolerance: a step changes both kinds together by 4 at most, and by DAMPING times the last.
+ENOUGH = ceil(log(TOLERANCE / 4) / log(DAMPING)) + 1
 #: A host is blocked if more than this share of its trust and distrust together is distrust.
 THRESHOLD = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,10 +54,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.withColumn("dst", dst).where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, steps_at_most: int = STEPS) -> DataFrame:
     """(kind, host, rank) from edges (src, dst, n) and seeds (kind, host, mass), kind trust or distrust.
 
     The ranks of a kind add up to 1 if it has seeds; what a host without outgoing edges holds returns to the seeds.
+    Steps end when all ranks together change by less than TOLERANCE, which ENOUGH steps always reach.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -63,7 +67,7 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     mass = seeds.groupBy("kind").agg(F.sum("mass").alias("m"))
     seeds = materialize(seeds.join(mass, "kind").select("kind", "host", (F.col("mass") / F.col("m")).alias("seed")))
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for _ in range(STEPS):
+    for _ in range(steps_at_most):
         moved = (ranks.join(steps, (ranks.kind == steps.kind) & (ranks.host == steps.src))
                  .select(steps.kind, F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("part")))
         gone = moved.groupBy("kind").agg(F.sum("part").alias("gone"))
@@ -93,7 +97,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     hosts = materialize(hosts.fillna(0, ["allowed", "blocked"]))
     seeds = hosts.where("2 * allowed > n").select(F.lit("trust").alias("kind"), "host", F.lit(1.0).alias("mass")).unionByName(
         hosts.where("2 * blocked > n").select(F.lit("distrust").alias("kind"), "host", F.lit(1.0).alias("mass")))
-    ranks = propagate(materialize(host_edges(parsed)), seeds)
+    ranks = propagate(materialize(host_edges(parsed)), seeds, ENOUGH)
     pivot = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"),
                                       F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
     bad = pivot.where(F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust"))).select(F.col("host").alias("bad_host"))

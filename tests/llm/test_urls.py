@@ -48,3 +48,8 @@ def test_query_rules(spark):
         host, path = parse(r.url)
         rule, verdict = plain_rule(host, path)
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+
+
+def test_distrust_reaches_far_hosts(spark):
+    pages = [(0, "http://h0.net/", None)] + [(i, f"http://h{i}.io/", f'<a href="http://h{i - 1}.{"io" if i > 1 else "net"}/">x</a>') for i in range(1, 26)]
+    assert {r.verdict for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"block"}
