@@ -1,0 +1,74 @@
+"""Token ids of whole texts by a byte-level BPE file of the tokenizers library.
+
+The file's vocabulary and split rule are given to tiktoken, which merges the same pairs in the same order several times
+faster and keeps no cache that grows with the text. Files that are not plain byte-level BPE, and texts whose white space
+runs are too long for its pattern, go to the tokenizers library itself, so the ids are always that library's.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+from functools import lru_cache
+
+import numpy as np
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _plain(spec: dict) -> bool:
+    """Whether merging by rank equals merging by id, and nothing happens before or after the byte-level split."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel":
+        return False
+    if split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("ignore_merges") or model.get("dropout"):
+        return False
+    if model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec["added_tokens"]):
+        return False
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [model["vocab"][a + b] for a, b in pairs]
+    return all(a < b for a, b in zip(made, made[1:]))
+
+
+class ByteTokenizer:
+    def __init__(self, path: str | None = None):
+        import public_tokenizers
+        import tiktoken
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.path, self.slow, self.fast = path or default_tokenizer(), None, None
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if _plain(spec):
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            byte = _bytes_of_characters()
+            ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+            self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+            except ValueError:  # a run of white space longer than the pattern's stack
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
+            self.slow = Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str | None = None) -> ByteTokenizer:
+    """One per worker process, whatever the number of its tasks."""
+    return ByteTokenizer(path)
