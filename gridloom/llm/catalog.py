@@ -4,7 +4,7 @@ from gridloom.plans import registry
 
 
 def load() -> None:
-    from gridloom.llm import bestfit, codes, hmm, mixing, near, packing, private, quality, repetition, secrets, topk, urls  # noqa: F401
+    from gridloom.llm import bestfit, codes, hmm, mixing, near, packing, private, quality, repair, repetition, secrets, topk, urls  # noqa: F401
 
     if "pipeline" not in registry.QUERIES:
         import corpus_pipeline

@@ -67,7 +67,7 @@ class Book:
         self.sums = sums[self.by_sum]
 
     def distances(self, x: np.ndarray, which: np.ndarray) -> np.ndarray:
-        d = x - self.entries[which]
+        d = x - self.entries.take(which, axis=0)
         return (d * d).sum(axis=-1) if d.dtype == object else np.einsum("...i,...i->...", d, d)
 
     def _radius2(self, x: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ class Book:
             part = x[a:a + CHUNK]
             masks = np.ascontiguousarray(self.candidates(part).astype("<u8"))
             rows, cols = np.nonzero(np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little"))
-            d = self.distances(part[rows], cols)
+            d = self.distances(part.take(rows, axis=0), cols)
             starts = np.searchsorted(rows, np.arange(len(part)))
             best = np.minimum.reduceat(d, starts)
             first = np.flatnonzero(d == best[rows])  # per row in order of entries
