@@ -199,8 +199,12 @@ _BLOCK = ("slice int, number int, pattern string, initials string, digests array
 _FIRST = f"{_REPORT}, {_TURNS}, {_BLOCK}"
 
 
-def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(_parse_datatype_string(schema), timezone="UTC"))
+def _arrow(ddl: str) -> pa.Schema:
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _initial(role: str) -> str:
@@ -268,6 +272,8 @@ def _slices(rows: DataFrame, block_rows: int) -> DataFrame:
     ordered = (rows.withColumn("digest", F.md5("text")).repartitionByRange(*keys).sortWithinPartitions(*keys)
                .select("conv_id", "turn", "role", "text", "gone", blank.alias("blank"), whole.alias("whole")))
 
+    schema = _arrow(_FIRST)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slice_, solved = TaskContext.get().partitionId(), lru_cache(1 << 16)(solve)
         out: list[dict] = []
@@ -287,12 +293,12 @@ def _slices(rows: DataFrame, block_rows: int) -> DataFrame:
                 if not gone:
                     now.add(turn, role, text, blank, whole)
                 if len(out) >= FLUSH or held >= BLOCK_BYTES:
-                    yield _batch(out, _FIRST)
+                    yield _batch(out, schema)
                     out, held = [], 0
         if now is not None:
             out.append(now.block(slice_))  # the last one may go on
         if out:
-            yield _batch(out, _FIRST)
+            yield _batch(out, schema)
 
     return ordered.mapInArrow(run, _FIRST)
 
@@ -318,6 +324,8 @@ _PRODUCT = "no_conv boolean, conv long, slice int, number int, pattern string, i
 
 def _matrices(blocks: DataFrame) -> DataFrame:
     """Blocks (_PRODUCT) with later duplicates marked and their matrix."""
+    schema = _arrow(_PRODUCT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -327,7 +335,7 @@ def _matrices(blocks: DataFrame) -> DataFrame:
                 m = Matrix.of(pattern)
                 weights = [None if v is None else v.to_bytes(v.bit_length() // 8 + 1, "big") for row in m.rows for v in row]
                 out.append({**r, "pattern": pattern, "width": m.w.width, "weights": weights})
-            yield _batch(out, _PRODUCT)
+            yield _batch(out, schema)
 
     return blocks.select("no_conv", "conv", "slice", "number", "pattern", "initials", "digests", "first_turn", "last_turn", "n_turns",
                          "earlier").mapInArrow(run, _PRODUCT)
@@ -381,6 +389,8 @@ _SOLVED = ("no_conv boolean, conv long, gaps long, blank long, duplicate long, t
 
 def _solved(matrices: DataFrame) -> DataFrame:
     """Reports and block letters (_SOLVED) of the conversations in blocks."""
+    schema = _arrow(_SOLVED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now = None, _Long()
         for batch in batches:
@@ -388,16 +398,16 @@ def _solved(matrices: DataFrame) -> DataFrame:
                 k = {"no_conv": r["no_conv"], "conv": r["conv"]}
                 if k != key:
                     if key is not None:
-                        yield from _in_batches(now.rows(key), _SOLVED)
+                        yield from _in_batches(now.rows(key), schema)
                     key, now = k, _Long()
                 now.add(r)
         if key is not None:
-            yield from _in_batches(now.rows(key), _SOLVED)
+            yield from _in_batches(now.rows(key), schema)
 
     return _streamed(matrices, run, _SOLVED)
 
 
-def _in_batches(rows: Iterator[dict], schema: str) -> Iterator[pa.RecordBatch]:
+def _in_batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
     for r in rows:
         held.append(r)
@@ -410,7 +420,8 @@ def _in_batches(rows: Iterator[dict], schema: str) -> Iterator[pa.RecordBatch]:
 
 def _repaired_blocks(blocks: DataFrame, solved: DataFrame) -> DataFrame:
     """(no_conv, conv, slice, number, turns): what the letters make of each block."""
-    schema = f"no_conv boolean, conv long, slice int, number int, {_TURNS}"
+    ddl = f"no_conv boolean, conv long, slice int, number int, {_TURNS}"
+    schema = _arrow(ddl)
     letters = solved.where("letters IS NOT NULL").select("no_conv", "conv", "slice", "number", "letters", "state")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +429,7 @@ def _repaired_blocks(blocks: DataFrame, solved: DataFrame) -> DataFrame:
             yield _batch([{**r, "turns": apply_edits(r["letters"], r["roles"], r["texts"], r["state"])[0]} for r in batch.to_pylist()], schema)
 
     return (blocks.join(letters, ["no_conv", "conv", "slice", "number"])
-            .select("no_conv", "conv", "slice", "number", "roles", "texts", "letters", "state").mapInArrow(run, schema))
+            .select("no_conv", "conv", "slice", "number", "roles", "texts", "letters", "state").mapInArrow(run, ddl))
 
 
 def repair(rows: DataFrame, *, block_rows: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -448,11 +459,14 @@ def turns_text(turns: str = "turns") -> Column:
 
 def digests(turns: DataFrame) -> DataFrame:
     """(conv_id, repaired_sha256) of the second result of ``repair``; a conversation in blocks passes its task as a stream."""
+    ddl = "conv_id long, repaired_sha256 string"
+    schema = _arrow(ddl)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sha, some = None, hashlib.sha256(), False
 
         def result() -> pa.RecordBatch:
-            return _batch([{"conv_id": None if key[0] else key[1], "repaired_sha256": sha.hexdigest()}], "conv_id long, repaired_sha256 string")
+            return _batch([{"conv_id": None if key[0] else key[1], "repaired_sha256": sha.hexdigest()}], schema)
 
         for batch in batches:
             for no_conv, conv, n, text in zip(*(batch.column(c) for c in ("no_conv", "conv", "n", "text"))):
@@ -470,7 +484,7 @@ def digests(turns: DataFrame) -> DataFrame:
     whole = turns.where("whole").select("conv_id", F.sha2(turns_text(), 256).alias("repaired_sha256"))
     rest = turns.where("NOT whole").select(F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(0)).alias("conv"),
                                            "slice", "number", F.size("turns").alias("n"), turns_text().alias("text"))
-    return whole.unionByName(_streamed(rest, run, "conv_id long, repaired_sha256 string"))
+    return whole.unionByName(_streamed(rest, run, ddl))
 
 
 def repaired_with_digest(rows: DataFrame, *, block_rows: int = BLOCK) -> DataFrame:
@@ -516,16 +530,15 @@ coded AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{SPACE}]') THEN 'b'
   WHEN regexp_matches(text, '[.!?][{SPACE}]*\z') THEN {pair} ELSE upper({pair}) END AS code,
   lag(i) OVER (PARTITION BY conv_id ORDER BY n) || i AS pair FROM placed),
 found AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
-  count(*) FILTER (code = 'b') AS blank, count(*) FILTER (code = 'd') AS duplicate, count(*) FILTER (code <> lower(code)) AS truncated,
-  count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  count(*) FILTER (WHERE code = 'b') AS blank, count(*) FILTER (WHERE code = 'd') AS duplicate, count(*) FILTER (WHERE code <> lower(code)) AS truncated,
+  count(*) FILTER (WHERE n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
   list_reduce(list(code ORDER BY n DESC), lambda acc, x: {step}, {end}).q0 AS best FROM coded GROUP BY conv_id),
-edits AS (SELECT conv_id, unnest(string_split(best.a, '')) AS e, generate_subscripts(string_split(best.a, ''), 1) AS at FROM found WHERE best.a <> ''),
-counted AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS n, count(*) FILTER (e <> 'D') OVER w AS made FROM edits
-  WINDOW w AS (PARTITION BY conv_id ORDER BY at)),
-made AS (SELECT c.conv_id, at, made, e, role, text, bool_or(made = 1 AND e = 'K' AND lower(code) = 's') OVER (PARTITION BY c.conv_id) AS system
+edits AS (SELECT conv_id, unnest(string_split(best.a, '')) AS e, generate_subscripts(string_split(best.a, ''), 1) AS pos FROM found WHERE best.a <> ''),
+counted AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS n, count(*) FILTER (WHERE e <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS made FROM edits),
+made AS (SELECT c.conv_id, pos, made, e, role, text, bool_or(made = 1 AND e = 'K' AND lower(code) = 's') OVER (PARTITION BY c.conv_id) AS system
   FROM counted AS c LEFT JOIN coded AS d ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.n AND c.e <> 'I' WHERE e <> 'D'),
 texts AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (made - CAST(system AS INT)) % 2 = 1 THEN 'user' ELSE 'assistant' END
-  || ':' || coalesce(text, ''), chr(10) ORDER BY at) AS t FROM made GROUP BY conv_id)
+  || ':' || coalesce(text, ''), chr(10) ORDER BY pos) AS t FROM made GROUP BY conv_id)
 SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
   coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN found AS f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
