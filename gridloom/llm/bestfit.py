@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gridloom.llm.bytebpe import tokenizer
-from gridloom.llm.common import table
+from gridloom.llm.common import release_memory, table
+from gridloom.llm.tokens import byte_file, tokenizer
 from gridloom.plans.registry import query
 from gridloom.session import materialize
 
@@ -46,14 +46,14 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are not read, and no rows give no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(tokenizer_path)
+        model = tokenizer(tokenizer_path or byte_file())
         rows: list[tuple] = []
         held = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 key, text = batch.column(0)[i].as_py(), batch.column(1)[i]
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids = np.append(model.encode(raw.decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
+                ids = np.append(model.encode_bytes(raw), np.uint32(end_id)).astype("<u4")
                 rows += [(key, k, at, n, ids[at:at + n].tobytes()) for k, (at, n) in enumerate(cuts(len(ids), capacity))]
                 held += ids.nbytes
                 if held >= FLUSH_BYTES:
@@ -61,6 +61,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 

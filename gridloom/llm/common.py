@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text whose words are held as Python objects at once.
+BLOCK_BYTES = 1 << 20
+
+
+def word_blocks(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time, so that a very long text is never held as objects."""
+    at = 0
+    while at < len(text):
+        found = _BREAK.search(text, at + BLOCK_BYTES) if at + BLOCK_BYTES < len(text) else None
+        end = found.start() if found else len(text)
+        yield (text[at:end] if at or found else text).split()
+        at = end
+
+
+def kept_by_process(name: str, make: Callable):
+    """What ``make`` gives, made once per worker process: task functions travel by value and share no module globals."""
+    store = vars(sys.modules.setdefault("_kept_by_process", types.ModuleType("_kept_by_process")))
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the machine, for worker processes that live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and the n + 1 offsets of its rows; null reads as empty."""
     col = column.cast(pa.large_string())

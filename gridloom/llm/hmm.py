@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, text_bytes
-from gridloom.llm.tokens import word_blocks
+from gridloom.llm.common import table, text_bytes, word_blocks
 from gridloom.plans.registry import query
 from gridloom.session import materialize
 

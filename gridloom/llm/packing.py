@@ -16,13 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, text_bytes
-from gridloom.llm.tokens import WordTokenizer
+from gridloom.llm.common import release_memory, table
+from gridloom.llm.tokens import tokenizer, word_file
 from gridloom.plans.registry import query
 
 END_ID = 2
-#: Bytes of text that are tokenized together.
-CHUNK_BYTES = 2 << 20
+#: Ids in an output batch.
+FLUSH_IDS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -158,7 +158,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``loss`` turns an example's ids into the running count of its loss-bearing ids (one longer, from 0).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        release_memory()
+        model = tokenizer(tokenizer_path or word_file())
         first, made = TaskContext.get().partitionId() << 40, 0
         rows: list[tuple] = []
         held = 0
@@ -182,20 +183,17 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         packer = Packer(limits, emit)
         for batch in batches:
-            data, bounds = text_bytes(batch.column(1))
-            keys, at = batch.column(0).to_pylist(), 0
-            while at < len(keys):
-                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
-                texts = [data[bounds[i]:bounds[i + 1]].tobytes() for i in range(at, upto)]
-                for key, found in zip(keys[at:upto], tokenizer.encode_all(texts)):
-                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
-                    packer.add(Piece(key, ids, loss(ids), 0, len(ids)))
-                at = upto
-                if held > 2_000_000:
+            keys = batch.column(0).to_pylist()
+            for key, text in zip(keys, batch.column(1)):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                ids = np.append(model.encode_bytes(raw), np.uint32(end_id)).astype("<u4")
+                packer.add(Piece(key, ids, loss(ids), 0, len(ids)))
+                if held > FLUSH_IDS:
                     yield flush()
         packer.finish()
         if rows:
             yield flush()
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 

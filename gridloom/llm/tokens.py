@@ -1,137 +1,121 @@
-"""Token ids of whole texts, by a tokenizer file whose ids do not depend on what stands beyond white space."""
+"""Token ids of whole texts by a tokenizer file of the tokenizers library.
+
+Two kinds of file are known: byte-level BPE, and BPE over lower-cased words with a mark at each word's end. Their
+vocabulary is given to tiktoken, which merges the same pairs in the same order several times faster and keeps no
+cache that grows with the text; a word's end is then a byte of its own, which no such text holds. Other files, and texts
+beyond what is known to be equal, go to the tokenizers library itself, so the ids are always that library's.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice, repeat
 
 import numpy as np
 
-#: A word of Latin letters followed by ASCII punctuation but the apostrophe: the default tokenizer cuts it there.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_BREAK = re.compile(rb"[\x20\x09-\x0D]")
-#: Bytes of text whose words are held as Python objects at once, and words remembered with their ids.
-BLOCK_BYTES, MOST_WORDS = 1 << 20, 600_000
+from gridloom.llm.common import kept_by_process
+
+#: Characters of a text that is split and lower-cased here: ASCII but most control characters, and letters of Latin-1.
+_KNOWN = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
+_SPACE = re.compile(r"\s", re.ASCII)
+END = "\x01"
+#: Characters of text whose words are held as Python objects at once.
+BLOCK = 1 << 20
 
+# What a word-level file does before merging.
+_WORD_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORD_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_BYTE_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
-def default_tokenizer() -> str:
+
+def word_file() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def word_blocks(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some at a time, so that a very long text is never held as objects."""
-    at = 0
-    while at < len(text):
-        found = _BREAK.search(text, at + BLOCK_BYTES) if at + BLOCK_BYTES < len(text) else None
-        end = found.start() if found else len(text)
-        yield (text[at:end] if at or found else text).split()
-        at = end
+def byte_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordTokenizer:
-    """Ids per word, looked up once per distinct word: a text's ids are those of its words in a row.
+def _bytes_of_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in a vocabulary: itself, or one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    This holds for tokenizers that drop white space and never join across it, as the default one. New words are
-    encoded together, each followed by a marker word of one id that shows where the ids of each end.
-    """
 
-    MARKER = "\x01"
+class FileTokenizer:
+    """Ids of whole texts; ``special`` strings of the file are found in texts, as the library does by default."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path or default_tokenizer())
-        ids = self._ids(self.MARKER)
-        self.marker = int(ids[0]) if len(ids) == 1 else None
-        self.splits = path is None and self.marker is not None
-        self._forget()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[str, int] = {}
-        self.part_ids, self.part_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)  # one more than words, the last where the next word begins
-
-    def _append(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, at = len(self.index), int(self.starts[len(self.index)])
-        for name, need in (("flat", at + len(ids)), ("starts", n + len(words) + 1)):
-            old = getattr(self, name)
-            if need > len(old):
-                grown = np.zeros(max(need, 2 * len(old)), old.dtype)
-                grown[:len(old)] = old
-                setattr(self, name, grown)
-        self.flat[at:at + len(ids)] = ids
-        self.starts[n + 1:n + len(words) + 1] = at + np.cumsum(sizes)
-        self.index.update(zip(words, range(n, n + len(words))))
-
-    def _learn(self, words: list[bytes]) -> None:
-        alone = [w for w in words if b"\x01" in w] if self.marker is not None else words
-        if len(alone) < len(words):
-            together = [w for w in words if b"\x01" not in w] if alone else words
-            self._append(together, *self._split(together) if self.splits else self._marked(b"\n".join(together).decode().split("\n")))
-        for word in alone:
-            ids = self._ids(word.decode())
-            self._append([word], ids, np.array([len(ids)]))
-
-    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
-        ids = self._ids(f" {self.MARKER} ".join([*words, ""]))
-        return ids[ids != self.marker], np.diff(np.r_[-1, np.flatnonzero(ids == self.marker)]) - 1
-
-    def _split(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """As _marked, by way of lower-case letters and the punctuation after them, which many words share."""
-        parts, known = self.parts, len(self.parts)
-        firsts, seconds = [], []
-        for word in b"\n".join(words).decode().split("\n"):
-            found = _SIMPLE.fullmatch(word)
-            letters, rest = (found[1].lower(), found[2]) if found else (word, "")
-            firsts.append(parts.setdefault(letters, len(parts)))
-            seconds.append(parts.setdefault(rest, len(parts)) if rest else -1)
-        if len(parts) > known:
-            ids, sizes = self._marked(list(islice(parts, known, None)))
-            self.part_ids = np.concatenate([self.part_ids, ids])
-            self.part_sizes = np.concatenate([self.part_sizes, sizes])
-        starts = np.r_[np.cumsum(self.part_sizes) - self.part_sizes, 0]
-        sizes = np.r_[self.part_sizes, 0]  # -1: no second part
-        pairs = np.array([firsts, seconds]).T.ravel()
-        return _gather(self.part_ids, starts[pairs], sizes[pairs]), sizes[pairs].reshape(-1, 2).sum(axis=1)
-
-    def encode(self, text: bytes) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text. Give some MB at a time: their words are looked up together."""
-        if sum(map(len, texts)) > 4 * BLOCK_BYTES:
-            return [np.concatenate([np.zeros(0, np.uint32), *(self._of(w)[0] for w in word_blocks(t))]) for t in texts]
-        lists = [t.split() for t in texts]
-        ids, ends = self._of([w for words in lists for w in words])
-        upto = ends[np.cumsum([0, *map(len, lists)])]
-        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
-
-    def _of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in a row, and the number of ids before each word, one longer than ``words``."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(at < 0).tolist()
-        if unknown:
-            new = {words[i] for i in unknown}
-            if len(self.index) + len(new) > MOST_WORDS:
-                self._forget()
-                new, unknown = set(words), range(len(words))
-            self._learn(list(new))
-            at[unknown] = [self.index[words[i]] for i in unknown]
-        sizes = self.starts[at + 1] - self.starts[at]
-        return _gather(self.flat, self.starts[at], sizes), np.r_[0, np.cumsum(sizes)]
-
-
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The slices [start, start + size) of ``flat``, one after another."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
+        self.path, self.slow, self.fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, self.special = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+        odd = any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        odd = odd or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "byte_fallback"))
+        ends = model.get("end_of_word_suffix") or ""
+        self.words = spec.get("normalizer") == _WORD_NORMALIZER and spec.get("pre_tokenizer") == _WORD_SPLIT and ends != ""
+        if not odd and (self.words or spec.get("normalizer") is None and spec.get("pre_tokenizer") == _BYTE_SPLIT and not ends):
+            self.fast = self._merger(model, ends)
+
+    def _merger(self, model: dict, ends: str):
+        import public_tokenizers
+        import tiktoken
+        byte, vocab = _bytes_of_characters(), model["vocab"]
+
+        def raw(token: str) -> bytes:
+            last = bool(ends) and token.endswith(ends)
+            return bytes(byte[c] for c in (token[:-len(ends)] if last else token)) + END.encode() * last
+
+        merged = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        # First the bytes, then the bytes that end a word, then what merging makes, in its order.
+        order = [*(c for c in byte if c in vocab), *(c + ends for c in byte if ends and c + ends in vocab), *merged]
+        ranks = {raw(t): i for i, t in enumerate(dict.fromkeys(order))}
+        self.ids = np.array([vocab[t] for t in dict.fromkeys(order)], np.uint32)
+        pattern = f"[^{END}]+{END}" if self.words else public_tokenizers.PATTERN
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        known = self.fast is not None and not any(s in text for s in self.special) and (not self.words or _KNOWN.fullmatch(text))
+        try:
+            if known and self.words:
+                return np.concatenate([np.zeros(0, np.uint32), *map(self._words, _blocks(text))])
+            if known:
+                return self.ids[self.fast.encode_to_numpy(text)]
+        except ValueError:  # a run of white space longer than the pattern's stack
+            pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
+            self.slow = Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _words(self, text: str) -> np.ndarray:
+        found = _WORD.findall(text.lower())
+        return self.ids[self.fast.encode_to_numpy(END.join([*found, ""]))] if found else np.zeros(0, np.uint32)
+
+    def encode_bytes(self, raw: bytes) -> np.ndarray:
+        return self.encode(raw.decode("utf-8", "replace"))
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """The text cut at white space, where no word goes on."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + BLOCK)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def tokenizer(path: str) -> FileTokenizer:
+    """One per worker process, whatever the number of its tasks."""
+    return kept_by_process(f"tokenizer {path}", lambda: FileTokenizer(path))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm.bestfit import Plan, cuts, pack, pack_documents
-from gridloom.llm.bytebpe import ByteTokenizer, default_tokenizer
+from gridloom.llm.tokens import FileTokenizer, byte_file, word_file
 
 TEXTS = ["", None, "Hello  world\n\tit's 123 <|endoftext|> x", "Ünïcode ﬁne space\x1c ǅ Σας", "a " * 9000, "word", "word",
          "one two three " * 700, "b́e é  x", " " * 50_000 + "x", "x y"]
@@ -23,7 +23,7 @@ def fills(rows):
 
 def test_round_trip(spark):
     from tokenizers import Tokenizer
-    model = Tokenizer.from_file(default_tokenizer())
+    model = Tokenizer.from_file(byte_file())
     docs = spark.createDataFrame([(i, t, "x", 9) for i, t in enumerate(TEXTS)],
                                  "doc_id long, text string, length string, sequence_id int").repartition(3)
     rows = pack_documents(docs).collect()
@@ -36,19 +36,43 @@ def test_round_trip(spark):
         assert all(r.length == 2048 for r in got[1:])
 
 
-def test_ids_equal_the_tokenizers():
+@pytest.mark.parametrize("path", [byte_file(), word_file()])
+def test_ids_equal_the_tokenizers(path):
     from tokenizers import Tokenizer
-    model, own = Tokenizer.from_file(default_tokenizer()), ByteTokenizer()
+    model, own = Tokenizer.from_file(path), FileTokenizer(path)
     assert own.fast is not None
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     rng = np.random.default_rng(3)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"{chr(c)} a{chr(c)}1{chr(c)}" for c in points[i:i + 500]) for i in range(0, len(points), 20_000)]
-    alphabet = list("abcXYZéÀßÆ'.,!*$&_<|>09 \n\t\x01\x1c  ǅİΣςﬁ 　") + ["don't", "I'LL", "<|endoftext|>", "é"]
+    alphabet = list("abcXYZéÀßÆ'.,!*$&_<|>09 \n\t\x01\x1c  ǅİΣςﬁ　") + ["don't", "I'LL", "<|endoftext|>", "é"]
     texts += ["".join(rng.choice(alphabet, 60)) for _ in range(400)]
+    letters = list("aeioustnrlhdcmpgbfvwyéüöäèàçßñ'- ETAO.0")
+    texts += ["".join(rng.choice(letters, 4000)) for _ in range(40)]
+    pieces = list(model.get_vocab())
+    texts += [" ".join(p.replace("</w>", "") for p in rng.choice(pieces, 500)) for _ in range(40)]
+    texts += [chr(c) + "x" for c in range(256)]
     for t, want in zip(texts, model.encode_batch(texts, add_special_tokens=False)):
         assert own.encode(t).tolist() == want.ids
 
 
+def test_memory_does_not_grow_with_words():
+    import psutil
+    own, rng = FileTokenizer(word_file()), np.random.default_rng(1)
+    own.encode("warm up")
+    before = psutil.Process().memory_info().rss
+    for _ in range(20):  # a million distinct words
+        own.encode(" ".join("".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (50_000, 9))))
+    assert psutil.Process().memory_info().rss - before < 64 << 20
+
+
+def test_long_text_in_blocks():
+    from gridloom.llm import tokens
+    own = FileTokenizer(word_file())
+    text = "Some words, isn't 12 of\tthem\n " * 60_000 + "x" * 100_000
+    assert len(text) > tokens.BLOCK
+    assert own.encode(text).tolist() == own.encode(text[:30]).tolist() * 60_000 + own.encode("x" * 100_000).tolist()
+
+
 def test_edges(spark):
     schema = "doc_id long, text string"
     assert pack_documents(spark.createDataFrame([], schema)).collect() == []
@@ -101,7 +125,7 @@ def test_query(spark):
     import __spark_entry__ as entry
     from tokenizers import Tokenizer
     sf = "/root/testdata/sf0.001"
-    model = Tokenizer.from_file(default_tokenizer())
+    model = Tokenizer.from_file(byte_file())
     rows = entry.queries()["op13_best_fit"](spark, sf).collect()
     want = {}
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
