@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.numbers import get_dims, let
+from gridloom.sources.store import pending, read_table, write_batch
 
 SCHEMA = ("kind string, path string, x int, y int, channel int, vals array<double>, shape array<int>, "
           "affine array<array<double>>, res array<double>, message string")
@@ -99,21 +101,38 @@ def _decode_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                      "vals": grid[x, y, :, c]} for y in range(grid.shape[1]) for c in range(grid.shape[3])])
 
 
-def ingest_volumes(spark: SparkSession, folder: str, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Decode all images of a folder into ``out`` (Parquet by kind): (lines, meta, errors).
+def write_images(files: DataFrame, out: str, batch: str | None = None) -> bool:
+    """Decode (path, content) into the table ``images`` of a store; files that could be read are finished then.
 
-    Each file is decoded exactly once, by the write.
+    Each file is decoded exactly once, by the write. A file that could not be read is tried again by the next run.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{nii.gz,nii,mgz,npz}").load(folder)
-             .select("path", "content"))
-    files.mapInPandas(_decode_files, SCHEMA).write.mode("overwrite").partitionBy("kind").parquet(out)
-    table = spark.read.schema(SCHEMA).parquet(out)
+    spark, batch = files.sparkSession, batch or uuid.uuid4().hex
+
+    def readable() -> DataFrame:
+        written = spark.read.schema(f"{SCHEMA}, batch string").parquet(f"{out}/data/images")
+        return written.where(F.col("batch") == batch).where("kind = 'meta'").select("path")
+
+    decoded = pending(spark, out, files, "path").mapInPandas(_decode_files, SCHEMA)
+    return write_batch({"images": decoded}, out, batch, readable, key="path", partition_by={"images": ["kind"]})
+
+
+def read_images(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, meta, errors) of a store of images; errors of files that a later run could read are dropped."""
+    table = read_table(spark, out, "images", "path")
     lines = table.where("kind = 'line'").select("path", "x", "y", "channel", "vals")
     meta = table.where("kind = 'meta'").select("path", "shape", "affine", "res")
     dims = get_dims(F.col("shape"))
     meta = meta.withColumns({"n_dims": dims["n_dims"], "n_channels": dims["n_channels"]})
-    errors = table.where("kind = 'error'").select("path", "message")
-    return lines, meta, errors
+    errors = table.where("kind = 'error'").select("path", "message").distinct()
+    return lines, meta, errors.join(meta.select("path"), "path", "left_anti")
+
+
+def ingest_volumes(spark: SparkSession, folder: str, out: str, batch: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decode the images of a folder that the store ``out`` does not have yet; (lines, meta, errors) of all it has."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{nii.gz,nii,mgz,npz}").load(folder)
+             .select("path", "content"))
+    write_images(files, out, batch)
+    return read_images(spark, out)
 
 
 def lines_to_voxels(lines: DataFrame, key: str = "path", dtype: str = "double") -> DataFrame:
@@ -138,11 +157,6 @@ def volume_info(df: DataFrame, max_channels: int = 10) -> DataFrame:
                        F.col("_d.n_channels").alias("n_channels"))
 
 
-def resolution(affine) -> Column:
-    """Voxel size of each axis: length of the affine columns."""
-    return let(affine, lambda a: F.array(*[F.sqrt(a[0][j] ** 2 + a[1][j] ** 2 + a[2][j] ** 2) for j in range(3)]))
-
-
 def quarantine(df: DataFrame, problem: Column) -> tuple[DataFrame, DataFrame]:
     """Split rows by an error message column expression: (good rows, errors(vol_id, message)).
 

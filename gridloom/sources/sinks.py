@@ -1,4 +1,4 @@
-"""Writing result tables."""
+"""Result tables in the form in which users read them, and adding them to a store."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.store import write_batch
+
 
 def region_table(df: DataFrame, labels: Sequence[int], names: Sequence[str] | None = None, last_first: bool = False,
                  skip_first: bool = True, subject: str = "vol_id", value: str = "volume") -> DataFrame:
@@ -26,13 +28,16 @@ def region_table(df: DataFrame, labels: Sequence[int], names: Sequence[str] | No
     return wide.select(F.col(subject).alias("subject"), *columns)
 
 
-def write_region_csv(df: DataFrame, path: str, labels: Sequence[int], **options) -> None:
-    region_table(df, labels, **options).write.mode("overwrite").option("header", True).csv(path)
+def write_region_csv(df: DataFrame, path: str, labels: Sequence[int], batch: str | None = None, recompute: bool = False,
+                     **options) -> bool:
+    """Add the subjects of ``df`` to the CSV table ``regions`` of a store; whether there were new ones."""
+    table = region_table(df, labels, **options)
+    return write_batch({"regions": table}, path, batch, key="subject", recompute=recompute, formats={"regions": "csv"})
 
 
-def write_score_matrix(scores: DataFrame, path: str) -> None:
-    """Long scores (vol_id, label, metric, value), one folder per metric."""
-    scores.write.mode("overwrite").partitionBy("metric").parquet(path)
+def write_score_matrix(scores: DataFrame, path: str, batch: str | None = None, recompute: bool = False) -> bool:
+    """Add long scores (vol_id, label, metric, value) to the table ``scores`` of a store, one folder per batch and metric."""
+    return write_batch({"scores": scores}, path, batch, recompute=recompute, partition_by={"scores": ["metric"]})
 
 
 def score_matrix(scores: DataFrame, labels: Sequence[int], metric: str = "dice") -> DataFrame:
@@ -47,9 +52,15 @@ def typed_voxels(df: DataFrame, dtype: str = "int", value: str = "value") -> Dat
     return df.withColumn(value, (F.bround(value) if integral else F.col(value)).cast(dtype))
 
 
-def write_voxels(df: DataFrame, meta: DataFrame | None, path: str, dtype: str = "int", value: str = "value") -> None:
-    """Parquet by dataset, with the volume headers next to it."""
-    by = ["dataset"] if "dataset" in df.columns else []
-    typed_voxels(df, dtype, value).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/voxels")
+def write_voxels(df: DataFrame, meta: DataFrame | None, path: str, dtype: str = "int", value: str = "value",
+                 batch: str | None = None, recompute: bool = False) -> bool:
+    """Add volumes to the tables ``voxels`` (by batch and dataset) and ``meta`` of a store.
+
+    With ``meta`` its volumes are the ones that the run covers, so that a volume without voxels is finished, too.
+    """
+    tables = {"voxels": typed_voxels(df, dtype, value)}
     if meta is not None:
-        meta.write.mode("overwrite").parquet(f"{path}/meta")
+        tables["meta"] = meta
+    by = {"voxels": ["dataset"] if "dataset" in df.columns else []}
+    volumes = meta.select("vol_id") if meta is not None else None
+    return write_batch(tables, path, batch, volumes, recompute=recompute, partition_by=by)

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.sources.ingest import write_images
+
 MANIFEST = "path string, length bigint"
 
 
@@ -25,16 +27,10 @@ def run_new(spark: SparkSession, source: str, checkpoint: str, handle: Callable[
     query.awaitTermination()
 
 
-def run_new_volumes(spark: SparkSession, folder: str, checkpoint: str, out: str, glob: str = "*.{nii.gz,nii,npz}") -> None:
-    """Ingest the image files that arrived since the last call, one output folder per batch."""
-    from gridloom.sources.ingest import SCHEMA, _decode_files
+def run_new_volumes(spark: SparkSession, folder: str, checkpoint: str, out: str, glob: str = "*.{nii.gz,nii,mgz,npz}") -> None:
+    """Add the image files that arrived since the last call to the store ``out``, one batch of it per batch of files."""
     stream = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
               .schema("path string, modificationTime timestamp, length bigint, content binary").load(folder))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = batch.select("path", "content").mapInPandas(_decode_files, SCHEMA)
-        decoded.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/batch={batch_id}")
-
-    query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+    query = (stream.writeStream.foreachBatch(lambda files, i: write_images(files.select("path", "content"), out, f"{i:010d}"))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()

@@ -97,24 +97,8 @@ def test_stream_of_volumes(spark, folder):
     src, vols, _, tmp = folder
     for _ in range(2):
         run_new_volumes(spark, str(src), str(tmp / "cp"), str(tmp / "vols"))
-    rows = spark.read.parquet(str(tmp / "vols")).groupBy("kind").count().collect()
-    assert {r.kind: r["count"] for r in rows}["meta"] == len(vols)
-
-
-def test_region_csv(spark, tmp_path):
-    df = spark.createDataFrame([("s1", 2, 1.23456), ("s1", 3, 2.0), ("s1", 4, 3.0)], "vol_id string, label int, volume double")
-    sinks.write_region_csv(df, str(tmp_path / "csv"), [0, 2, 3, 4], names=["bg", "left", "right", "total"], last_first=True)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*.csv")))
-    assert text.splitlines() == ["subject,total,left,right", "s1,3.0,1.235,2.0"]
-
-
-def test_score_and_voxel_sinks(spark, tmp_path):
-    scores = spark.createDataFrame([(1, 2, "dice", 0.5)], "vol_id int, label int, metric string, value double")
-    sinks.write_score_matrix(scores, str(tmp_path / "scores"))
-    assert (tmp_path / "scores" / "metric=dice").exists()
-    vox = spark.createDataFrame([("d", 1, 0, 0, 0, 2.5), ("d", 1, 0, 0, 1, 3.5)], "dataset string, vol_id int, x int, y int, z int, value double")
-    sinks.write_voxels(vox, None, str(tmp_path / "vox"))
-    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "vox" / "voxels")).collect()) == [2, 4]
+    _, meta, errors = ingest.read_images(spark, str(tmp / "vols"))
+    assert meta.count() == len(vols) and errors.count() == 1
 
 
 def test_posteriors_sum_to_one(spark):
