@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.layout import SLAB, by_volume
+
 AXES = ("x", "y", "z")
 #: Parts that the planes of one volume are dealt into.
 SPREAD = 64
@@ -42,7 +44,8 @@ def attach_shape(df: DataFrame, shape) -> tuple[DataFrame, tuple | None]:
     """Give voxel rows their grid size. ``shape``: a tuple for all volumes, a table (vol_id, nx, ny, nz), or
     None where the columns nx, ny, nz are there already."""
     if isinstance(shape, DataFrame):
-        return df.join(shape.select("vol_id", "nx", "ny", "nz"), "vol_id"), None
+        size = shape.select("vol_id", "nx", "ny", "nz")
+        return by_volume(df, size).drop(*{SLAB} - {*df.columns}) if "x" in df.columns else df.join(size, "vol_id"), None
     return df, None if shape is None else tuple(shape)
 
 

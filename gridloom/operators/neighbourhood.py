@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.layout import by_volume
 from gridloom.operators.lines import Pass, attach_shape, distance_to, fold, separable
 from gridloom.operators.morphology import complement_runs, face_neighbours, from_runs, inside_grid, outer_rim, to_runs
 
@@ -152,7 +153,7 @@ def signed_distance_cropped(df: DataFrame, shape, crop_margin: int, labels: Sequ
     local = crop_to_box(df, boxes)
     size = boxes.select("vol_id", *[(F.col("hi")[i] - F.col("lo")[i]).alias(f"n{a}") for i, a in enumerate("xyz")])
     inner = signed_distance(local, size, labels, label)
-    back = inner.join(boxes, "vol_id").select(
+    back = by_volume(inner, boxes).select(
         "vol_id", *[(F.col(a) + F.col("lo")[i]).alias(a) for i, a in enumerate("xyz")], "distance")
     low = inner.groupBy("vol_id").agg(F.min("distance").alias("_min"))
     grid = dense_grid(low, shape)
@@ -192,7 +193,7 @@ def erode_labels(df: DataFrame, labels: Sequence[int], factors: Sequence[float],
             kept = soft.where(F.col("value") > float(factor)).select(*VOXEL)
         lost = mask.join(kept, VOXEL, "left_anti")
         boxes = region_box(lost, shape, margin=3).select("vol_id", "lo", "hi")
-        near_by = out.join(boxes, "vol_id").where(" AND ".join(
+        near_by = by_volume(out, boxes).where(" AND ".join(
             f"{a} >= lo[{i}] AND {a} < hi[{i}]" for i, a in enumerate("xyz"))).where(F.col(label) != lab)
         near = nearest_label(lost, near_by.select(*VOXEL, F.col(label).alias("_cand")), ["vol_id"])
         near = near.where("_d2 IS NOT NULL").select(*VOXEL, "_new")
