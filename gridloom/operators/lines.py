@@ -8,10 +8,11 @@ Every group is one plane of a volume, however many voxels a single volume or key
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from gridloom.functions.layout import SLAB, by_volume
 AXES = ("x", "y", "z")
 #: Parts that the planes of one volume are dealt into.
 SPREAD = 64
+#: Cells of a block of lines, and the number that stands for no value.
+CELLS, FAR = 1 << 20, np.int64(1) << 61
 # A pass maps (index i, length n, ref) to the SQL of output element i; ref(j) is the SQL of input element j.
 Element = Callable[[str, str, Callable[[str], str]], str]
 
@@ -117,9 +120,9 @@ def distance_to(points: DataFrame, seeds: DataFrame, keys: list[str], out: str =
                 payload: str | None = None, payload_size: int = 1, payload_out: str = "payload") -> DataFrame:
     """Exact squared Euclidean distance from every point to the nearest seed with the same keys.
 
-    Separable min-plus: Spark groups the seeds by plane (keys, x), and the plane results by (keys, y) with the points of
-    that row; the sums of squares inside one such row are a few numpy lines on Arrow batches. Only rows some point asks
-    for are evaluated and no pair of voxels is formed beyond a plane.
+    Separable lower envelopes: Spark groups the seeds by plane (keys, x), and the plane results by (keys, y) with the
+    points of that row; each pass takes the lower envelope of the parabolas on a line, for all lines of an Arrow batch
+    at once, in time proportional to the cells. Only rows some point asks for are passed on.
     ``payload``: an integer column of the seeds in [0, payload_size); the payload of the nearest seed is returned
     too, the smallest one on ties. It rides in the low digits of the minimised number, so one transform serves all
     candidate labels. Points whose key has no seed get NULL.
@@ -140,81 +143,177 @@ def distance_to(points: DataFrame, seeds: DataFrame, keys: list[str], out: str =
     span = wanted.groupBy(*keys).agg(F.min("_z0").alias("_z0"), F.max("_z1").alias("_z1"),
                                      F.array_sort(F.collect_list("y")).alias("_ys"))
     span = span.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    located = planes.join(span, [*keys, "_part"]).select(
-        *keys, "x", "_z0", "_z1", "_ys", F.col("_s.y").alias("_y"), F.col("_s.z").alias("_z"), F.col("_s.o").alias("_o"))
     kept = [*keys, "x", "_z0"]
+    located = planes.join(span, [*keys, "_part"]).select(
+        *kept, "_z1", "_ys", F.col("_s.y").alias("_y"), F.col("_s.z").alias("_z"), F.col("_s.o").alias("_o"))
     schema = T.StructType([located.schema[c] for c in kept] + [
         T.StructField("y", T.IntegerType()), T.StructField("a", T.ArrayType(T.LongType()))])
     stacks = (
-        located.mapInPandas(_plane_rows(kept, k), schema)
+        located.mapInArrow(_plane_rows(kept, k), schema)
         .groupBy(*keys, "y", "_z0").agg(F.collect_list(F.struct("x", "a")).alias("_r"))
     )
-    best = _stack_minimum(F.col("_r.x"), F.flatten(F.col("_r.a")), F.col("_z0"), F.col("_p.x"), F.col("_p.z"), F.lit(k))
-    fields = ", ".join(f"q.{c} AS {c}" for c in rest)
-    solved = (
-        packed.join(stacks, [*keys, "y"], "left").select(*keys, "y", "_p", best.alias("_b"))
-        .select(*keys, "y", F.explode(F.expr(f"transform(_p, (q, i) -> struct({fields}, _b[i] AS _b))")).alias("_q"))
-    )
-    result = solved.select(*keys, "y", *[F.col(f"_q.{c}").alias(c) for c in rest], F.col("_q._b").alias("_b"))
+    rows = packed.join(stacks, [*keys, "y"], "left").select(
+        *keys, "y", "_z0", F.col("_r.x").alias("_x"), F.flatten("_r.a").alias("_a"), "_p")
+    flat = T.StructType([points.schema[c] for c in [*keys, "y", *rest]] + [T.StructField("_b", T.LongType())])
+    result = rows.mapInArrow(_stack_points([*keys, "y"], rest, k), flat)
     result = result.withColumn(out, F.expr(f"_b DIV {k}L"))
     if payload:
         result = result.withColumn(payload_out, F.expr(f"CAST(_b % {k}L AS INT)"))
     return result.select(*points.columns, out, *([payload_out] if payload else []))
 
 
-def _plane_minimum(y, z, o, rows, cols, scale: int) -> np.ndarray:
-    """min over the seeds (y, z) of one plane of o + scale * squared distance, at every row and column."""
-    if len(y) * len(rows) * len(cols) <= 100_000:
-        far = (y[:, None, None] - rows[:, None]) ** 2 + (z[:, None, None] - cols) ** 2
-        return (o[:, None, None] + scale * far).min(axis=0)
-    lines, at = np.unique(y, return_inverse=True)
-    best = np.full((len(rows), len(cols)), np.iinfo(np.int64).max)
-    for i, line in enumerate(lines):
-        mine = at == i
-        along = (o[mine, None] + scale * (z[mine, None] - cols) ** 2).min(axis=0)
-        np.minimum(best, along + scale * (rows[:, None] - line) ** 2, out=best)
-    return best
-
-
-def _plane_rows(kept: list[str], scale: int, cells_per_batch: int = 1_000_000):
-    """Planes in, their solved rows out, in batches of bounded size."""
-    whole = lambda v: np.asarray(v, dtype=np.int64)
-
-    def run(frames):
-        for frame in frames:
-            take, rows_out, lines, cells = [], [], [], 0
-
-            def batch():
-                out = frame[kept].iloc[take].reset_index(drop=True)
-                return out.assign(y=rows_out, a=lines)
-
-            columns = (frame[c] for c in ("_y", "_z", "_o", "_ys", "_z0", "_z1"))
-            for i, (y, z, o, rows, first, last) in enumerate(zip(*columns)):
-                best = _plane_minimum(whole(y), whole(z), whole(o), whole(rows), np.arange(first, last + 1), scale)
-                take += [i] * len(best)
-                rows_out += list(rows)
-                lines += list(best)
-                cells += best.size
-                if cells >= cells_per_batch:
-                    yield batch()
-                    take, rows_out, lines, cells = [], [], [], 0
-            if take:
-                yield batch()
+def lower_envelope(f: np.ndarray, scale: int) -> np.ndarray:
+    """min over p of f[p] + scale * (q - p)^2 for every q, for each column of ``f`` (n, m); FAR where there is no value.
+
+    One sweep stacks, per column, the parabolas that are lowest somewhere and where each begins to be; a second one
+    reads the values off. Both work on all columns at once, a block of bounded size at a time.
+    """
+    n, m = f.shape
+    out = np.empty_like(f)
+    step = max(1, CELLS // max(1, n))
+    for a in range(0, m, step):
+        out[:, a:a + step] = _envelope_block(f[:, a:a + step], scale)
+    return out
+
+
+def _envelope_block(f: np.ndarray, scale: int) -> np.ndarray:
+    n, m = f.shape
+    vertex, start = np.zeros((n, m), np.int32), np.zeros((n, m), np.int32)
+    top = np.full(m, -1)
+    for q in range(n):
+        cols = np.flatnonzero(f[q] < FAR)
+        begins = np.zeros(len(cols), np.int64)
+        rest = np.arange(len(cols))
+        while len(rest):
+            rest = rest[top[cols[rest]] >= 0]  # with nothing below, the new one is lowest from the start
+            c = cols[rest]
+            p = vertex[top[c], c].astype(np.int64)
+            ahead = f[q, c] - f[p, c] + scale * (q * q - p * p)
+            first = -(-ahead // (2 * scale * (q - p)))  # where the new one is as low as the last
+            hidden = first <= start[top[c], c]
+            begins[rest[~hidden]] = first[~hidden]
+            top[c[hidden]] -= 1
+            rest = rest[hidden]
+            begins[rest] = 0
+        seen = begins < n
+        c = cols[seen]
+        top[c] += 1
+        vertex[top[c], c], start[top[c], c] = q, begins[seen]
+    out = np.full((n, m), FAR)
+    c = np.flatnonzero(top >= 0)
+    last, at = top[c], np.zeros(len(c), np.int64)
+    for q in range(n):
+        after = np.minimum(at + 1, last)
+        at = np.where((at < last) & (start[after, c] <= q), after, at)
+        p = vertex[at, c].astype(np.int64)
+        out[q, c] = f[p, c] + scale * (q - p) ** 2
+    return out
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the lists (0 for null ones), and all their numbers in a row."""
+    return _lists_sizes(column), np.asarray(column.flatten().cast(pa.int64()), np.int64)
+
+
+def _ends(sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest number of each list; none may be empty."""
+    starts = np.cumsum(sizes) - sizes
+    return np.minimum.reduceat(flat, starts), np.maximum.reduceat(flat, starts)
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ragged rows of the given sizes laid end to end: the row of each element, and its place in it."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _chunks(cells: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most CELLS cells together, or of one row."""
+    at = 0
+    while at < len(cells):
+        upto = at + max(1, int(np.searchsorted(np.cumsum(cells[at:]), CELLS, "right")))
+        yield at, upto
+        at = upto
+
+
+def _plane_rows(kept: list[str], scale: int):
+    """Planes in, their solved rows out: per wanted row y the least o + scale * squared distance within the plane."""
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_seeds, y = _lists(batch["_y"])
+        z, o = _lists(batch["_z"])[1], _lists(batch["_o"])[1]
+        n_rows, rows = _lists(batch["_ys"])
+        z0, z1 = (np.asarray(batch[c], np.int64) for c in ("_z0", "_z1"))
+        (y_low, y_high), (r_low, r_high), (z_low, z_high) = _ends(n_seeds, y), _ends(n_rows, rows), _ends(n_seeds, z)
+        y_low, z_low = np.minimum(y_low, r_low), np.minimum(z_low, z0)
+        height = int((np.maximum(y_high, r_high) - y_low).max()) + 1
+        depth = int((np.maximum(z_high, z1) - z_low).max()) + 1
+        width = z1 - z0 + 1
+        widest = int(width.max())
+        # Along z, one column per line that holds a seed.
+        plane = np.repeat(np.arange(len(n_seeds)), n_seeds)
+        lines, line = np.unique(plane * height + y - y_low[plane], return_inverse=True)
+        f = np.full((depth, len(lines)), FAR)
+        np.minimum.at(f, (z - z_low[plane], line), o)
+        f = lower_envelope(f, scale)
+        owner = lines // height
+        cut = np.minimum((z0 - z_low)[owner] + np.arange(widest)[:, None], depth - 1)
+        f = np.take_along_axis(f, cut, axis=0)
+        # Along y, one column per wanted z of each plane.
+        g = np.full((height, len(n_seeds), widest), FAR)
+        g[lines % height, owner] = f.T
+        g = lower_envelope(g.reshape(height, -1), scale).reshape(g.shape)
+        of = np.repeat(np.arange(len(n_rows)), n_rows)
+        values = g[rows - y_low[of], of]
+        size = width[of]
+        flat = values[np.arange(widest) < size[:, None]]
+        a = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(of)) for c in kept), pa.array(rows, pa.int32()), a], [*kept, "y", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_rows, rows = _lists(batch["_ys"])
+                low, high = _ends(n_rows, rows)
+                deep = np.asarray(batch["_z1"], np.int64) - np.asarray(batch["_z0"], np.int64) + 1
+                yield from (solve(batch.slice(a, b - a)) for a, b in _chunks((high - low + 1) * deep))
+    return run
+
+
+def _stack_points(keys: list[str], rest: list[str], scale: int):
+    """Rows (keys, y) with their planes and points in, one row per point out: min over planes of value + scale * dx^2."""
+    def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fields = dict(zip(rest, batch["_p"].flatten().flatten()))
+        n_points = _lists_sizes(batch["_p"])
+        row = np.repeat(np.arange(batch.num_rows), n_points)
+        px, pz = (np.asarray(fields[c], np.int64) for c in ("x", "z"))
+        n_planes, planes = _lists(batch["_x"])
+        n_values, values = _lists(batch["_a"])
+        best = np.full(len(row), FAR)
+        if len(planes):
+            width = n_values // np.maximum(n_planes, 1)
+            z0 = np.asarray(pc.fill_null(batch["_z0"], 0), np.int64)
+            low, high = np.full(batch.num_rows, np.iinfo(np.int32).max, np.int64), np.full(batch.num_rows, -1)
+            of = np.repeat(np.arange(batch.num_rows), n_planes)
+            for owner, x in ((of, planes), (row, px)):
+                np.minimum.at(low, owner, x)
+                np.maximum.at(high, owner, x)
+            f = np.full((int((high - low).max()) + 1, batch.num_rows, int(width.max())), FAR)
+            plane, z = _places(width[of])
+            f[planes[plane] - low[of[plane]], of[plane], z] = values
+            f = lower_envelope(f.reshape(f.shape[0], -1), scale).reshape(f.shape)
+            some = n_planes[row] > 0
+            best[some] = f[(px - low[row])[some], row[some], (pz - z0[row])[some]]
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays(
+            [*(batch[c].take(take) for c in keys), *(fields[c] for c in rest), pa.array(best, pa.int64(), mask=best >= FAR)], [*keys, *rest, "_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = np.maximum(_lists_sizes(batch["_a"]), _lists_sizes(batch["_p"]))
+                yield from (solve(batch.slice(a, b - a)) for a, b in _chunks(cells))
     return run
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _stack_minimum(xs: pd.Series, stack: pd.Series, z0: pd.Series, qx: pd.Series, qz: pd.Series, k: pd.Series) -> pd.Series:
-    """Per row (keys, y): min over planes x of the plane value + k * dx^2, at the points (qx, qz) of the row."""
-    def solve(planes, values, first, px, pz, scale):
-        if planes is None or first is None or first != first:
-            return np.full(len(px), None)
-        planes, px, pz = (np.asarray(v, dtype=np.int64) for v in (planes, px, pz))
-        table = np.asarray(values, dtype=np.int64).reshape(len(planes), -1)
-        out = np.empty(len(px), np.int64)
-        step = max(1, 1_000_000 // len(planes))
-        for at in range(0, len(px), step):
-            x, z = px[at:at + step], pz[at:at + step] - int(first)
-            out[at:at + step] = (table[:, z] + scale * (planes[:, None] - x) ** 2).min(axis=0)
-        return out
-    return pd.Series([solve(*row) for row in zip(xs, stack, z0, qx, qz, k)])
+def _lists_sizes(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
