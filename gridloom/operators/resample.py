@@ -1,7 +1,7 @@
 """Interpolation on voxel grids.
 
-Grid-to-grid changes are separable and run as one-axis passes on packed lines. General affine warps join each target
-voxel with the (at most eight) source voxels around its position.
+Grid-to-grid changes are separable and run as one-axis passes on packed lines. General affine warps go brick by brick
+(``warp``).
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.numbers import apply_affine, blur_sigma, inverse_affine, matmul, matrix
-from gridloom.operators.geometry import align, dense_grid
+from gridloom.operators.geometry import align
 from gridloom.operators.lines import Pass, attach_shape, fold, separable
+from gridloom.operators.warp import affine_reads
 
 VOXEL = ["vol_id", "x", "y", "z"]
 AXES = ("x", "y", "z")
@@ -99,74 +100,25 @@ def resize_grid(df: DataFrame, shape, new_shape: Sequence[int], method: str = "l
     return separable(df, keys, value, dims, passes)
 
 
-def interpolate_at(targets: DataFrame, source: DataFrame, position: Sequence[Column], keys: Sequence[str] = ("vol_id",),
-                   outside: str = "zero", method: str = "linear", value: str = "value") -> DataFrame:
-    """Values of ``source`` at ``position`` (columns of ``targets``, which also holds the source sizes sx, sy, sz).
-
-    Corners of zero weight are dropped before the join, so a voxel on the grid costs one row, not eight. ``outside``:
-    'zero' gives 0 beyond the source grid, 'clamp' repeats the border.
-    """
-    cols = list(targets.columns)
-    size = [F.col(f"s{a}") for a in AXES]
-    df = targets.withColumns({f"_p{a}": p for a, p in zip(AXES, position)})
-    inside = F.lit(True)
-    for a, n in zip(AXES, size):
-        inside = inside & (F.col(f"_p{a}") >= 0) & (F.col(f"_p{a}") <= n - 1)
-    df = df.withColumn("_in", inside)
-    df = df.withColumns({f"_p{a}": F.least(F.greatest(f"_p{a}", F.lit(0.0)), (n - 1).cast("double"))
-                         for a, n in zip(AXES, size)})
-    if method == "nearest":
-        corner = F.struct(*[F.ceil(F.col(f"_p{a}") - 0.5).cast("int").alias(a) for a in AXES], F.lit(1.0).alias("w"))
-        corners = F.array(corner)
-    else:
-        df = df.withColumns({f"_f{a}": F.floor(f"_p{a}").cast("int") for a in AXES})
-        df = df.withColumns({f"_w{a}": F.col(f"_p{a}") - F.col(f"_f{a}") for a in AXES})
-        items = []
-        for c in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)):
-            w = None
-            for a, bit in zip(AXES, c):
-                part = F.col(f"_w{a}") if bit else 1 - F.col(f"_w{a}")
-                w = part if w is None else w * part
-            items.append(F.struct(*[(F.col(f"_f{a}") + bit).alias(a) for a, bit in zip(AXES, c)], w.alias("w")))
-        corners = F.filter(F.array(*items), lambda s: s["w"] > 0)
-    if outside == "zero":
-        corners = F.when(F.col("_in"), corners).otherwise(F.array().cast(
-            "array<struct<x:int,y:int,z:int,w:double>>"))
-    probe = df.select(*cols, F.explode_outer(corners).alias("_c"))
-    right = source.select(*keys, *[F.col(a).alias(f"_s{a}") for a in AXES], F.col(value).alias("_v"))
-    hit = probe.join(right, [probe[k] == right[k] for k in keys] +
-                     [F.col(f"_c.{a}") == F.col(f"_s{a}") for a in AXES], "left")
-    summed = F.sum(F.coalesce(F.col("_v") * F.col("_c.w"), F.lit(0.0)))
-    return hit.groupBy(*[probe[c] for c in cols]).agg(summed.alias(value))
-
-
 def resample_like(source: DataFrame, source_meta: DataFrame, ref_meta: DataFrame, method: str = "linear",
                   value: str = "value") -> DataFrame:
     """Reslice onto the grid of ``ref_meta`` (same vol_id) through the two affines; 0 outside the source."""
-    pairs = (ref_meta.select("vol_id", "nx", "ny", "nz", F.col("affine").alias("_ref"))
+    grids = (ref_meta.select("vol_id", "nx", "ny", "nz", F.col("affine").alias("_ref"))
              .join(source_meta.select("vol_id", F.col("affine").alias("_flo"), F.col("nx").alias("sx"),
                                       F.col("ny").alias("sy"), F.col("nz").alias("sz")), "vol_id")
-             .withColumn("_t", matmul(inverse_affine(F.col("_flo")), F.col("_ref"))))
-    targets = dense_grid(pairs.select("vol_id", "nx", "ny", "nz", "sx", "sy", "sz", "_t"), None)
-    targets = targets.withColumns({f"_q{i}": c for i, c in enumerate(
-        apply_affine(F.col("_t"), F.col("x"), F.col("y"), F.col("z")))})
-    targets = targets.select(*VOXEL, "sx", "sy", "sz", "_q0", "_q1", "_q2")
-    # Round away the noise of the inverse, so that grid points stay grid points.
-    position = [F.round(f"_q{i}", 9) for i in range(3)]
-    return interpolate_at(targets, source, position, method=method, value=value).select(*VOXEL, value)
+             .withColumn("t", matmul(inverse_affine(F.col("_flo")), F.col("_ref"))))
+    return affine_reads(grids.drop("_ref", "_flo"), source, method, "zero", value)
 
 
 def apply_affine_warp(df: DataFrame, volumes: DataFrame, shape: Sequence[int], affine: Column,
                       method: str = "linear", value: str = "value") -> DataFrame:
     """Warp about the grid centre: the output at v reads the input at A (v - c) + c, clamped to the grid."""
     centre = [(n - 1) / 2 for n in shape]
-    grid = dense_grid(volumes.withColumn("_a", affine), tuple(shape))
-    grid = grid.withColumns({f"s{a}": F.lit(int(n)) for a, n in zip(AXES, shape)})
-    moved = apply_affine(F.col("_a"), *[F.col(a) - c for a, c in zip(AXES, centre)])
-    grid = grid.withColumns({f"_q{i}": F.round(m + c, 9) for i, (m, c) in enumerate(zip(moved, centre))})
-    grid = grid.select(*VOXEL, "sx", "sy", "sz", "_q0", "_q1", "_q2")
-    return interpolate_at(grid, df, [F.col(f"_q{i}") for i in range(3)], outside="clamp", method=method,
-                          value=value).select(*VOXEL, value)
+    grids = volumes.withColumn("_a", affine)
+    moved = apply_affine(F.col("_a"), *[F.lit(-c) for c in centre])  # where A sends -c
+    rows = [[F.col("_a")[i][j] for j in range(3)] + [moved[i] + centre[i]] for i in range(3)]
+    sizes = [F.lit(int(n)).alias(f"{p}{a}") for p in "ns" for a, n in zip(AXES, shape)]
+    return affine_reads(grids.select("vol_id", *sizes, matrix(rows).alias("t")), df, method, "clamp", value)
 
 
 def upsample_labels(df: DataFrame, meta: DataFrame, res: Sequence[float], label: str = "label") -> DataFrame:
