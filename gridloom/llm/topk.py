@@ -30,13 +30,16 @@ BLOCK, QUERIES = 4096, 512
 #: Annuli that a query visits before its bound is known.
 FIRST = 2
 NO_ID = np.iinfo(np.int64).max
+#: Stands for no score yet; every score is above it.
+NO_SCORE = np.iinfo(np.int64).min
 
 
 def _quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, dim, v) with v the floors of SCALE times the components as 64-bit integers; others take no part."""
     v = F.col(vector_col)
     whole = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    floors = F.transform(v, lambda x: F.floor(x.cast("double") * SCALE))
+    beyond = F.raise_error(F.lit("a component is too large for 64-bit integers")).cast("long")
+    floors = F.transform(v, lambda x: F.when(F.abs(x.cast("double")) * SCALE < 2.0 ** 62, F.floor(x.cast("double") * SCALE)).otherwise(beyond))
     return vectors.where(whole).select(F.col(id_col).cast("long").alias("id"), F.size(v).alias("dim"), floors.alias("v"))
 
 
@@ -61,6 +64,18 @@ class Space:
     def of_scores(self, q: np.ndarray, scores: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((q ** 2).sum(axis=1) + self.radius2 - 2 * scores, 0))
 
+    def slack(self, q: np.ndarray) -> np.ndarray:
+        """More than rounding can add to or take from a distance: squares carry errors in proportion to the norms."""
+        return 1e-6 + 4 * np.sqrt(64 * np.finfo(float).eps * ((q ** 2).sum(axis=1) + self.radius2))
+
+    def scores(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Exact inner products of integer rows, as 64-bit integers, or as Python's where those may not hold them."""
+        if self.radius2 < 2 ** 52:  # so no sum of products, complete or not, leaves what a double holds
+            return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+        if self.radius2 < 2 ** 62:
+            return q @ x.T
+        return q.astype(object) @ x.T.astype(object)
+
 
 def _spaces(rows: DataFrame) -> dict[int, Space]:
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
@@ -117,8 +132,9 @@ class Visits:
         np.put_along_axis(first, np.argsort(bounds, axis=1, kind="stable")[:, :FIRST], True, axis=1)
         if need is None:
             return first
-        reach = np.where(np.isneginf(need), np.inf, self.spaces[dim].of_scores(q, np.where(np.isneginf(need), 0, need)))
-        return ~first & (bounds <= (reach * (1 + 1e-9) + 1e-6)[:, None])
+        none = need == NO_SCORE
+        reach = np.where(none, np.inf, self.spaces[dim].of_scores(q, np.where(none, 0, need).astype(np.float64)))
+        return ~first & (bounds <= (reach + self.spaces[dim].slack(q))[:, None])
 
 
 def _unpack(items: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,11 +145,14 @@ def _unpack(items: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest of each row, ties to the smaller id; -inf never counts."""
+    """(row, column) of the k largest of each row, ties to the smaller id; NO_SCORE never counts."""
     n = scores.shape[1]
-    kth = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
-    row, col = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
-    order = np.lexsort((ids[col], -scores[row, col], row))
+    kth = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), NO_SCORE)
+    row, col = np.nonzero((scores >= kth[:, None]) & (scores != NO_SCORE))
+    values = scores[row, col]
+    if values.dtype == object:  # places in order instead of values, which sorting by several keys can't take
+        values = np.searchsorted(np.array(sorted(set(values.tolist())), object), values)
+    order = np.lexsort((ids[col], -values, row))
     row, col = row[order], col[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     return row[place < k], col[place < k]
@@ -168,16 +187,16 @@ def _visit(queries: DataFrame, blocks: DataFrame, visits: Visits, found: DataFra
                 chosen = visits.wanted(dim, q.astype(np.float64), need)[:, j]
                 uid, ids, x = _unpack(batch.column(4)[i].values, dim)
                 quid, qid, q = quid[chosen], qid[chosen], q[chosen]
-                if visits.spaces[dim].radius2 < 2 ** 52:
-                    scores = q.astype(np.float64) @ x.T.astype(np.float64)
-                else:
-                    scores = (q.astype(object) @ x.T.astype(object)).astype(np.float64)
-                scores[quid[:, None] == uid[None, :]] = -np.inf
+                scores = visits.spaces[dim].scores(q, x)
+                scores[quid[:, None] == uid[None, :]] = NO_SCORE
                 if need is not None:
-                    scores[scores < need[chosen][:, None]] = -np.inf
+                    scores[scores < need[chosen][:, None]] = NO_SCORE
                 row, col = best(scores, ids, K)
-                for k, values in enumerate((quid[row], qid[row], ids[col], scores[row, col].astype(np.int64))):
-                    out[k].append(values)
+                values = scores[row, col]
+                if values.dtype == object and any(abs(v) >= 1 << 63 for v in values):
+                    raise ValueError("an inner product does not fit 64 bits")
+                for k, found in enumerate((quid[row], qid[row], ids[col], values.astype(np.int64))):
+                    out[k].append(found)
             arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *o])) for o in out]
             ids = arrays[2].to_numpy()
             arrays[2] = pa.array(ids, mask=ids == NO_ID)
@@ -185,14 +204,14 @@ def _visit(queries: DataFrame, blocks: DataFrame, visits: Visits, found: DataFra
 
     if found is not None:
         kth = found.groupBy("quid").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(
-            "quid", F.when(F.size("s") >= K, F.element_at("s", K).cast("double")).otherwise(float("-inf")).alias("need"))
+            "quid", F.when(F.size("s") >= K, F.element_at("s", K)).otherwise(NO_SCORE).alias("need"))
         flat = queries.select("dim", "pivot", "salt", F.explode("x").alias("y")).join(kth, F.col("y.uid") == F.col("quid"), "left")
         pair = F.sort_array(F.collect_list(F.struct(F.col("y.uid").alias("uid"), F.col("y").alias("y"),
-                                                    F.coalesce("need", F.lit(float("-inf"))).alias("need"))))
+                                                    F.coalesce("need", F.lit(NO_SCORE)).alias("need"))))
         queries = flat.groupBy("dim", "pivot", "salt").agg(pair.alias("p")).select(
             "dim", "pivot", "salt", F.col("p.y").alias("x"), F.col("p.need").alias("need"))
     else:
-        queries = queries.select("dim", "pivot", "salt", "x", F.expr("CAST(array() AS array<double>)").alias("need"))
+        queries = queries.select("dim", "pivot", "salt", "x", F.expr("CAST(array() AS array<long>)").alias("need"))
     queries = materialize(queries)
     planned = queries.mapInArrow(plan, ", ".join(f"{n} long" for n in names))
     asked = queries.select(F.col("dim").alias("dim"), F.col("pivot").alias("qpivot"), F.col("salt").alias("qsalt"), F.col("x").alias("q"), "need")
@@ -211,7 +230,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     Queries are the rows whose id is divisible by ``every``. A vector that is null or empty, or holds a null or
     non-finite component, takes no part; vectors are compared with those of their own length. Rows are told apart by
     position, not id: repeated ids are rows of their own, and a null id is no query and the last among ties. Fewer
-    candidates than K are all returned; no rows give no rows. Other columns are not read.
+    candidates than K are all returned; no rows give no rows. Other columns are not read. Scores are exact integers; a
+    component beyond 2^62 / SCALE, or a candidate for the result whose score is beyond 64 bits, ends the job with an error.
     """
     spark = vectors.sparkSession
     rows = materialize(_quantised(vectors, id_col, vector_col))
