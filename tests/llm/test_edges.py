@@ -41,3 +41,38 @@ def test_top_k_edges(spark):
     rows = [(50, [1.0, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0]), (0, [0.5, 0.5]), (None, [0.5, 0.5])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert [(r.id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 50] == [(0, 49152), (1, 49152), (None, 49152)]
+
+
+def brute_top(rows, k=5, every=50):
+    import math
+    ints = [(i, [math.floor(256 * c) for c in v]) for i, v in rows]
+    out = {}
+    for a, (i, v) in enumerate(ints):
+        if i % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(ints) if b != a)
+            out[i] = [(j, -s) for s, j in found[:k]]
+    return out
+
+
+@pytest.mark.parametrize("size", [1.0, 2.0 ** 17, 2.0 ** 20 + 1 / 256, 2.0 ** 22])
+def test_top_k_is_exact_at_any_size(spark, size):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    rows = [(i, (size * rng.choice([1.0, 1 + 2.0 ** -28, -1.0], 3) + rng.integers(-3, 3, 3) / 256).tolist()) for i in range(120)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
+    assert {q: [x for _, x in sorted(v.items())] for q, v in got.items()} == brute_top(rows)
+
+
+@pytest.mark.parametrize("size", [2.0 ** 54, 2.0 ** 30])
+def test_top_k_beyond_64_bits_raises(spark, size):
+    df = spark.createDataFrame([(0, [size]), (50, [size])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64"):
+        topk.top_k(df).collect()
+
+
+def test_survivors_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 5, "x", 7, 8), (2, "a b c d e f g", 6, "y", 7, 8), (2, "a b c d e f g", 6, "y", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n int, digest string, id int, row int")
+    assert [tuple(r) for r in near.one_per_class(docs).collect()] == rows[:1]
