@@ -10,6 +10,7 @@ import gzip
 import io
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,34 @@ SCHEMA = ("kind string, path string, x int, y int, channel int, vals array<doubl
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 
 
-def decode_nifti(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(volume, affine, resolution) of an uncompressed NIfTI-1 file held in memory."""
+@dataclass(frozen=True)
+class Header:
+    """What a NIfTI-1 header says of the numbers that follow ``offset`` bytes from the start."""
+
+    shape: tuple[int, ...]
+    kind: str
+    offset: int
+    slope: float
+    inter: float
+    affine: np.ndarray
+    res: np.ndarray
+
+    def scaled(self, data: np.ndarray) -> np.ndarray:
+        data = data.astype(float)
+        if self.slope not in (0.0, 1.0) or self.inter != 0.0:
+            if self.slope == self.slope and self.slope != 0.0:
+                data = data * self.slope + self.inter
+        return data
+
+
+#: Bytes of a header.
+HEADER_BYTES = 352
+
+
+def nifti_header(raw: bytes) -> Header:
+    """Header of an uncompressed NIfTI-1 file from its first bytes."""
+    if len(raw) < 348:
+        raise ValueError("not a NIfTI-1 file")
     end = "<" if np.frombuffer(raw[:4], "<i4")[0] == 348 else ">"
     if np.frombuffer(raw[:4], end + "i4")[0] != 348:
         raise ValueError("not a NIfTI-1 file")
@@ -39,11 +66,6 @@ def decode_nifti(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError(f"unsupported NIfTI data type {code}")
     pixdim = field(76, "f4", 8).astype(float)
     offset, slope, inter = (float(v) for v in field(108, "f4", 3))
-    data = np.frombuffer(raw, end + NIFTI_TYPES[code], int(np.prod(shape)), int(offset)).reshape(shape, order="F")
-    data = data.astype(float)
-    if slope not in (0.0, 1.0) or inter != 0.0:
-        if slope == slope and slope != 0.0:
-            data = data * slope + inter
     affine = np.eye(4)
     qform, sform = (int(v) for v in field(252, "i2", 2))
     if sform > 0:
@@ -62,7 +84,14 @@ def decode_nifti(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         full = np.array((list(shape) + [1, 1, 1])[:3])
         affine[:3, :3] = np.diag(zoom)
         affine[:3, 3] = -zoom * (full - 1) / 2
-    return data, affine, pixdim[1:4]
+    return Header(shape, end + NIFTI_TYPES[code], int(offset), slope, inter, affine, pixdim[1:4])
+
+
+def decode_nifti(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(volume, affine, resolution) of an uncompressed NIfTI-1 file held in memory."""
+    head = nifti_header(raw)
+    data = np.frombuffer(raw, head.kind, int(np.prod(head.shape)), head.offset).reshape(head.shape, order="F")
+    return head.scaled(data), head.affine, head.res
 
 
 def decode(path: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
