@@ -36,10 +36,6 @@ def get_dims(shape: Column, max_channels: int = 10) -> Column:
     )
 
 
-def entry(matrix: Column, row: int, col: int) -> Column:
-    return matrix[row][col]
-
-
 def matrix(rows: list[list[Column]]) -> Column:
     return F.array(*[F.array(*[F.lit(v).cast("double") if not isinstance(v, Column) else v.cast("double")
                                for v in r]) for r in rows])

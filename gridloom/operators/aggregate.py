@@ -11,6 +11,7 @@ from gridloom.functions.numbers import ras_axes
 from gridloom.functions.order import exact_percentiles
 from gridloom.operators.geometry import align_plan
 from gridloom.operators.intensity import rescale
+from gridloom.operators.lines import attach_shape
 from gridloom.operators.labels import check_classes, correct_labels, group_classes, literal_map
 from gridloom.session import materialize
 
@@ -51,21 +52,26 @@ ATLAS_WRONG = [31, 63, 72]
 ATLAS_RIGHT = [4, 43, 0]
 
 
-def build_atlas(df: DataFrame, labels: Sequence[int], shape: Sequence[int], new_shape: Sequence[int] | None = None,
+def build_atlas(df: DataFrame, labels: Sequence[int], shape, new_shape: Sequence[int] | None = None,
                 centre: bool = False, margin: int = 15, n_maps: int | None = None, label: str = "label") -> DataFrame:
     """Probability of each label per cell over all maps: x, y, z, label, p (only p > 0).
 
     With ``centre`` every map is first shifted by its truncated foreground centroid and cut to +-margin. Background 0 is
-    listed only where ``df`` lists it. A map enters the denominator if it has any row.
+    listed only where ``df`` lists it. A map enters the denominator if it has any row. ``shape``: a tuple for all maps, or
+    a table (vol_id, nx, ny, nz); each map is centred in ``new_shape`` by its own.
     """
     fixed = correct_labels(df, ATLAS_WRONG, ATLAS_RIGHT, label)
     fixed = fixed.withColumn("_ord", F.coalesce(
         literal_map([int(v) for v in labels], list(range(len(labels))))[F.col(label)], F.lit(0)))
     if new_shape is not None:
+        columns = fixed.columns
+        fixed, dims = attach_shape(fixed, shape)
         for i, a in enumerate("xyz"):
-            grown = max(int(shape[i]), int(new_shape[i]))
-            shift = max((int(new_shape[i]) - int(shape[i])) // 2, 0) - max((grown - int(new_shape[i])) // 2, 0)
-            fixed = fixed.withColumn(a, F.col(a) + shift).where((F.col(a) >= 0) & (F.col(a) < int(new_shape[i])))
+            n, new = F.lit(int(dims[i])) if dims else F.col(f"n{a}"), int(new_shape[i])
+            # Half of what is missing before, or half of what is too much away.
+            shift = F.when(n <= new, F.floor((new - n) / 2)).otherwise(-F.floor((n - new) / 2)).cast("int")
+            fixed = fixed.withColumn(a, F.col(a) + shift).where((F.col(a) >= 0) & (F.col(a) < new))
+        fixed = fixed.select(*columns)
     if centre:
         middle = (fixed.where("_ord > 0").groupBy("vol_id")
                   .agg(*[F.avg(a).cast("int").alias(f"_c{a}") for a in "xyz"]))

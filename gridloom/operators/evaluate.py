@@ -433,8 +433,14 @@ def epoch_of(folder: Column) -> Column:
     return F.regexp_replace(folder, "[^0-9]", "").cast("int")
 
 
-def validation_curve(scores: DataFrame, group: Sequence[str] = (), score: str = "score", best: str = "max") -> DataFrame:
-    """Mean absolute score per epoch folder, flagged where it is the best ('max' or 'min'; first epoch on ties)."""
+def validation_curve(scores: DataFrame, group: Sequence[str] = (), score: str = "score", best: str = "max",
+                     rows: Sequence | None = None, row: str = "structure") -> DataFrame:
+    """Mean absolute score per epoch folder, flagged where it is the best ('max' or 'min'; first epoch on ties).
+
+    ``rows``: the score rows to average, by their value in column ``row``; all without it.
+    """
+    if rows is not None:
+        scores = scores.where(F.col(row).isin(list(rows)))
     curve = (scores.withColumn("epoch", epoch_of(F.col("epoch_dir")))
              .groupBy(*group, "epoch").agg(F.avg(F.abs(score)).alias("mean_score")))
     order = F.col("mean_score").desc() if best == "max" else F.col("mean_score").asc()

@@ -135,11 +135,12 @@ def correct_labels(df: DataFrame, wrong: Sequence[int], right: Sequence[int], la
     return smooth_labels(out, smooth_shape, cube=True, label=label) if smooth_shape is not None else out
 
 
-def correct_labels_candidates(df: DataFrame, wrong: int, candidates: Sequence[int], label: str = "label") -> DataFrame:
+def correct_labels_candidates(df: DataFrame, wrong: int, candidates: Sequence[int], label: str = "label",
+                              smooth_shape=None) -> DataFrame:
     """Every ``wrong`` voxel takes the candidate with the nearest voxel in its volume, the first one on ties.
 
     Candidate voxels that cannot be nearest, the inner ones, are dropped before the transform. A volume without any
-    candidate keeps its value.
+    candidate keeps its value. ``smooth_shape``: as in ``correct_labels``.
     """
     ordinal = literal_map([int(c) for c in candidates], list(range(len(candidates))))
     voxels = df.select(*VOXEL, F.col(label).alias("_label"))
@@ -149,8 +150,8 @@ def correct_labels_candidates(df: DataFrame, wrong: int, candidates: Sequence[in
     near = distance_to(bad, seeds, ["vol_id"], "_d2", "_ord", len(candidates), "_best")
     fixed = F.element_at(F.array(*[F.lit(int(c)) for c in candidates]), F.col("_best") + 1)
     near = near.select(*VOXEL, F.when(F.col("_d2").isNotNull(), fixed).alias("_new"))
-    return (df.join(near, VOXEL, "left")
-            .withColumn(label, F.coalesce("_new", F.col(label))).drop("_new"))
+    out = df.join(near, VOXEL, "left").withColumn(label, F.coalesce("_new", F.col(label))).drop("_new")
+    return smooth_labels(out, smooth_shape, cube=True, label=label) if smooth_shape is not None else out
 
 
 def surface_of(mask: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,13 +162,13 @@ def surface_of(mask: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def correct_labels_nearest(df: DataFrame, wrong: Sequence[int], remove_zero: bool = False, label: str = "label",
-                           shape=None) -> DataFrame:
+                           smooth_shape=None) -> DataFrame:
     """Each connected region of a wrong label takes, voxel by voxel, the nearest other label found in its box.
 
     The box reaches one voxel below the region and ends at its last voxel. Labels listed in ``wrong`` (and 0 with
     ``remove_zero``) are no candidates; without any candidate the result is -1. Ties go to the smallest label. Where
     boxes of one label overlap, the later region in raster order decides. ``df`` must hold the background as rows
-    if 0 is to be a candidate.
+    if 0 is to be a candidate. ``smooth_shape``: as in ``correct_labels``.
     """
     wrong = [int(w) for w in wrong]
     voxels = df.select(*VOXEL, F.col(label).alias("_label"))
@@ -189,8 +190,8 @@ def correct_labels_nearest(df: DataFrame, wrong: Sequence[int], remove_zero: boo
                        .select("vol_id", "_wrong", "comp", "x", "y", "z", "_cand"),
                        ["vol_id", "_wrong", "comp"])
     near = near.select(*VOXEL, F.when(F.col("_d2").isNull(), -1).otherwise(F.col("_new")).alias("_new"))
-    return (df.join(near, VOXEL, "left")
-            .withColumn(label, F.coalesce("_new", F.col(label))).drop("_new"))
+    out = df.join(near, VOXEL, "left").withColumn(label, F.coalesce("_new", F.col(label))).drop("_new")
+    return smooth_labels(out, smooth_shape, cube=True, label=label) if smooth_shape is not None else out
 
 
 def check_classes(classes: Sequence[int]) -> int:

@@ -157,11 +157,3 @@ def qc_relabel(df: DataFrame, labels: Sequence[int], qc_labels: Sequence[int]) -
 def harden(df: DataFrame, labels: Sequence[int] | None = None) -> DataFrame:
     """Posteriors to one-hot rows of the most likely label."""
     return argmax_label(df, labels).withColumn("p", F.lit(1.0))
-
-
-def crop_voxels(df: DataFrame, shape) -> DataFrame:
-    """Voxels inside the grid only (posteriors that come from a padded grid)."""
-    out, dims = attach_shape(df, shape)
-    n = [F.lit(d) for d in dims] if dims else [F.col("nx"), F.col("ny"), F.col("nz")]
-    ok = (F.col("x") < n[0]) & (F.col("y") < n[1]) & (F.col("z") < n[2])
-    return out.where(ok).select(*df.columns)

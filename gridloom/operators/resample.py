@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.layout import by_volume
 from gridloom.functions.numbers import apply_affine, blur_sigma, inverse_affine, matmul, matrix
 from gridloom.operators.geometry import align
 from gridloom.operators.lines import Pass, attach_shape, fold, separable
@@ -68,7 +69,7 @@ def resample(df: DataFrame, meta: DataFrame, voxel_size: Sequence[float], method
         nearest_or_linear = half_down_pass if method == "nearest" else (lambda p, l: sample_pass(p, l, "linear"))
         steps.append(nearest_or_linear(f"(-(f{a} - 1) / (2 * f{a}) + {{i}} / f{a})", f"ceil({{n}} * f{a})"))
         passes[a] = steps
-    joined = df.join(plan.select("vol_id", "nx", "ny", "nz", *carry), "vol_id")
+    joined = by_volume(df, plan.select("vol_id", "nx", "ny", "nz", *carry))
     out = separable(joined, keys, value, None, passes, carry=carry).select(*keys, *AXES, value)
     new = plan
     if "affine" in meta.columns:
@@ -133,17 +134,22 @@ def upsample_labels(df: DataFrame, meta: DataFrame, res: Sequence[float], label:
 
 
 def downsample_images(df: DataFrame, meta: DataFrame, res: Sequence[float], thickness: Sequence[float] | None = None,
-                      value: str = "value"):
+                      value: str = "value", label_map: bool = False):
     """Align, blur for the target resolution, pick nearest samples, and interpolate back to the aligned grid:
-    (coarse voxels, coarse meta, fine voxels)."""
+    (coarse voxels, coarse meta, fine voxels). A label map is not blurred, and read back by nearest samples."""
     aligned, ameta = align(df, meta)
+    if label_map:
+        coarse, cmeta = resample(aligned.select(*VOXEL, value), ameta, res, "nearest", blur=False, value=value)
+        fine = resample_like(coarse, cmeta, ameta, "nearest", value)
+        kind = df.schema[value].dataType
+        return (*(d.withColumn(value, F.col(value).cast(kind)) if i != 1 else d for i, d in enumerate((coarse, cmeta, fine))),)
     sig = ameta
     for i, a in enumerate(AXES):
         t = F.lit(float(thickness[i])) if thickness is not None else None
         s = blur_sigma(F.col(f"r{a}"), F.lit(float(res[i])), t)
         sig = sig.withColumn(f"g{a}", F.when(F.col(f"r{a}") == float(res[i]), 0.0).otherwise(s))
     carry = ["gx", "gy", "gz"]
-    blurred = separable(aligned.join(sig.select("vol_id", "nx", "ny", "nz", *carry), "vol_id"), ["vol_id"], value, None,
+    blurred = separable(by_volume(aligned, sig.select("vol_id", "nx", "ny", "nz", *carry)), ["vol_id"], value, None,
                         {a: [adaptive_blur_pass(f"g{a}", "nearest")] for a in AXES}, carry=carry)
     coarse, cmeta = resample(blurred.select(*VOXEL, value), ameta, res, "nearest", blur=False, value=value)
     fine = resample_like(coarse, cmeta, ameta, value=value)

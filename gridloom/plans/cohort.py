@@ -100,7 +100,8 @@ def cohort_report(manifest: DataFrame, done: DataFrame, posteriors: DataFrame, m
     """All results of a cohort in one plan: dict of tables seg, volumes, qc, scores, errors.
 
     ``manifest`` (vol_id, path, out_...) minus items whose outputs exist; items without posteriors are reported as
-    errors and the others go on. ``options`` go to ``finish_posteriors``.
+    errors and the others go on. ``options`` go to ``finish_posteriors``. Scores are those of the label maps against
+    ``gt`` in its native orientation, over each volume's whole grid.
     """
     outputs = [c for c in manifest.columns if c.startswith("out_")]
     todo = skip_existing(manifest, done, outputs, recompute)
@@ -113,7 +114,8 @@ def cohort_report(manifest: DataFrame, done: DataFrame, posteriors: DataFrame, m
         result["qc"] = ev.qc_clip_round(qc_scores.join(ids, "vol_id", "left_semi"))
     if gt is not None:
         mine = gt.join(ids, "vol_id", "left_semi")
-        result["scores"] = ev.dice_by_label(ev.pair_maps(mine, seg), labels)
+        grid = meta.join(ids, "vol_id", "left_semi").join(errors.select("vol_id"), "vol_id", "left_anti")
+        result["scores"] = ev.dice_by_label(ev.pair_maps(mine, seg), labels, shape=grid.select("vol_id", "nx", "ny", "nz"))
     return result
 
 

@@ -248,8 +248,32 @@ def _(spark, d):
        "pow(least(z * 3 / 7.0 - floor(z * 3 / 7.0), ceil(z * 3 / 7.0) - z * 3 / 7.0) * 3.0, 2)), 4) AS distance "
        "FROM meta, range(8) a(x), range(8) b(y), range(7) c(z)")
 def _(spark, d):
-    grid = ge.dense_grid(fx.meta(spark, d).select("vol_id"), fx.MAP_SHAPE)
-    return ge.acquisition_distance(grid, (8, 8, 7), (5, 8, 3), (1.5, 1.0, 3.0)).select(*V, r("distance"))
+    sizes = {"nx": 8, "ny": 8, "nz": 7, "dx": 5, "dy": 8, "dz": 3, "rx": 1.5, "ry": 1.0, "rz": 3.0}
+    grids = fx.meta(spark, d).select("vol_id", *[F.lit(v).alias(k) for k, v in sizes.items()])
+    return ge.acquisition_distance(grids).select(*V, r("distance"))
+
+
+def mixed_grids(spark, d):
+    """Grids of nine sizes, acquired at six, one per supplier."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    sizes = {"nx": 6 + s % 3, "ny": F.lit(8), "nz": 5 + n % 3, "dx": 3 + s % 2, "dy": F.lit(8), "dz": 2 + n % 2}
+    return fx.table(spark, d, "supplier").select(s.alias("vol_id"), *[v.cast("int").alias(k) for k, v in sizes.items()],
+                                                 F.lit(1.5).alias("rx"), F.lit(1.0).alias("ry"), (1.0 + s % 3).alias("rz"))
+
+
+MIXED_SQL = ("WITH g AS (SELECT s_suppkey AS vol_id, 6 + s_suppkey % 3 AS nx, 8 AS ny, 5 + s_nationkey % 3 AS nz, 3 + s_suppkey % 2 AS dx, 8 AS dy, 2 + s_nationkey % 2 AS dz, "
+             "1.5 AS rx, 1.0 AS ry, 1.0 + s_suppkey % 3 AS rz FROM supplier), c AS (SELECT g.*, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z "
+             "FROM g, range(8) i(x), range(8) j(y), range(7) k(z) WHERE x < nx AND y < ny AND z < nz)")
+
+
+def _from_sample(a: str) -> str:
+    u = f"({a} / (n{a} / CAST(d{a} AS DOUBLE)))"
+    return f"pow(least({u} - floor({u}), ceil({u}) - {u}) * r{a}, 2)"
+
+
+@query("acquisition_distance_mixed", MIXED_SQL + f" SELECT vol_id, x, y, z, round(sqrt({' + '.join(map(_from_sample, 'xyz'))}), 4) AS distance FROM c")
+def _(spark, d):
+    return ge.acquisition_distance(mixed_grids(spark, d)).select(*V, r("distance"))
 
 
 @query("reliability_map", with_("meta", extra="w AS (SELECT c, round(sum(v), 6) AS v FROM (SELECT CAST(floor(k * 8 / 5.0) AS INT) AS c, "
@@ -258,7 +282,17 @@ def _(spark, d):
        "CAST(z AS INT) AS z, round(coalesce(w.v, 0.0), 4) AS value FROM meta CROSS JOIN range(8) a(x) CROSS JOIN range(8) b(y) "
        "CROSS JOIN range(7) c(z) LEFT JOIN w ON w.c = x")
 def _(spark, d):
-    return ge.reliability_map(fx.meta(spark, d).select("vol_id"), (8, 8, 7), (5, 8, 7)).select(*V, r("value"))
+    sizes = {"nx": 8, "ny": 8, "nz": 7, "dx": 5, "dy": 8, "dz": 7}
+    return ge.reliability_map(fx.meta(spark, d).select("vol_id", *[F.lit(v).alias(k) for k, v in sizes.items()])).select(*V, r("value"))
+
+
+@query("reliability_map_mixed", MIXED_SQL + ", pr AS (" + " UNION ".join(f"SELECT n{a} AS n, d{a} AS d FROM g" for a in "xyz") + "), "
+       "sm AS (SELECT n, d, k * (n / CAST(d AS DOUBLE)) AS u FROM pr, range(16) t(k) WHERE k < ceil(n / (n / CAST(d AS DOUBLE)))), "
+       "w AS (SELECT n, d, i, sum(v) AS v FROM (SELECT n, d, floor(u) AS i, 1 - (u - floor(u)) AS v FROM sm UNION ALL SELECT n, d, least(floor(u) + 1, n - 1), u - floor(u) FROM sm) q GROUP BY 1, 2, 3) "
+       "SELECT vol_id, x, y, z, round(coalesce(wx.v, 0) * coalesce(wy.v, 0) * coalesce(wz.v, 0), 4) AS value FROM c " +
+       " ".join(f"LEFT JOIN w AS w{a} ON w{a}.n = n{a} AND w{a}.d = d{a} AND w{a}.i = {a}" for a in "xyz"))
+def _(spark, d):
+    return ge.reliability_map(mixed_grids(spark, d)).select(*V, r("value"))
 
 
 # ---- interpolation --------------------------------------------------------------------------------------------------
@@ -338,12 +372,41 @@ def _(spark, d):
     return rs.upsample_labels(m, fx.image_meta(spark, d), (0.75, 1.0, 1.0)).select(*V, "label")
 
 
-@query("downsample_images")
+def _down_and_up_sql() -> str:
+    """Per axis resolution r and target t: weights from input sample j to output sample i on a line of 4, by way of the
+    blur, the nearest coarse samples, and the interpolation between those."""
+    return ("sg AS (SELECT r, t, r / t AS f, CASE WHEN r = t THEN 0.0 ELSE 0.75 * t / r END AS g FROM (SELECT rx AS r, 2.0 AS t FROM image_meta UNION SELECT ry, 1.0 FROM image_meta "
+            "UNION SELECT rz, 2.0 FROM image_meta) q), bl AS (SELECT r, t, m, o - 8 AS o, CASE WHEN g = 0 THEN CAST(o = 8 AS DOUBLE) WHEN abs(o - 8) > floor(4 * g + 0.5) THEN 0.0 "
+            "ELSE exp(-0.5 * (o - 8) * (o - 8) / (g * g)) END AS w FROM sg, range(4) a(m), range(17) b(o)), "
+            "bn AS (SELECT r, t, m, least(greatest(m + o, 0), 3) AS j, w / sum(w) OVER (PARTITION BY r, t, m) AS w FROM bl), "
+            "pk AS (SELECT r, t, k, ceil(least(greatest(-(f - 1) / (2 * f) + k / f, 0), 3) - 0.5) AS m FROM sg, range(8) a(k) WHERE k < ceil(4 * f)), "
+            "fi AS (SELECT r, t, i, round(f * i + 0.5 * (f - 1), 9) AS q, ceil(4 * f) - 1 AS top FROM sg, range(4) a(i)), "
+            "w AS (SELECT fi.r, fi.t, i, j, sum(greatest(1 - abs(q - k), 0) * bn.w) AS w FROM fi JOIN pk ON pk.r = fi.r AND pk.t = fi.t JOIN bn ON bn.r = fi.r AND bn.t = fi.t AND bn.m = pk.m "
+            "WHERE q BETWEEN 0 AND top GROUP BY 1, 2, 3, 4)")
+
+
+@query("downsample_images", with_("images", "image_meta", extra=_down_and_up_sql()) + "SELECT g.vol_id, g.x, g.y, g.z, round(coalesce(sum(v.value * wx.w * wy.w * wz.w), 0), 4) AS value FROM "
+       "(SELECT image_meta.*, CAST(a AS INT) AS x, CAST(b AS INT) AS y, CAST(c AS INT) AS z FROM image_meta, range(4) t(a), range(4) u(b), range(4) s(c)) g " +
+       " ".join(f"LEFT JOIN w AS w{a} ON w{a}.r = r{a} AND w{a}.t = {t} AND w{a}.i = g.{a}" for a, t in zip("xyz", ("2.0", "1.0", "2.0"))) +
+       " LEFT JOIN images v ON v.vol_id = g.vol_id AND v.x = wx.j AND v.y = wy.j AND v.z = wz.j GROUP BY 1, 2, 3, 4")
 def _(spark, d):
     _, _, fine = rs.downsample_images(fx.images(spark, d), fx.image_meta(spark, d), (2.0, 1.0, 2.0))
     return fine.select(*V, r("value"))
 
 
+def _nearest_sample(a: str, target: str) -> str:
+    f = f"(r{a} / {target})"
+    return f"{a} = ceil(least(greatest(-({f} - 1) / (2 * {f}) + i{a} / {f}, 0), 3) - 0.5) AND i{a} < ceil(4 * {f})"
+
+
+@query("downsample_labels", with_("images", "image_meta") + "SELECT vol_id, CAST(ix AS INT) AS x, CAST(iy AS INT) AS y, CAST(iz AS INT) AS z, CASE WHEN value > 0.1 THEN 2 WHEN value > -0.05 THEN 1 ELSE 0 END AS label "
+       f"FROM images JOIN image_meta USING (vol_id), range(8) t(ix), range(8) u(iy), range(8) s(iz) WHERE {_nearest_sample('x', '2.0')} AND {_nearest_sample('y', '1.0')} AND {_nearest_sample('z', '2.0')}")
+def _(spark, d):
+    m = fx.images(spark, d).withColumn("label", F.when(F.col("value") > 0.1, 2).when(F.col("value") > -0.05, 1).otherwise(0))
+    coarse, _, _ = rs.downsample_images(m, fx.image_meta(spark, d), (2.0, 1.0, 2.0), value="label", label_map=True)
+    return coarse.select(*V, "label")
+
+
 # ---- neighbourhoods -------------------------------------------------------------------------------------------------
 
 def _kernel_sql(sigma: float, radius: int, edge: str, n: int) -> str:

@@ -175,6 +175,14 @@ def _(spark, d):
     return atlas.select("x", "y", "z", "label", r("p", 6))
 
 
+@query("build_atlas_mixed", with_("maps") + "SELECT CAST(x + CASE WHEN vol_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS x, CAST(y - 1 AS INT) AS y, z, CASE WHEN gt IN (2, 3, 41, 42) THEN gt ELSE 0 END AS label, "
+       "round(count(*) / (SELECT count(DISTINCT vol_id) FROM maps), 6) AS p FROM maps WHERE y >= 1 AND y < 7 GROUP BY ALL")
+def _(spark, d):
+    shapes = fx.meta(spark, d).select("vol_id", (8 + F.col("vol_id") % 3).cast("int").alias("nx"), "ny", "nz")
+    atlas = ag.build_atlas(fx.label_map(spark, d), [0, 2, 3, 41, 42], shapes, (10, 6, 7))
+    return atlas.select("x", "y", "z", "label", r("p", 6))
+
+
 @query("build_atlas_centred", with_("solids", extra="c AS (SELECT vol_id, CAST(trunc(avg(x)) AS INT) AS cx, CAST(trunc(avg(y)) AS INT) AS cy, CAST(trunc(avg(z)) AS INT) AS cz "
        "FROM solids WHERE gt > 0 GROUP BY 1)") + "SELECT CAST(x - cx + 4 AS INT) AS x, CAST(y - cy + 4 AS INT) AS y, CAST(z - cz + 4 AS INT) AS z, gt AS label, "
        "round(count(*) / (SELECT count(DISTINCT vol_id) FROM solids WHERE gt > 0), 6) AS p FROM solids JOIN c USING (vol_id) WHERE gt > 0 AND x - cx BETWEEN -4 AND 3 "
@@ -458,6 +466,12 @@ def _(spark, d):
     return ev.validation_curve(fx.epochs(spark, d), ["structure"], best="min").select("structure", "epoch", r("mean_score", 6), "is_best")
 
 
+@query("validation_curve_rows", with_("epochs", extra="e AS (SELECT CAST(regexp_replace(epoch_dir, '[^0-9]', '', 'g') AS INT) AS epoch, avg(abs(score)) AS s FROM epochs WHERE structure IN ('A', 'R') GROUP BY 1)") +
+       "SELECT epoch, round(s, 6) AS mean_score, row_number() OVER (ORDER BY s DESC, epoch) = 1 AS is_best FROM e")
+def _(spark, d):
+    return ev.validation_curve(fx.epochs(spark, d), rows=["A", "R"]).select("epoch", r("mean_score", 6), "is_best")
+
+
 # ---- sampling -------------------------------------------------------------------------------------------------------
 
 @query("weighted_draws", with_("weights", "draws", extra="c AS (SELECT subject, (sum(weight) OVER (ORDER BY subject) - weight) / sum(weight) OVER () AS lo, "

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.numbers import get_dims, let
@@ -105,7 +105,19 @@ def decode(path: str, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raise ValueError(f"unsupported file type: {path}")
 
 
-def _decode_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode_files(most_failed: int | None = None):
+    """Task function: (path, content) to rows of SCHEMA."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = 0
+        for frame in _decoded(frames):
+            failed += int((frame["kind"] == "error").sum())
+            if most_failed is not None and failed > most_failed:
+                raise TooManyFailures(f"more than {most_failed} files of one task could not be read")
+            yield frame
+    return run
+
+
+def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     blank = {part.split()[0]: None for part in SCHEMA.split(", ")}
     for frame in frames:
         for path, raw in zip(frame["path"], frame["content"]):
@@ -130,19 +142,36 @@ def _decode_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                      "vals": grid[x, y, :, c]} for y in range(grid.shape[1]) for c in range(grid.shape[3])])
 
 
-def write_images(files: DataFrame, out: str, batch: str | None = None) -> bool:
+class TooManyFailures(RuntimeError):
+    pass
+
+
+def write_images(files: DataFrame, out: str, batch: str | None = None, most_failed: int | None = None) -> dict[str, int] | None:
     """Decode (path, content) into the table ``images`` of a store; files that could be read are finished then.
 
-    Each file is decoded exactly once, by the write. A file that could not be read is tried again by the next run.
+    Each file is decoded exactly once, by the write, which also counts the files: returns how many are good, failed and
+    skipped (finished before), or None where the batch was committed already. A file that could not be read is
+    tried again by the next run. With more than ``most_failed`` failed files the run ends and leaves nothing; a task that
+    alone has so many does not go on to its other files.
     """
     spark, batch = files.sparkSession, batch or uuid.uuid4().hex
+    given, result = Observation(), Observation()
 
     def readable() -> DataFrame:
         written = spark.read.schema(f"{SCHEMA}, batch string").parquet(f"{out}/data/images")
         return written.where(F.col("batch") == batch).where("kind = 'meta'").select("path")
 
-    decoded = pending(spark, out, files, "path").mapInPandas(_decode_files, SCHEMA)
-    return write_batch({"images": decoded}, out, batch, readable, key="path", partition_by={"images": ["kind"]})
+    def check() -> None:
+        if most_failed is not None and result.get["failed"] > most_failed:
+            raise TooManyFailures(f"{result.get['failed']} files could not be read, more than {most_failed}")
+
+    listed = files.observe(given, F.count(F.lit(1)).alias("n"))
+    decoded = (pending(spark, out, listed, "path").mapInPandas(_decode_files(most_failed), SCHEMA)
+               .observe(result, F.count_if(F.col("kind") == "meta").alias("good"), F.count_if(F.col("kind") == "error").alias("failed")))
+    if not write_batch({"images": decoded}, out, batch, readable, key="path", partition_by={"images": ["kind"]}, before_commit=check):
+        return None
+    counts = {k: int(v) for k, v in result.get.items()}
+    return {**counts, "skipped": int(given.get["n"]) - sum(counts.values())}
 
 
 def read_images(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -73,12 +73,14 @@ def pending(spark: SparkSession, path: str, volumes: DataFrame, key: str = "vol_
 
 def write_batch(tables: dict[str, DataFrame], path: str, batch: str | None = None,
                 volumes: DataFrame | Callable[[], DataFrame] | None = None, *, recompute: bool = False, key: str = "vol_id",
-                partition_by: dict[str, Sequence[str]] | None = None, formats: dict[str, str] | None = None) -> bool:
+                partition_by: dict[str, Sequence[str]] | None = None, formats: dict[str, str] | None = None,
+                before_commit: Callable[[], None] | None = None) -> bool:
     """Add the tables of one run to the store; whether anything was written.
 
     ``batch`` names the run; without a name it gets a new one. ``volumes`` are the volumes that the run covers, those of
     the first table by default, also such without rows; as a function it is asked once the tables are written. All
-    tables must have the column ``key`` and none called batch.
+    tables must have the column ``key`` and none called batch. ``before_commit`` is called when the tables are written;
+    if it raises, the run leaves nothing.
     """
     spark = next(iter(tables.values())).sparkSession
     batch = batch or uuid.uuid4().hex
@@ -110,6 +112,8 @@ def write_batch(tables: dict[str, DataFrame], path: str, batch: str | None = Non
         _remove_batch(spark, place, batch)
         _replace_batch(df, place, batch, by, fmt)
         described[name] = {"format": fmt, "by": by, "schema": df.schema.jsonValue()}
+    if before_commit is not None:
+        before_commit()
     covered = volumes() if callable(volumes) else volumes
     _replace_batch(covered.select(key).distinct(), f"{path}/finished", batch)
     commit = spark.range(1).select(F.current_timestamp().alias("at"), F.lit(json.dumps(described)).alias("tables"))

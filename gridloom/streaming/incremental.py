@@ -6,11 +6,13 @@ files that are new since the last call and stops: the same meaning as listing th
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.plans.cohort import cohort_report
 from gridloom.sources.ingest import write_images
+from gridloom.sources.store import pending, write_batch
 
 MANIFEST = "path string, length bigint"
 
@@ -34,3 +36,33 @@ def run_new_volumes(spark: SparkSession, folder: str, checkpoint: str, out: str,
     query = (stream.writeStream.foreachBatch(lambda files, i: write_images(files.select("path", "content"), out, f"{i:010d}"))
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def write_report(todo: DataFrame, given: dict[str, DataFrame], out: str, batch: str, labels: Sequence[int], **options) -> bool:
+    """Add the report on the volumes of ``todo`` that the store ``out`` does not have yet: tables seg, posteriors,
+    volumes, errors, and qc and scores if ``given`` has qc_scores and gt beside posteriors and meta."""
+    spark = todo.sparkSession
+    todo = pending(spark, out, todo)
+    if todo.isEmpty():
+        return False
+    none = spark.createDataFrame([], "path string")
+    tables = cohort_report(todo, none, given["posteriors"], given["meta"], labels, given.get("qc_scores"), given.get("gt"),
+                           recompute=True, **options)
+    tables = {"volumes": tables["volumes"], **tables}
+    reported = todo.select("vol_id").distinct().join(tables["errors"].select("vol_id"), "vol_id", "left_anti")
+    return write_batch(tables, out, batch, reported)
+
+
+def run_new_reports(spark: SparkSession, source: str, checkpoint: str, out: str, load: Callable[[DataFrame], dict[str, DataFrame]],
+                    labels: Sequence[int], schema: str = "vol_id bigint, path string", files_per_batch: int = 1000, **options) -> None:
+    """Report on the volumes whose manifest rows arrived in the Parquet folder ``source`` since the last call.
+
+    ``load(volumes)`` gives the tables for ``write_report``; its rows of other volumes are left out. Each batch of
+    the stream is one of the store, so a batch that is replayed after a failure changes nothing.
+    """
+    def handle(arrived: DataFrame, batch_id: int) -> None:
+        todo = arrived.dropDuplicates(["vol_id"])
+        given = {k: d.join(todo.select("vol_id"), "vol_id", "left_semi") for k, d in load(todo).items()}
+        write_report(todo, given, out, f"{batch_id:010d}", labels, **options)
+
+    run_new(spark, source, checkpoint, handle, schema, files_per_batch=files_per_batch)

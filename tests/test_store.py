@@ -112,3 +112,62 @@ def test_ingest_adds_new_files(spark, tmp_path):
         assert errors.count() == 0
         total = lines.groupBy("path").agg(F.sum(F.aggregate("vals", F.lit(0.0), lambda a, v: a + v)).alias("s")).collect()
         assert {r.path.split("/")[-1].split(".")[0]: r.s for r in total} == {"a": 1452.0, "b": 2904.0, "c": 4356.0}
+
+
+def test_ingest_counts_and_failure_limit(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    for n in "ab":
+        (src / f"{n}.nii").write_bytes(nifti(np.zeros((11, 11, 12), "f4"), np.eye(4)))
+    for n in "cde":
+        (src / f"{n}.nii").write_bytes(b"broken")
+    files = lambda: spark.read.format("binaryFile").load(str(src)).select("path", "content")
+    for batch in ("x", "y"):
+        with pytest.raises(Exception, match="could not be read"):
+            ingest.write_images(files().repartition(5, "path"), out, batch, most_failed=2)
+    assert store.finished(spark, out, "path") is None
+    assert ingest.write_images(files(), out, "x", most_failed=3) == {"good": 2, "failed": 3, "skipped": 0}
+    assert ingest.write_images(files(), out, "x", most_failed=3) is None
+    (src / "c.nii").write_bytes(nifti(np.zeros((11, 11, 12), "f4"), np.eye(4)))
+    assert ingest.write_images(files(), out, "z") == {"good": 1, "failed": 2, "skipped": 2}
+    _, meta, errors = ingest.read_images(spark, out)
+    assert meta.count() == 3 and errors.count() == 2
+
+
+META = "vol_id bigint, nx int, ny int, nz int, rx double, ry double, rz double, affine array<array<double>>"
+
+
+def test_reports_of_three_arrivals_equal_one_run(spark, tmp_path):
+    from gridloom.streaming.incremental import run_new_reports, write_report
+    rng = np.random.default_rng(0)
+    rows = []
+    for v in (1, 2, 3, 4, 5):
+        for x, y, z in np.ndindex(4, 3, 2):
+            p = rng.dirichlet([1, 1, 1])
+            rows += [(v, x, y, z, lab, float(q)) for lab, q in zip((0, 2, 3), p)]
+    posteriors = spark.createDataFrame(rows, "vol_id bigint, x int, y int, z int, label int, p double")
+    meta = spark.createDataFrame([(v, 4, 3, 2, 1.0, 1.0, 2.0, np.eye(4).tolist()) for v in range(1, 7)], META)
+    gt = spark.createDataFrame([(v, x, 0, 0, 2) for v in range(1, 7) for x in range(4)], "vol_id bigint, x int, y int, z int, label int")
+    qc = spark.createDataFrame([(v, 2, 0.5 + v / 100) for v in range(1, 7)], "vol_id bigint, label int, score double")
+    given = {"posteriors": posteriors, "meta": meta, "gt": gt, "qc_scores": qc}
+    manifest = lambda *ids: spark.createDataFrame([(v, f"/in/{v}") for v in ids], "vol_id bigint, path string")
+    whole, parts, src = str(tmp_path / "whole"), str(tmp_path / "parts"), str(tmp_path / "src")
+    assert write_report(manifest(1, 2, 3, 4, 5, 6), given, whole, "all", [0, 2, 3], fast=True)
+    for ids in ((1, 2), (3, 6), (4, 5, 1)):
+        manifest(*ids).coalesce(1).write.mode("append").parquet(src)
+        run_new_reports(spark, src, str(tmp_path / "cp"), parts, lambda todo: given, [0, 2, 3], fast=True)
+
+    def tables(path):
+        found = {}
+        for name in ("seg", "posteriors", "volumes", "errors", "qc", "scores"):
+            df = store.read_table(spark, path, name)
+            found[name] = sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+        return found
+
+    want = tables(whole)
+    assert all(want.values()) and "vol_id=6" in want["errors"][0]
+    assert tables(parts) == want
+    # A replayed batch: the same stream from the start, and a batch by hand.
+    run_new_reports(spark, src, str(tmp_path / "cp2"), parts, lambda todo: given, [0, 2, 3], fast=True)
+    assert not write_report(manifest(1, 2), given, parts, "0000000000", [0, 2, 3], fast=True)
+    assert tables(parts) == want
