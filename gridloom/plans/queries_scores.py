@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.functions import numbers as num
 from gridloom.operators import aggregate as ag
 from gridloom.operators import evaluate as ev
 from gridloom.operators import geometry as ge
@@ -344,14 +345,16 @@ def _(spark, d):
     return ev.hausdorff_location(fx.solids(spark, d), [17, 53], fx.SOLID_SHAPE).select("vol_id", "label", "side", "x", "y", "z", r("distance"))
 
 
-@query("evaluate_dataset", with_("maps", extra="m AS (SELECT vol_id, x, y, z, CASE WHEN value > 90000 THEN 43 ELSE gt END AS gt, CASE WHEN value > 90000 THEN 43 WHEN seg = 41 "
-       "THEN 2 WHEN seg = 42 THEN 3 ELSE seg END AS seg FROM maps), " +
-       surface_sql("m", "(2, 3, 24, 41, 42)", 8, whole=True)) +
-       "SELECT vol_id, label, metric, round(value, 4) AS value FROM (SELECT vol_id, label, metric, value FROM (UNPIVOT (SELECT vol_id, label, " +
+_EVALUATED = (", " + surface_sql("m", "(2, 3, 24, 41, 42)", 8, whole=True) +
+       " SELECT vol_id, label, metric, round(value, 4) AS value FROM (SELECT vol_id, label, metric, value FROM (UNPIVOT (SELECT vol_id, label, " +
        ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _SCORES) + " FROM sd) ON " + ", ".join(_SCORES) + " INTO NAME metric VALUE value) u UNION ALL "
        "SELECT vol_id, CAST(l AS INT), 'dice', 2.0 * count(*) FILTER (gt = l AND seg = l) / (count(*) FILTER (gt = l AND seg <= 42 AND seg >= 2) + count(*) FILTER (seg = l AND gt "
        "BETWEEN 2 AND 42) + 1e-5) FROM m, (SELECT unnest([2, 3, 24, 41, 42]) AS l) t GROUP BY 1, 2 UNION ALL "
        "SELECT vol_id, -1, 'dice', 2.0 * count(*) FILTER (gt > 0 AND seg > 0) / (count(*) FILTER (gt > 0) + count(*) FILTER (seg > 0)) FROM m GROUP BY 1) q")
+
+
+@query("evaluate_dataset", with_("maps", extra="m AS (SELECT vol_id, x, y, z, CASE WHEN value > 90000 THEN 43 ELSE gt END AS gt, CASE WHEN value > 90000 THEN 43 WHEN seg = 41 "
+       "THEN 2 WHEN seg = 42 THEN 3 ELSE seg END AS seg FROM maps)") + _EVALUATED)
 def _(spark, d):
     m = fx.maps(spark, d)
     gt = m.select(*V, F.col("gt").alias("label"))
@@ -360,6 +363,21 @@ def _(spark, d):
     return out.select("vol_id", "label", "metric", r("value"))
 
 
+@query("evaluate_dataset_turned", with_("maps", "axes", extra="t AS (SELECT vol_id, gt, value, " + ", ".join(
+       f"CAST(CASE WHEN f[o{i} + 1] THEN n[o{i} + 1] - 1 - [x, y, z][o{i} + 1] ELSE [x, y, z][o{i} + 1] END AS INT) AS {a}" for i, a in enumerate("xyz")) + " FROM maps JOIN axes USING (vol_id)), "
+       "m AS MATERIALIZED (SELECT vol_id, x, y, z, CASE WHEN value > 90000 THEN 43 ELSE coalesce(gt, 0) END AS gt, CASE WHEN value > 90000 THEN 43 WHEN seg = 41 THEN 2 WHEN seg = 42 THEN 3 ELSE coalesce(seg, 0) END AS seg "
+       "FROM t FULL JOIN (SELECT vol_id, x, y, z, seg FROM maps JOIN axes USING (vol_id) WHERE " + " AND ".join(f"{a} < n[o{i} + 1]" for i, a in enumerate("xyz")) + ") s USING (vol_id, x, y, z))") + _EVALUATED)
+def _(spark, d):
+    m = fx.maps(spark, d)
+    native = fx.meta(spark, d).drop("perm_id", "flip_bits")
+    straight = native.withColumn("affine", num.matrix([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]))
+    gt = m.select(*V, F.col("gt").alias("label"))
+    seg = m.select(*V, F.col("seg").alias("label"))
+    out = ev.evaluate_dataset(gt, seg, LABELS[1:], None, mask=m.where("value > 90000"), wrong=[41, 42], right=[2, 3],
+                              gt_meta=native, seg_meta=straight)
+    return out.select("vol_id", "label", "metric", r("value"))
+
+
 def _wilcoxon_sql(alternative: str) -> str:
     t = "least(r_plus, r_minus)" if alternative == "two-sided" else "r_plus"
     coef = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
@@ -533,6 +551,46 @@ def _(spark, d):
     return volumes_.unionByName(out["qc"].select(F.lit("qc").alias("kind"), "vol_id", "label", F.col("score").alias("value")))
 
 
+_REPORTED = "vol_id NOT IN (SELECT vol_id FROM done) AND vol_id % 10 <> 0"
+_TURNED = ("sh AS (SELECT *, [8, 8, 2] AS ns FROM axes), tp AS (SELECT vol_id, label, p, " + ", ".join(
+           f"CAST(CASE WHEN f[{k + 1}] THEN ns[{k + 1}] - 1 - [x, y, z][j{k}] ELSE [x, y, z][j{k}] END AS INT) AS {a}" for k, a in enumerate("xyz")) +
+           " FROM (SELECT *, " + ", ".join(f"CASE o0 WHEN {k} THEN 1 ELSE CASE o1 WHEN {k} THEN 2 ELSE 3 END END AS j{k}" for k in range(3)) +
+           f" FROM nm JOIN sh USING (vol_id)) q WHERE {_REPORTED})")
+
+
+@query("cohort_report_tables", with_("posteriors", "maps", "axes", recursive=True, extra="done AS (SELECT s_suppkey AS vol_id FROM supplier WHERE s_acctbal > 5000), " +
+       BIG_SQL + f", lw AS (SELECT * FROM kept WHERE label = 0 OR p > 0.2), nm AS (SELECT vol_id, x, y, z, label, {_NORM} AS p FROM lw), {_TURNED}, "
+       "sg AS (SELECT vol_id, x, y, z, first(label ORDER BY p DESC, label) AS label FROM tp GROUP BY 1, 2, 3, 4), "
+       "vs AS (SELECT vol_id, label, sum(p) * any_value(rx * ry * rz) AS v FROM tp JOIN meta USING (vol_id) WHERE label <> 0 GROUP BY 1, 2), "
+       f"pr AS (SELECT vol_id, coalesce(gt, 0) AS gt, coalesce(label, 0) AS seg FROM (SELECT vol_id, x, y, z, gt FROM maps WHERE z < 2 AND {_REPORTED}) g FULL JOIN sg USING (vol_id, x, y, z)), "
+       "cells AS (SELECT vol_id, gt, seg, count(*) AS n FROM pr GROUP BY 1, 2, 3 UNION ALL SELECT vol_id, 0, 0, 128 - count(*) FROM pr GROUP BY 1), "
+       f"sc AS (SELECT vol_id, CAST(l AS INT) AS label, 2.0 * sum(CASE WHEN gt = l AND seg = l THEN n ELSE 0 END) / (sum(CASE WHEN gt = l THEN n ELSE 0 END) + sum(CASE WHEN seg = l THEN n ELSE 0 END) + 1e-5) AS v "
+       f"FROM cells, (SELECT unnest({LABELS}) AS l) t GROUP BY 1, 2), " + _QC) +
+       "SELECT 'seg' AS kind, vol_id, x, y, z, label, CAST(NULL AS DOUBLE) AS value FROM sg UNION ALL SELECT 'posterior', vol_id, x, y, z, label, round(p, 6) FROM tp UNION ALL "
+       "SELECT 'volume', vol_id, NULL, NULL, NULL, label, round_even(round(v, 9), 3) FROM vs UNION ALL SELECT 'volume', vol_id, NULL, NULL, NULL, 43, round_even(round(sum(v), 9), 3) FROM vs GROUP BY vol_id UNION ALL "
+       f"SELECT 'qc', vol_id, NULL, NULL, NULL, label, round_even(least(greatest(score, 0), 1), 4) FROM qc WHERE label <> 0 AND vol_id NOT IN (SELECT vol_id FROM done) UNION ALL "
+       "SELECT 'score', vol_id, NULL, NULL, NULL, label, round(v, 6) FROM sc UNION ALL SELECT 'error', s_suppkey, NULL, NULL, NULL, NULL, NULL FROM supplier "
+       "WHERE s_suppkey NOT IN (SELECT vol_id FROM done) AND (s_suppkey % 10 = 0 OR s_suppkey NOT IN (SELECT vol_id FROM posteriors))")
+def _(spark, d):
+    sup = fx.table(spark, d, "supplier")
+    name = lambda folder: F.concat(F.lit(folder), F.col("s_suppkey").cast("string"))
+    manifest = sup.select(F.col("s_suppkey").alias("vol_id"), name("/in/").alias("path"), name("/out/").alias("out_seg"))
+    done = sup.where("s_acctbal > 5000").select(name("/out/").alias("path"))
+    meta = fx.meta(spark, d, fx.POST_SHAPE).drop("perm_id", "flip_bits")
+    out = cohort.cohort_report(manifest, done, fx.posteriors(spark, d).where("vol_id % 10 <> 0"), meta, LABELS,
+                               qc_scores=predicted_qc(spark, d), gt=fx.label_map(spark, d).where("z < 2"), fast=True)
+    kinds = {"seg": ("seg", None), "posteriors": ("posterior", r("p", 6)), "volumes": ("volume", F.col("volume")), "qc": ("qc", F.col("score")),
+             "scores": ("score", r("dice", 6)), "errors": ("error", None)}
+    rows = None
+    for table_, (kind, value) in kinds.items():
+        df = out[table_]
+        there = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("int")
+        part = df.select(F.lit(kind).alias("kind"), "vol_id", *[there(c).alias(c) for c in "xyz"], there("label").alias("label"),
+                         (F.lit(None) if value is None else value).cast("double").alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query("evaluate_models", with_("maps", extra="p AS (SELECT concat('dice_', CAST(q AS VARCHAR)) AS model, * FROM maps WHERE q IN (0, 2, 4)), "
        "g AS (SELECT m.model, t.vol_id, t.gt, CASE WHEN t.q = m.q THEN t.seg ELSE 0 END AS seg FROM (SELECT DISTINCT model, q, vol_id FROM p) m JOIN maps t USING (vol_id))") +
        dice_sql("g", "model, vol_id"))
