@@ -434,7 +434,12 @@ def _(spark, d):
     return ev.weighted_loss(ev.soft_dice(soft_pairs(spark, d)), -1).select("vol_id", r("loss", 6))
 
 
-@query("soft_dice_boundary")
+@query("soft_dice_boundary", with_("posteriors", extra=PAIR_SQL + ", nb AS (SELECT p.vol_id, p.x, p.y, p.z, p.label, count(h.label) / any_value((least(p.x + 1, 7) - greatest(p.x - 1, 0) + 1) * "
+       "(least(p.y + 1, 7) - greatest(p.y - 1, 0) + 1) * (least(p.z + 1, 1) - greatest(p.z - 1, 0) + 1)) AS mean FROM pr p LEFT JOIN hard h ON h.vol_id = p.vol_id AND h.label = p.label AND "
+       "abs(h.x - p.x) <= 1 AND abs(h.y - p.y) <= 1 AND abs(h.z - p.z) <= 1 GROUP BY 1, 2, 3, 4, 5), "
+       "cl AS (SELECT vol_id, x, y, z, label, g / (sum(g) OVER (PARTITION BY vol_id, x, y, z) + 1e-7) AS g, p / (sum(p) OVER (PARTITION BY vol_id, x, y, z) + 1e-7) AS p, "
+       "1 + 2.0 * CAST(mean > 0 AND mean < 1.0 / 3 - 1e-4 AS INT) AS w FROM pr JOIN nb USING (vol_id, x, y, z, label))") +
+       "SELECT vol_id, label, round((sum(2 * g * p * w) + 1e-7) / (sum((g * g + p * p) * w) + 1e-7), 6) AS dice FROM cl GROUP BY 1, 2")
 def _(spark, d):
     p = fx.posteriors(spark, d)
     weights = boundary_weight(po.harden(p), fx.POST_SHAPE, 1, 2.0)

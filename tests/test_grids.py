@@ -175,6 +175,22 @@ def test_correct_labels_nearest(label_noise):
             assert got[(i, *p)] == want[p]
 
 
+@pytest.mark.parametrize("radius,shape", [(0, None), (1, None), (2.5, None), (3, (5, 4, 2))])
+def test_ball_offsets(spark, radius, shape):
+    half = [s // 2 for s in shape] if shape else [int(radius)] * 3
+    ends = [(h if not shape or s % 2 else h - 1) for h, s in zip(half, shape or (1, 1, 1))]
+    want = {p for p in itertools.product(*[range(-h, e + 1) for h, e in zip(half, ends)]) if sum(c * c for c in p) <= radius ** 2}
+    assert {tuple(r) for r in mo.ball_offsets(spark, radius, shape).collect()} == want
+
+
+def test_corrections_are_smoothed(label_noise):
+    df, shape = label_noise[1], SHAPE
+    rows = lambda d: sorted(map(tuple, d.select(*V, "label").collect()))
+    for plain, smooth in ((lb.correct_labels_candidates(df, 5, [3, 2]), lb.correct_labels_candidates(df, 5, [3, 2], smooth_shape=shape)),
+                          (lb.correct_labels_nearest(df, [5], True), lb.correct_labels_nearest(df, [5], True, smooth_shape=shape))):
+        assert rows(smooth) == rows(lb.smooth_labels(plain, shape, cube=True)) != rows(plain)
+
+
 def test_smooth_labels(label_noise):
     vols, df = label_noise
     got = {tuple(r)[:4]: r.label for r in nb.smooth_labels(df, SHAPE).select(*V, "label").collect()}
