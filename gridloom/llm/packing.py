@@ -30,10 +30,14 @@ _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a sequence, and the tokens that wait in a task's pool before sequences are filled."""
+    """Capacities of a sequence, and the tokens that wait in a task's pool before sequences are filled.
+
+    Segments bind where documents are short. With the default ``loss`` of ``pack_documents`` fewer tokens than all bear a
+    loss, so that limit binds only if it is set below ``tokens``, for data whose prompts bear none.
+    """
 
     tokens: int = 4096
-    segments: int = 128
+    segments: int = 16
     loss: int = 4096
     pool: int = 64 * 4096
 
