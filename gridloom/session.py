@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +45,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_open_jobs: list[list[str]] = []
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the intermediate tables written inside it.
+
+    Results are lazy and read those tables: write or collect them inside. Without it the tables stay in the shared folder.
+    """
+    made: list[str] = []
+    _open_jobs.append(made)
+    try:
+        yield
+    finally:
+        _open_jobs.remove(made)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
@@ -51,6 +73,8 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    if _open_jobs:
+        _open_jobs[-1].append(path)
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -137,3 +137,18 @@ def test_prepare_and_finish_are_inverse_in_space(spark):
     assert len(cells) == 64 and all(0 <= x < 5 and 0 <= y < 6 and 0 <= z < 4 for x, y, z in cells)
     assert soft.count() == 5 * 6 * 4
     assert {r.label: r.volume for r in volumes.collect()} == {3: 64.0, 4: 64.0}
+
+
+def test_a_job_removes_its_intermediate_tables(spark):
+    from pathlib import Path
+
+    from gridloom.session import checkpoint_root, job, materialize
+    root = Path(checkpoint_root(spark))
+    before = {p.name for p in root.iterdir()}
+    kept = materialize(spark.range(3))
+    with job(spark):
+        assert materialize(spark.range(5)).count() == 5
+        with job(spark):
+            materialize(spark.range(2))
+        assert len({p.name for p in root.iterdir()} - before) == 2
+    assert len({p.name for p in root.iterdir()} - before) == 1 and kept.count() == 3
