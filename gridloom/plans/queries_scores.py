@@ -405,6 +405,7 @@ def _register_wilcoxon(name, alternative):
 
 _register_wilcoxon("wilcoxon_paired", "two-sided")
 _register_wilcoxon("wilcoxon_greater", "greater")
+_register_wilcoxon("wilcoxon_less", "less")
 
 
 @query("cohens_d", with_("scores") + "SELECT structure, round((avg(ref) - avg(cmp)) / sqrt(((count(*) - 1) * var_pop(ref) + (count(*) - 1) * var_pop(cmp)) / "

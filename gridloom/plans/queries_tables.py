@@ -273,6 +273,15 @@ def _(spark, d):
     return it.mask_volume(fx.images(spark, d), (4, 4, 4), dilate=1, erode=1).select("vol_id", "x", "y", "z", "value")
 
 
+@query("mask_volume_external", with_("images") + "SELECT vol_id, x, y, z, channel, CASE WHEN (x + y + z + vol_id) % 3 > 0 THEN value ELSE -1.0 END AS value FROM "
+       "(SELECT vol_id, x, y, z, 0 AS channel, value FROM images UNION ALL SELECT vol_id, x, y, z, 1, 2 * value FROM images) c")
+def _(spark, d):
+    a = fx.images(spark, d).select("vol_id", "x", "y", "z", "value")
+    both = it.stack_channels(a, a.withColumn("value", 2 * F.col("value")))
+    region = a.where("(x + y + z + vol_id) % 3 > 0").select("vol_id", "x", "y", "z")
+    return it.mask_volume(both, mask=region, fill=-1.0).select("vol_id", "x", "y", "z", "channel", "value")
+
+
 def _limits(p0, p1, where=""):
     return (f"l AS (SELECT vol_id, quantile_cont(value, {p0}) AS lo, quantile_cont(value, {p1}) AS hi FROM images {where} "
             "GROUP BY vol_id)")
@@ -303,6 +312,15 @@ def _(spark, d):
     return it.normalise_minmax(fx.images(spark, d), (0.1, 0.9)).select("vol_id", "x", "y", "z", r("value"))
 
 
+@query("normalise_minmax_joint", with_("images", extra="c AS (SELECT vol_id, x, y, z, 0 AS channel, value FROM images UNION ALL SELECT vol_id, x, y, z, 1, 2 * value FROM images), "
+       "k AS (SELECT vol_id, value, row_number() OVER (PARTITION BY vol_id ORDER BY value) - 1 AS i FROM c), l AS (SELECT vol_id, max(value) FILTER (i = 12) AS lo, max(value) FILTER (i = 115) AS hi FROM k GROUP BY 1)") +
+       "SELECT vol_id, x, y, z, channel, round((greatest(least(value, hi), lo) - lo) / (hi - lo + 1e-7), 4) AS value FROM c JOIN l USING (vol_id)")
+def _(spark, d):
+    a = fx.images(spark, d).select("vol_id", "x", "y", "z", "value")
+    both = it.stack_channels(a, a.withColumn("value", 2 * F.col("value")))
+    return it.normalise_minmax(both, (0.1, 0.9), joint=True).select("vol_id", "x", "y", "z", "channel", r("value"))
+
+
 @query("nan_to_zero", with_("images") + "SELECT vol_id, x, y, z, CASE WHEN value < -0.1 THEN 0.0 ELSE value END AS value FROM images")
 def _(spark, d):
     broken = fx.images(spark, d).withColumn("value", F.when(F.col("value") < -0.1, float("nan")).otherwise(F.col("value")))
