@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -25,7 +26,7 @@ from gridloom.plans.registry import query
 from gridloom.session import materialize
 
 CAPACITY, END_ID = 2048, 0
-SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
+SCHEMA = "doc_id long, piece int, start long, length long, ids binary, slice int, nth long"
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
 #: Bytes of ids in an output batch.
@@ -38,17 +39,41 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
+class Ranks:
+    """Which of its length each piece of a task is, counted as they come."""
+
+    def __init__(self, capacity: int):
+        self.seen = np.zeros(capacity + 1, np.int64)
+
+    def take(self, n: np.ndarray) -> np.ndarray:
+        order = np.argsort(n, kind="stable")
+        starts = np.r_[0, np.flatnonzero(np.diff(n[order])) + 1]
+        nth = np.empty(len(n), np.int64)
+        nth[order] = np.arange(len(n)) - np.repeat(starts, np.diff(np.r_[starts, len(n)]))
+        nth += self.seen[n]
+        self.seen += np.bincount(n, minlength=len(self.seen))
+        return nth
+
+
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str | None = None,
                  end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (SCHEMA) of the documents' ids, each document closed by ``end_id``; ids are little-endian unsigned 32-bit.
 
     Null and empty texts are the end id alone. Repeated rows are cut each for itself, null ids stay null, other columns
-    are not read, and no rows give no rows.
+    are not read, and no rows give no rows. ``slice`` and ``nth``, the task and the piece's rank among the task's pieces of
+    its length, are for ``pack``; they hold for one evaluation.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(tokenizer_path or byte_file())
+        model, ranks, task = tokenizer(tokenizer_path or byte_file()), Ranks(capacity), TaskContext.get().partitionId()
         rows: list[tuple] = []
         held = 0
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+            rows.clear()
+            nth = ranks.take(arrays[3].to_numpy())
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(nth), task, np.int32)), pa.array(nth)], _NAMES)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 key, text = batch.column(0)[i].as_py(), batch.column(1)[i]
@@ -57,10 +82,10 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows += [(key, k, at, n, ids[at:at + n].tobytes()) for k, (at, n) in enumerate(cuts(len(ids), capacity))]
                 held += ids.nbytes
                 if held >= FLUSH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
-                    rows, held = [], 0
+                    yield flush()
+                    held = 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+            yield flush()
         release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
@@ -140,32 +165,33 @@ def _numbered(pieces: DataFrame, length_col: str, capacity: int) -> DataFrame:
                           F.spark_partition_id().alias("slice"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(capacity + 1, np.int64)
+        ranks = Ranks(capacity)
         for batch in batches:
             if batch.num_rows:
                 n = batch.column(1).to_numpy(zero_copy_only=False)
                 if not ((n >= 1) & (n <= capacity)).all():
                     raise ValueError(f"lengths must be 1 to {capacity}")
-                n = n.astype(np.int64)
-                order = np.argsort(n, kind="stable")
-                starts = np.r_[0, np.flatnonzero(np.diff(n[order])) + 1]
-                nth = np.empty(len(n), np.int64)
-                nth[order] = np.arange(len(n)) - np.repeat(starts, np.diff(np.r_[starts, len(n)]))
-                nth += seen[n]
-                seen += np.bincount(n, minlength=capacity + 1)
+                nth = ranks.take(n.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth)], [*batch.schema.names, "nth"])
 
     return given.mapInArrow(run, StructType([*given.schema.fields, StructField("nth", LongType())]))
 
 
-def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, ranked: bool = False) -> DataFrame:
     """The rows of ``pieces`` with sequence_id (from 0 on) and offset, gapless from 0; lengths of a sequence sum to ``capacity`` at most.
 
     Columns of those names are replaced, all others kept, whatever their names. Lengths must lie in 1..capacity, else
     ValueError; rows of equal length are interchangeable, so repeated rows lie each in a place of its own. No rows give
-    no rows. The pieces are written once, so that ranks hold when executors are lost.
+    no rows. The pieces are written once, so that ranks hold when executors are lost. ``ranked``: they come straight from
+    ``token_pieces``, with its columns slice and nth, which are dropped.
     """
-    numbered = materialize(_numbered(pieces, length_col, capacity))
+    dropped = ("sequence_id", "offset", *(("slice", "nth") if ranked else ()))
+    kept = [c for c in pieces.columns if c not in dropped]
+    if ranked:
+        numbered = pieces.select(F.struct(*kept).alias("row"), F.col(length_col).alias("length"), "slice", "nth")
+    else:
+        numbered = _numbered(pieces, length_col, capacity)
+    numbered = materialize(numbered)
     per_slice = numbered.groupBy("slice", "length").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in per_slice.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = Plan(counts, capacity).places()
@@ -184,19 +210,19 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     bases = per_slice.select("slice", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    kept = [F.col("row")[c].alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")]
     return (numbered.join(bases, ["slice", "length"])
             .withColumn("place", place("length", F.col("before") + F.col("nth")))
-            .select(*kept, "place.sequence_id", "place.offset"))
+            .select(*[F.col("row")[c].alias(c) for c in kept], "place.sequence_id", "place.offset"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_path: str | None = None,
                    end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Training sequences with their ids: the pieces of ``token_pieces`` and where each lies."""
-    return pack(token_pieces(docs, id_col, text_col, tokenizer_path=tokenizer_path, end_id=end_id, capacity=capacity), "length", capacity)
+    pieces = token_pieces(docs, id_col, text_col, tokenizer_path=tokenizer_path, end_id=end_id, capacity=capacity)
+    return pack(pieces, "length", capacity, ranked=True)
 
 
 @query("op13_best_fit")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"))
-    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "slice", "nth"), ranked=True)
