@@ -1,5 +1,7 @@
 """No operator on voxels and facts of their volume gathers a volume: plans with broadcasts off, and results."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -78,3 +80,13 @@ def test_stored_slabs_are_not_shuffled_at_all(spark, cohort, no_broadcast, tmp_p
         assert not [p for p, columns in exchanges(chain._jdf.queryExecution().executedPlan()) if "value#" in columns]
     finally:
         spark.sql("DROP TABLE IF EXISTS slabs_test")
+
+
+@pytest.mark.parametrize("name", ["connected_components", "correct_labels_nearest", "crop_to_box", "crop_to_common_min", "crop_same_size", "erode_labels",
+                                  "largest_component", "signed_distance", "crop_divisible", "edt", "fill_holes"])
+def test_no_table_that_grows_is_broadcast(spark, name):
+    """Exploded and well compressed tables look small to the planner; only the list of distinct labels is."""
+    import __spark_entry__ as entry
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert "SortMergeJoin" in plan and not [line for line in joins if not re.search("_cand|_at|_place", line)]
