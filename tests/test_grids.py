@@ -405,3 +405,24 @@ def test_wilcoxon_small_sample(spark):
                               ("greater", np.mean(np.array(sums) >= plus)), ("less", np.mean(np.array(sums) <= plus))):
         row = ev.wilcoxon_paired(df, alternative, with_average=False).head()
         assert row.exact and row.r_plus == plus and row.p_value == pytest.approx(want)
+
+
+def test_surfaces_across_words_and_slabs(spark):
+    """Lines of several 64-cell words, and volumes of several slabs, against brute force."""
+    rng = np.random.default_rng(5)
+    sides = {c: rng.random((40, 3, 150)) < 0.9 for c in ("gt", "seg")}
+    for m in sides.values():
+        m[2:20, :, 60:70] = True
+    cells = [(1, *map(int, at), *(int(sides[c][at]) for c in ("gt", "seg"))) for at in np.ndindex(40, 3, 150)]
+    pairs = spark.createDataFrame(cells, "vol_id long, x int, y int, z int, gt int, seg int")
+    got = {(r.side, r.x, r.y, r.z): r.d2 for r in ev.surface_to_surface(ev.surface_points(pairs, [1], (40, 3, 150))[0]).collect()}
+    ends = [np.argwhere(m) for m in sides.values()]
+    lo, hi = np.min([e.min(0) for e in ends], 0), np.max([e.max(0) for e in ends], 0)
+    edges = []
+    for m in sides.values():
+        m = m[lo[0]:hi[0], lo[1]:hi[1], lo[2]:hi[2]]
+        around = np.pad(m, 1, constant_values=True)
+        full = np.all([np.roll(around, s, a)[1:-1, 1:-1, 1:-1] for a in range(3) for s in (1, -1)], 0)
+        edges.append(np.argwhere(m & ~full) + lo)
+    want = {(s, *map(int, p)): int(((edges[1 - s] - p) ** 2).sum(1).min()) for s in (0, 1) for p in edges[s]}
+    assert got == want
