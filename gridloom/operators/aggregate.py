@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.numbers import ras_axes
+from gridloom.functions.layout import by_sort
 from gridloom.functions.order import exact_percentiles
 from gridloom.operators.geometry import align_plan
 from gridloom.operators.intensity import rescale
@@ -103,11 +104,11 @@ def intensity_stats(df: DataFrame, labels: Sequence[int], classes: Sequence[int]
     # Four passes read these narrow rows: write them once instead of repeating the join that made them.
     data = materialize(data)
     med = exact_percentiles(data, group, "_v", [0.5], ["median"]).drop("n")
-    dev = data.join(med, group).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
+    dev = data.join(by_sort(med), group).withColumn("_d", F.abs(F.col("_v") - F.col("median")))
     mad = exact_percentiles(dev, group, "_d", [0.5], ["mad"]).drop("n")
     every = _listed(df.select(*keys).distinct(), range(k), "class_id")
-    found = med.join(mad, group)
-    return every.join(found, group, "left").select(
+    found = med.join(by_sort(mad), group)
+    return every.join(by_sort(found), group, "left").select(
         *group, F.coalesce("median", F.lit(0.0)).alias("median"),
         F.coalesce(F.col("mad") * scale, F.lit(0.0)).alias("mad"))
 
@@ -119,6 +120,8 @@ def intensity_priors(df: DataFrame, labels: Sequence[int], classes: Sequence[int
     ``dataset`` names further key columns (several datasets or modalities in one job).
     """
     keys = [*dataset, "vol_id"] + (["channel"] if "channel" in df.columns else [])
+    # The percentiles, the scaling and the list of volumes read these narrow rows: written once.
+    df = materialize(df.select(*keys, value, label))
     data = rescale(df, value=value, keys=keys) if rescale_first else df
     stats = intensity_stats(data, labels, classes, keys=keys, value=value, label=label)
     group = [c for c in keys if c != "vol_id"] + ["class_id"]

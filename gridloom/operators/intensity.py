@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.layout import by_sort
 from gridloom.functions.order import exact_percentiles
 from gridloom.operators.morphology import dilate_runs, erode_runs, fill_holes, from_runs, to_runs
 
@@ -48,7 +49,7 @@ def rescale(df: DataFrame, new_min: float = 0.0, new_max: float = 255.0, pmin: f
     limits = exact_percentiles(source, keys, value, [pmin / 100, pmax / 100], ["_lo", "_hi"]).drop("n")
     clipped = F.greatest(F.least(F.col(value), F.col("_hi")), F.col("_lo"))
     scaled = F.lit(float(new_min)) + (clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * float(new_max - new_min)
-    out = df.join(limits, keys)
+    out = df.join(by_sort(limits), keys)
     return out.withColumn(value, F.when(F.col("_lo") == F.col("_hi"), 0.0).otherwise(scaled)).select(*df.columns)
 
 

@@ -83,7 +83,7 @@ def test_stored_slabs_are_not_shuffled_at_all(spark, cohort, no_broadcast, tmp_p
 
 
 @pytest.mark.parametrize("name", ["connected_components", "correct_labels_nearest", "crop_to_box", "crop_to_common_min", "crop_same_size", "erode_labels",
-                                  "largest_component", "signed_distance", "crop_divisible", "edt", "fill_holes"])
+                                  "largest_component", "signed_distance", "crop_divisible", "edt", "fill_holes", "intensity_priors_multi"])
 def test_no_table_that_grows_is_broadcast(spark, name):
     """Exploded and well compressed tables look small to the planner; only the list of distinct labels is."""
     import __spark_entry__ as entry

@@ -105,3 +105,37 @@ def test_models_leave_truth_out(spark):
     pred = spark.createDataFrame([("m", 1, 0, 0, 0, 2), ("m", 1, 5, 0, 0, 2)], "model string, vol_id long, x int, y int, z int, label int")
     got = {r.label: r.dice for r in cohort.evaluate_models(pred, gt, [0, 2], shape=(10, 1, 1)).collect()}
     assert got[2] == pytest.approx(2 / 4, abs=1e-5) and got[0] == pytest.approx(14 / 16, abs=1e-5)
+
+
+def _counted(spark, rows, schema):
+    """A table, and an accumulator of the rows of it that have been made."""
+    made, df = spark.sparkContext.accumulator(0), spark.createDataFrame(rows, schema)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+    return df.mapInPandas(count, df.schema), made
+
+
+def test_priors_make_their_voxels_once(spark):
+    rows = [(1 + x % 2, x, 0, 0, float(x), x % 2) for x in range(20)]
+    df, made = _counted(spark, rows, "vol_id long, x int, y int, z int, value double, label int")
+    assert len(ag.intensity_priors(df, [0, 1]).collect()) == 2 and made.value == len(rows)
+
+
+def test_finished_posteriors_are_made_once(spark):
+    eye = [[float(i == j) for j in range(4)] for i in range(4)]
+    meta = spark.createDataFrame([(1, 8, 1, 1, 1.0, 1.0, 1.0, eye)], "vol_id long, nx int, ny int, nz int, rx double, ry double, rz double, affine array<array<double>>")
+    rows = [(1, x, 0, 0, 2 * (x % 3 > 0), 1.0) for x in range(8)]
+    df, made = _counted(spark, rows, "vol_id long, x int, y int, z int, label int, p double")
+    seg, _, _ = cohort.finish_posteriors(df, [0, 2], meta)
+    assert seg.where("label = 2").count() == 2 and made.value == len(rows)
+
+
+def test_truth_is_made_once(spark):
+    rows = [(1, x, y, z, 2) for x in range(3) for y in range(3) for z in range(3)]
+    gt, made = _counted(spark, rows, "vol_id long, x int, y int, z int, label int")
+    seg = spark.createDataFrame(rows, "vol_id long, x int, y int, z int, label int")
+    got = {(r.label, r.metric): r.value for r in ev.evaluate_dataset(gt, seg, [0, 2], (5, 5, 5), crop_margin=1).collect()}
+    assert got[2, "dice"] == pytest.approx(1, abs=1e-5) and made.value == len(rows)
