@@ -90,3 +90,12 @@ def test_no_table_that_grows_is_broadcast(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     assert "SortMergeJoin" in plan and not [line for line in joins if not re.search("_cand|_at|_place", line)]
+
+
+def test_posteriors_are_made_in_one_shuffle_of_a_given_number_of_tasks(spark):
+    """No join, and tasks that coalescing cannot make fewer: what groups by voxel next holds its share of the voxels only."""
+    import __spark_entry__ as entry
+    plan = entry.queries()["cross_entropy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if re.search(r"\bExchange ", line)]
+    assert "Join" not in plan and len(moved) == 3
+    assert sum("REPARTITION_BY_NUM" in line for line in moved) == 2
