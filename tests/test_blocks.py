@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import blocks
 from gridloom.operators import morphology as mo
+from gridloom.operators import neighbourhood as nb
 
 V = ["vol_id", "x", "y", "z"]
 SHAPE = (9, 8, 7)
@@ -41,6 +42,14 @@ def listed(df, *more) -> list[tuple]:
     return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*V, *more).collect())
 
 
+def brute(mask: np.ndarray) -> np.ndarray:
+    """Distance of each cell to the nearest false one."""
+    out = np.argwhere(~mask)
+    cells = np.argwhere(np.ones_like(mask))
+    d2 = ((cells[:, None] - out[None]) ** 2).sum(axis=2).min(axis=1)
+    return np.sqrt(d2).reshape(mask.shape)
+
+
 def test_voxels_are_packed_and_unpacked(spark):
     rows = [(1, 0, 0, 0, 5), (1, 15, -3, 70, None), (1, 16, 2, 3, -7), (1, -1, 9, 1 << 20, 0), (None, 3, 3, 3, 1), (None, 3, 3, 3, 1), (2, 5, 5, 5, 2)]
     df = spark.createDataFrame(rows, "vol_id long, x int, y int, z int, v int").repartition(3)
@@ -69,3 +78,19 @@ def test_holes_by_size_of_the_volume(spark, small):
     got = listed(mo.fill_holes(mask.where("vol_id = 0").unionByName(wide), shape))
     assert [r for r in got if r[0] == 7] == [(7, *map(int, p)) for p in np.argwhere(np.ones_like(hollow))]
     assert [r for r in got if r[0] == 0] == listed(mo.fill_holes(mask.where("vol_id = 0"), SHAPE))
+
+
+def test_distances_of_small_volumes_are_found_where_they_are(small):
+    noise, mask = small
+    out = nb.edt(mask, SHAPE)
+    assert rows_moved(out) == 0
+    want = [(v, x, y, z, round(float(brute(noise[v])[x, y, z]), 6)) for v, x, y, z in listed(mask)]
+    assert listed(out, "distance") == want
+
+
+def test_long_lines_take_the_envelope(spark):
+    mask = spark.createDataFrame([(1, 0, y, 0) for y in range(10, 91)], "vol_id long, x int, y int, z int")
+    got = {r.y: r.distance for r in nb.edt(mask, (1, 100, 1)).collect()}
+    assert got == {y: min(y - 9, 91 - y) for y in range(10, 91)}
+    whole = nb.edt(mask, (1, 91, 1)).where("y = 90").head().distance
+    assert whole == 81
