@@ -88,6 +88,16 @@ def test_distances_of_small_volumes_are_found_where_they_are(small):
     assert listed(out, "distance") == want
 
 
+def test_signed_distances_of_small_volumes_are_found_where_they_are(small):
+    noise, mask = small
+    once = mask.where("vol_id <> 1").withColumn("label", F.lit(3))
+    out = nb.signed_distance(once, SHAPE)
+    assert rows_moved(out) == 0
+    want = [(v, *map(int, p), round(float(brute(noise[v])[tuple(p)] - 0.5 if noise[v][tuple(p)] else 0.5 - brute(~noise[v])[tuple(p)]), 6))
+            for v in (0, 2) for p in np.argwhere(np.ones(SHAPE, bool))]
+    assert listed(out, "distance") == want
+
+
 def test_long_lines_take_the_envelope(spark):
     mask = spark.createDataFrame([(1, 0, y, 0) for y in range(10, 91)], "vol_id long, x int, y int, z int")
     got = {r.y: r.distance for r in nb.edt(mask, (1, 100, 1)).collect()}
