@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import blocks
+from gridloom.operators import evaluate as ev
 from gridloom.operators import morphology as mo
 from gridloom.operators import neighbourhood as nb
 
@@ -104,3 +105,24 @@ def test_long_lines_take_the_envelope(spark):
     assert got == {y: min(y - 9, 91 - y) for y in range(10, 91)}
     whole = nb.edt(mask, (1, 91, 1)).where("y = 90").head().distance
     assert whole == 81
+
+
+def test_surfaces_of_small_structures_are_met_where_they_are(spark):
+    """Equal to the words, slab by slab; also where one map lacks the label, the box has no inside, or a pair comes twice."""
+    rng = np.random.default_rng(3)
+    gt, seg = (rng.choice([0, 1, 2], (4, *SHAPE), p=[0.4, 0.4, 0.2]) for _ in range(2))
+    gt[1][gt[1] == 2] = 0
+    gt[2], seg[2] = 0, 0
+    gt[2][3, 3, 3] = seg[2][3, 3, 3] = 1
+    rows = [(int(v), int(x), int(y), int(z), int(gt[v, x, y, z]), int(seg[v, x, y, z])) for v, x, y, z in np.ndindex(gt.shape)]
+    pairs = spark.createDataFrame(rows + rows[:100], "vol_id long, x int, y int, z int, gt int, seg int").repartition(5)
+    wide = lambda d: d.withColumn("x", F.col("x") + 12)  # in two slabs: nothing is solved whole
+    for inclusive in (False, True):
+        score = lambda d: sorted(tuple(round(v, 9) for v in r) for r in ev.surface_distances(d, [1, 2], SHAPE, inclusive=inclusive, whole=True).collect())
+        assert score(pairs) == score(wide(pairs)) and len(score(pairs)) == 12
+
+
+def test_surfaces_of_small_structures_are_not_shuffled(spark, small):
+    pairs = small[1].selectExpr("vol_id", "x", "y", "z", "1 AS gt", "IF(x > 2, 1, 0) AS seg")
+    # Beside what lists the volumes, one row of scores for each structure.
+    assert rows_moved(ev.surface_distances(pairs, [1], SHAPE)) <= rows_moved(pairs.select("vol_id").distinct()) + 3 + 3
