@@ -120,9 +120,12 @@ def test_surfaces_of_small_structures_are_met_where_they_are(spark):
     for inclusive in (False, True):
         score = lambda d: sorted(tuple(round(v, 9) for v in r) for r in ev.surface_distances(d, [1, 2], SHAPE, inclusive=inclusive, whole=True).collect())
         assert score(pairs) == score(wide(pairs)) and len(score(pairs)) == 12
+        place = lambda d, by: sorted((r.vol_id, r.label, r.side, r.x - by, r.y, r.z, r.distance) for r in ev.hausdorff_location(d, [1, 2], SHAPE, inclusive).collect())
+        assert place(pairs, 0) == place(wide(pairs), 12) != []
 
 
 def test_surfaces_of_small_structures_are_not_shuffled(spark, small):
     pairs = small[1].selectExpr("vol_id", "x", "y", "z", "1 AS gt", "IF(x > 2, 1, 0) AS seg")
+    assert rows_moved(ev.hausdorff_location(pairs, [1], SHAPE)) == 0
     # Beside what lists the volumes, one row of scores for each structure.
     assert rows_moved(ev.surface_distances(pairs, [1], SHAPE)) <= rows_moved(pairs.select("vol_id").distinct()) + 3 + 3
