@@ -25,6 +25,8 @@ AXES = ("x", "y", "z")
 HALF = 1 << 29
 #: Most cells of a whole volume, most on one of its axes, and cells of the grids that are worked on at once.
 MOST, LONGEST, TOGETHER = 1 << 18, 1024, 1 << 18
+#: Pairs that are compared at once.
+PAIRS = 1 << 21
 #: The number that stands for no value, and a payload that stands for null.
 NONE, NULL = np.int32(1) << 29, np.iinfo(np.int64).min
 
@@ -85,15 +87,18 @@ def unpack(blocks: DataFrame, keys: list[str], value: str | None = None) -> Data
 
 
 def give_shape(blocks: DataFrame, shape) -> DataFrame:
-    """Blocks with _n, the size of their grid; null where a table of shapes does not list the volume."""
+    """Blocks with _n, the size of their grid; null where a table of shapes does not list the volume once."""
     if isinstance(shape, DataFrame):
-        return blocks.join(by_sort(shape.select("vol_id", F.array(*[F.col(f"n{a}").cast("int") for a in AXES]).alias("_n"))), "vol_id", "left")
+        size = shape.groupBy("vol_id").agg(*[F.first(f"n{a}").cast("int").alias(f"n{a}") for a in AXES], F.count("*").alias("_m"))
+        return blocks.join(by_sort(size.select("vol_id", F.when(F.col("_m") == 1, F.array(*[f"n{a}" for a in AXES])).alias("_n"))), "vol_id", "left")
     return blocks.withColumn("_n", F.array(*[F.lit(int(n)) for n in shape]))
 
 
 #: Blocks whose volume may reach into other slabs, or that are too large; and blocks with voxels outside their grid.
 LARGE = (f"_part <> 0 OR {' OR '.join(f'_hi[{i}] - _lo[{i}] >= {LONGEST}' for i in range(3))} OR "
          f"{' * '.join(f'(CAST(_hi[{i}] AS BIGINT) - _lo[{i}] + 3)' for i in range(3))} > {MOST}")
+#: Blocks with a voxel listed more than once: neighbours and runs count its rows, so they stay with the operators on rows.
+TWICE = "size(array_distinct(_c)) < size(_c)"
 OUTSIDE = "_n IS NULL OR " + " OR ".join(f"_lo[{i}] < 0 OR _hi[{i}] >= _n[{i}]" for i in range(3))
 
 
@@ -119,6 +124,10 @@ class Grids:
         part = np.asarray(batch["_part"], np.int64)[self.row]
         self.at = np.stack([(code >> 60 & 15) + part * WIDTH, (code >> 30 & 2 * HALF - 1) - HALF, (code & 2 * HALF - 1) - HALF], axis=1)
         self.value = np.asarray(batch["_v"].flatten(), np.int64) if "_v" in batch.schema.names else None
+        if "perm" in batch.schema.names:
+            perm, flip, n = _turn(batch)
+            turned = np.take_along_axis(self.at, perm[self.row], axis=1)
+            self.at = np.where(flip[self.row], n[self.row] - 1 - turned, turned)
 
     def cell(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         return (row, *(at - self.low[row]).T)
@@ -148,19 +157,24 @@ def ends(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def solve(blocks: DataFrame, keys: list[str], columns: list[tuple[str, T.DataType]], bounds: Callable, work: Callable) -> DataFrame:
-    """Apply ``work`` to the blocks: Grids to (row of each result, values of ``columns``); ``bounds`` gives their low ends and sizes."""
+    """Apply ``work`` to the blocks: Grids to (row of each result, values of ``columns``); ``bounds`` gives their low ends and sizes.
+
+    A column _w of the blocks is the number of pairs that ``work`` holds at once for a block.
+    """
     schema = T.StructType([blocks.schema[k] for k in keys] + [T.StructField(c, t) for c, t in columns])
-    types = [pa.int32() if isinstance(t, T.IntegerType) else pa.int64() if isinstance(t, T.LongType) else pa.float64() for _, t in columns]
+    types = [pa.int32() if isinstance(t, T.IntegerType) else pa.float64() for _, t in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             low, size = bounds(batch)
+            weight = np.asarray(batch["_w"], np.int64) if "_w" in batch.schema.names else np.zeros(batch.num_rows, np.int64)
             order = np.argsort(size.prod(axis=1), kind="stable")
             while len(order):
                 most = np.maximum.accumulate(size[order], axis=0).prod(axis=1) * np.arange(1, len(order) + 1)
-                now = order[:max(1, int(np.searchsorted(most, TOGETHER, "right")))]
+                fit = min(np.searchsorted(most, TOGETHER, "right"), np.searchsorted(np.cumsum(weight[order]), PAIRS, "right"))
+                now = order[:max(1, int(fit))]
                 order = order[len(now):]
                 part = batch.take(pa.array(now))
                 row, *values = work(Grids(part, low[now], size[now]))
@@ -176,6 +190,19 @@ def box(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return low, high - low + 1
 
 
+def _turn(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """perm, flip and size of the turned grid (``geometry.align_plan``)."""
+    perm, n = ends(batch, "perm", "_n")
+    return perm, np.asarray(batch["flip"].flatten().cast(pa.int64())).reshape(-1, 3) > 0, n
+
+
+def turned_box(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The box of the voxels after their axes are permuted and reversed."""
+    perm, flip, n = _turn(batch)
+    low, size = (np.take_along_axis(c, perm, axis=1) for c in box(batch))
+    return np.where(flip, n - low - size, low), size
+
+
 def box_and_rim(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The box of the voxels and a cell more on each side that the grid has."""
     low, high, n = ends(batch, "_lo", "_hi", "_n")
@@ -213,6 +240,36 @@ def distances_to(seeds: np.ndarray) -> np.ndarray:
     return squared_distances(np.where(seeds, np.int32(0), NONE))
 
 
+def components(mask: np.ndarray, connectivity: int) -> np.ndarray:
+    """For each true cell the first cell of its component, as a number in raster order within its row; elsewhere their count."""
+    cells = int(np.prod(mask.shape[1:]))
+    label = np.where(mask, np.arange(cells, dtype=np.int32).reshape(mask.shape[1:]), np.int32(cells))
+    live = np.arange(len(mask))
+    while len(live):
+        was, m = label[live], mask[live]
+        low = was.copy()
+        for axis in (1, 2, 3):
+            # Face neighbours are those of the cells themselves; the full neighbourhood goes on from axis to axis.
+            a = np.moveaxis(was if connectivity == 6 else low.copy(), axis, 0)
+            b = np.moveaxis(low, axis, 0)
+            np.minimum(b[1:], a[:-1], out=b[1:])
+            np.minimum(b[:-1], a[1:], out=b[:-1])
+        low[~m] = cells
+        flat = np.concatenate([low.reshape(len(live), -1), np.full((len(live), 1), cells, np.int32)], axis=1)
+        label[live] = np.take_along_axis(flat, low.reshape(len(live), -1), axis=1).reshape(low.shape)
+        live = live[(label[live] != was).any(axis=(1, 2, 3))]
+    return label
+
+
+def in_largest(g: Grids, connectivity: int) -> np.ndarray:
+    """Which voxels lie in the largest component of their row; the first one in raster order on ties."""
+    label = components(g.mask(), connectivity)
+    cells = int(np.prod(label.shape[1:]))
+    own = label[g.cell(g.row, g.at)]
+    best = np.bincount(g.row * cells + own, minlength=g.rows * cells).reshape(g.rows, cells).argmax(axis=1)
+    return own == best[g.row]
+
+
 def holes(mask: np.ndarray, there: np.ndarray) -> np.ndarray:
     """False cells that no path of false cells leads to from the faces of a block; ``there``: cells of the block."""
     free = ~mask & there

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import blocks
 from gridloom.operators import evaluate as ev
+from gridloom.operators import geometry as ge
 from gridloom.operators import morphology as mo
 from gridloom.operators import neighbourhood as nb
 
@@ -15,10 +16,9 @@ SHAPE = (9, 8, 7)
 
 @pytest.fixture(scope="module")
 def small(spark):
-    """Random masks of three volumes, the voxels of one listed twice."""
+    """Random masks of three volumes."""
     noise = np.random.default_rng(5).random((3, *SHAPE)) < 0.8
     rows = [(int(v), int(x), int(y), int(z)) for v, x, y, z in np.argwhere(noise)]
-    rows += [r for r in rows if r[0] == 1]
     return noise, spark.createDataFrame(rows, "vol_id long, x int, y int, z int").repartition(5)
 
 
@@ -66,7 +66,7 @@ def test_holes_of_small_volumes_are_filled_where_they_are(small):
     noise, mask = small
     out = mo.fill_holes(mask, SHAPE)
     assert rows_moved(out) == 0
-    assert listed(out) == listed(mo._fill_linked(mask.distinct(), SHAPE, ["vol_id"]).unionByName(mask.where("vol_id = 1").distinct()))
+    assert listed(out) == listed(mo._fill_linked(mask, SHAPE, ["vol_id"])) != listed(mask)
 
 
 def test_holes_by_size_of_the_volume(spark, small):
@@ -91,11 +91,10 @@ def test_distances_of_small_volumes_are_found_where_they_are(small):
 
 def test_signed_distances_of_small_volumes_are_found_where_they_are(small):
     noise, mask = small
-    once = mask.where("vol_id <> 1").withColumn("label", F.lit(3))
-    out = nb.signed_distance(once, SHAPE)
+    out = nb.signed_distance(mask.withColumn("label", F.lit(3)), SHAPE)
     assert rows_moved(out) == 0
     want = [(v, *map(int, p), round(float(brute(noise[v])[tuple(p)] - 0.5 if noise[v][tuple(p)] else 0.5 - brute(~noise[v])[tuple(p)]), 6))
-            for v in (0, 2) for p in np.argwhere(np.ones(SHAPE, bool))]
+            for v in range(3) for p in np.argwhere(np.ones(SHAPE, bool))]
     assert listed(out, "distance") == want
 
 
@@ -129,3 +128,70 @@ def test_surfaces_of_small_structures_are_not_shuffled(spark, small):
     assert rows_moved(ev.hausdorff_location(pairs, [1], SHAPE)) == 0
     # Beside what lists the volumes, one row of scores for each structure.
     assert rows_moved(ev.surface_distances(pairs, [1], SHAPE)) <= rows_moved(pairs.select("vol_id").distinct()) + 3 + 3
+
+
+@pytest.mark.parametrize("connectivity", [6, 26])
+def test_components_of_grids(connectivity):
+    """Noise, a snake through a whole grid, and an empty row."""
+    noise = np.random.default_rng(2).random((4, 6, 7, 8)) < 0.35
+    noise[1] = False
+    noise[1, 0::2] = True
+    noise[1, 1::4, -1, -1] = noise[1, 3::4, 0, 0] = True
+    noise[2] = False
+    from test_grids import flood
+    got = blocks.components(noise, connectivity)
+    for mask, label in zip(noise, got):
+        own, comps = flood(mask, connectivity)
+        want = {p: np.ravel_multi_index(comps[c][0], mask.shape) for p, c in own.items()} if isinstance(own, dict) else {
+            tuple(p): np.ravel_multi_index(comps[own[tuple(p)]][0], mask.shape) for p in np.argwhere(mask)}
+        assert {tuple(p): label[tuple(p)] for p in np.argwhere(mask)} == want
+        assert (label[~mask] == mask.size).all()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Noise on grids of two sizes, the voxels of one volume listed twice, meta with turned axes and one volume listed twice."""
+    rng = np.random.default_rng(11)
+    label = rng.choice([0, 3, 5], (5, *SHAPE), p=[0.75, 0.15, 0.1])
+    rows = [(int(v), int(x), int(y), int(z), int(label[v, x, y, z])) for v, x, y, z in np.ndindex(label.shape)]
+    rows += [r for r in rows if r[0] == 1]
+    df = spark.createDataFrame(rows, "vol_id long, x int, y int, z int, label int").repartition(5)
+    axes = [[[0, -1, 0], [2, 0, 0], [0, 0, 1]], [[1, 0, 0], [0, 1, 0], [0, 0, 1]], [[0, 0, -1], [0, 3, 0], [-1, 0, 0]], [[-1, 0, 0], [0, 0, 1], [0, 1, 0]]]
+    meta = [(v, *(SHAPE if v != 3 else (20, 9, 9)), [[*map(float, r), 1.0] for r in axes[v]] + [[0.0, 0.0, 0.0, 1.0]]) for v in range(4)]
+    return df, spark.createDataFrame(meta + meta[2:3], "vol_id long, nx int, ny int, nz int, affine array<array<double>>").coalesce(1)
+
+
+def both_ways(monkeypatch, run):
+    """Results with small volumes solved whole, and with none."""
+    whole = run()
+    with monkeypatch.context() as m:
+        m.setattr(blocks, "LARGE", "true")
+        return whole, run()
+
+
+def test_crops_to_one_size_are_the_same_both_ways(monkeypatch, labelled):
+    """Volumes without meta are left out, and those listed twice come as often as before."""
+    df, meta = labelled
+    def run():
+        out, boxes, _ = ge.crop_same_size(df, meta, 1)
+        return listed(out, "label"), sorted(map(tuple, boxes.collect()))
+    whole, slabs = both_ways(monkeypatch, run)
+    assert whole == slabs and {r[0] for r in whole[0]} == {0, 1, 2, 3}
+
+
+def test_crops_of_small_volumes_are_not_shuffled(labelled):
+    df, meta = labelled
+    once = df.where("vol_id = 0")
+    assert rows_moved(ge.crop_divisible(once, SHAPE, 4)[0]) == 0
+    # One row per volume, of its turned axes, and the common size.
+    assert rows_moved(ge.crop_same_size(once, meta.where("vol_id = 0"), 1)[0]) <= 5
+
+
+def test_divisible_crops_are_the_same_both_ways(monkeypatch, labelled):
+    df, meta = labelled
+    for shape in (SHAPE, meta):
+        def run():
+            out, boxes = ge.crop_divisible(df, shape, 4, 1)
+            return listed(out, "label"), sorted(map(tuple, boxes.collect()))
+        whole, slabs = both_ways(monkeypatch, run)
+        assert whole == slabs and len(whole[0]) > 100
