@@ -103,8 +103,8 @@ OUTSIDE = "_n IS NULL OR " + " OR ".join(f"_lo[{i}] < 0 OR _hi[{i}] >= _n[{i}]"
 
 
 def split(blocks: DataFrame, keys: list[str], odd: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks of volumes to solve whole, blocks of the others): a volume with one block that is ``odd`` is one of the others."""
-    odd = f"coalesce({odd}, true)"
+    """(blocks of volumes to solve whole, blocks of the others): a volume with one block that is ``odd``, or with a null key, is one of the others."""
+    odd = f"coalesce({odd}, true) OR {' OR '.join(f'{k} IS NULL' for k in keys)}"
     marked = materialize(blocks.where(odd).select(*[F.col(k).alias(f"_of_{k}") for k in keys]).distinct())
     if marked.isEmpty():
         return blocks, blocks.where(odd)

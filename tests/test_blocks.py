@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import blocks
 from gridloom.operators import evaluate as ev
 from gridloom.operators import geometry as ge
+from gridloom.operators import labels as lb
 from gridloom.operators import morphology as mo
 from gridloom.operators import neighbourhood as nb
 
@@ -59,7 +60,7 @@ def test_voxels_are_packed_and_unpacked(spark):
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(map(tuple, blocks.unpack(packed, ["vol_id"], "v").collect()), key=key) == sorted(rows, key=key)
     whole, rest = blocks.split(packed, ["vol_id"], blocks.LARGE)
-    assert {r.vol_id for r in whole.collect()} == {None, 2} and {r.vol_id for r in rest.collect()} == {1}
+    assert {r.vol_id for r in whole.collect()} == {2} and {r.vol_id for r in rest.collect()} == {None, 1}
 
 
 def test_holes_of_small_volumes_are_filled_where_they_are(small):
@@ -195,3 +196,18 @@ def test_divisible_crops_are_the_same_both_ways(monkeypatch, labelled):
             return listed(out, "label"), sorted(map(tuple, boxes.collect()))
         whole, slabs = both_ways(monkeypatch, run)
         assert whole == slabs and len(whole[0]) > 100
+
+
+def test_nearest_labels_are_the_same_both_ways(monkeypatch, spark, labelled):
+    """Two wrong labels, regions whose boxes overlap, volumes without candidates, null and repeated rows."""
+    df = labelled[0]
+    odd = [(8, 1, 1, 1, 3), (8, 1, 1, 2, None), (9, 2, 2, 2, 5), (9, 2, 1, 2, None), (9, 1, 2, 2, 7), (9, 2, 2, 1, 6), (None, 1, 1, 1, 3), (None, 1, 1, 2, 7)]
+    df = df.unionByName(spark.createDataFrame(odd, df.schema)).unionByName(df.selectExpr("vol_id + 20 AS vol_id", "x", "y", "z", "label + 4 AS label").where("vol_id <> 21"))
+    for wrong, remove_zero in (([3, 5], True), ([5], False), ([7], True)):
+        run = lambda: sorted((tuple((v is None, v or 0) for v in r) for r in lb.correct_labels_nearest(df, wrong, remove_zero).select(*V, "label").collect()))
+        whole, slabs = both_ways(monkeypatch, run)
+        assert whole == slabs and len(whole) == df.count()
+
+
+def test_nearest_labels_of_small_volumes_are_found_where_they_are(labelled):
+    assert rows_moved(lb.correct_labels_nearest(labelled[0].where("vol_id = 0"), [3], True)) == 0
